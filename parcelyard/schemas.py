@@ -59,10 +59,25 @@ _DDL = {
     "logedit": "tenant_id string, Detail string, type string, emp_id string",
 }
 
-SCHEMAS: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "decimal(12,2)": T.DecimalType(12, 2),
 }
 
+
+def _struct(columns: str) -> T.StructType:
+    pairs = [column.split() for column in columns.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+# Built without a session, so that the module can be imported before one exists.
+SCHEMAS: dict[str, T.StructType] = {name: _struct(ddl) for name, ddl in _DDL.items()}
+
 # Columns that must never leave a reader.
 SECRET_COLUMNS = ("password", "emp_datapass")
 
