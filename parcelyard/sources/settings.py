@@ -42,7 +42,8 @@ def read_settings(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 def read_stored_settings(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"value string, {TENANT} string").text(path, wholetext=True)
-    return rows.select(TENANT, F.col("value").alias("body"))
+    # The writer ends each text with a line feed.
+    return rows.select(TENANT, F.regexp_replace("value", r"\n\z", "").alias("body"))
 
 
 def write_settings(files: DataFrame, path: str) -> None:
@@ -51,7 +52,6 @@ def write_settings(files: DataFrame, path: str) -> None:
         files.select(TENANT, F.col("body").alias("value"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("lineSep", "")
         .partitionBy(TENANT)
         .text(path)
     )
