@@ -55,22 +55,20 @@ def number_rows(
     Like an auto-increment column it leaves gaps where ``seq`` has gaps, so no
     sort over all requests is needed. ``width`` is the number of ids per request.
     """
-    by = [scope] if scope else []
-    as_number = F.col(key).cast("bigint")
-    top = base.groupBy(*by).agg(F.max(as_number).alias("_top"))
-    first = rows.groupBy(*by).agg(F.min(SEQ).alias("_first"), F.max(F.lit(width)).alias("_width"))
-    if scope:
-        start = first.join(top, by, "left")
-        numbered = rows.join(start, by)
-    else:
-        # Aggregates without a key: exactly one row, safe to send everywhere.
-        one = F.lit(1).alias("_one")
-        start = first.select("*", one).join(F.broadcast(top.select("*", one)), "_one")
-        numbered = rows.withColumn("_one", F.lit(1)).join(F.broadcast(start), "_one").drop("_one")
+    seq, stored = F.col(SEQ), F.col(key).cast("bigint")
+    if scope is None:
+        top = F.coalesce(base.select(F.max(stored)).scalar(), F.lit(0))
+        start = rows.select(F.min(seq)).scalar()
+        step = rows.select(F.max(F.lit(width))).scalar()
+        return rows.withColumn(key, top + 1 + (seq - start) * step)
+    top = base.groupBy(scope).agg(F.max(stored).alias("_top"))
+    start = rows.groupBy(scope).agg(
+        F.min(seq).alias("_first"), F.max(F.lit(width)).alias("_step")
+    )
+    numbered = rows.join(start.join(top, scope, "left"), scope)
     return numbered.withColumn(
-        key,
-        F.coalesce("_top", F.lit(0)) + 1 + (F.col(SEQ) - F.col("_first")) * F.col("_width"),
-    ).drop("_top", "_first", "_width")
+        key, F.coalesce("_top", F.lit(0)) + 1 + (seq - F.col("_first")) * F.col("_step")
+    ).drop("_top", "_first", "_step")
 
 
 def update_by_key(

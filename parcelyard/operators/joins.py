@@ -62,12 +62,14 @@ def customers_with_open_items(
     owned = packages.select(TENANT, "tracking_number", "customer_id").filter(
         F.col("customer_id").isNotNull()
     )
-    owned = keep_keys(owned, only, "customer_id")
     open_items = items.filter(F.col("item_status") == ITEM_OPEN)
-    if only is not None:
-        # Few packages: reduce the items before their keys are shuffled.
-        open_items = keep_keys(open_items, owned, "tracking_number")
-    return distinct_keys(keep_keys(owned, open_items, "tracking_number"), "customer_id")
+    if only is None:
+        holding = keep_keys(owned, open_items, "tracking_number")
+    else:
+        # Few packages: they may go to the items, which then need no shuffle.
+        asked = keep_keys(owned, only, "customer_id")
+        holding = asked.join(open_items.select(*on("tracking_number")), on("tracking_number"))
+    return distinct_keys(holding, "customer_id")
 
 
 def tenant_of_employee(requests: DataFrame, employee: DataFrame) -> DataFrame:

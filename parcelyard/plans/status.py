@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.functions.values import filled, flag
 from parcelyard.operators.joins import customers_with_open_items
-from parcelyard.operators.keyed import distinct_keys, drop_keys, keep_keys, left_by_key, mark_keys, on
+from parcelyard.operators.keyed import distinct_keys, drop_keys, left_by_key, mark_keys, on
 from parcelyard.schemas import ITEM_OPEN, TENANT, UNPAID_STATUS, WAREHOUSE_STATUS
 
 
@@ -43,16 +43,14 @@ def clear_when_done(
         .groupBy(*on("customer_id"))
         .agg(F.max("seq").alias("_last_seq"))
     )
-    owned = packages.select(*on("tracking_number", "customer_id")).join(last, on("customer_id"))
     identity = ["tracking_number"] if key == "tracking_number" else [key, "tracking_number"]
     was_open = items.filter(F.col("item_status") == ITEM_OPEN).select(*on(*identity))
-    was_open = keep_keys(was_open, owned, "tracking_number").join(gone, on(key), "left")
-    per_package = was_open.groupBy(*on("tracking_number")).agg(
-        F.bool_or(F.col("gone_seq").isNull()).alias("_stays"),
-        F.max("gone_seq").alias("_gone"),
-    )
-    holding = owned.join(per_package, on("tracking_number")).filter(
-        F.col("_stays") | (F.col("_gone") > F.col("_last_seq"))
+    holding = (
+        packages.select(*on("tracking_number", "customer_id"))
+        .join(last, on("customer_id"))
+        .join(was_open, on("tracking_number"))
+        .join(gone, on(key), "left")
+        .filter(F.col("gone_seq").isNull() | (F.col("gone_seq") > F.col("_last_seq")))
     )
     done = drop_keys(last, holding, "customer_id")
     status = F.col("status")
@@ -110,22 +108,16 @@ def after_box_removal(
         .join(gone, on("box_id"), "left")
         .filter(F.col("gone_seq").isNull() | (F.col("gone_seq") > F.col("_last_seq")))
     )
-    owned = packages.select(*on("tracking_number", "customer_id")).join(asked, on("customer_id"))
-    theirs = keep_keys(
-        items.select(*on("item_id", "tracking_number", "box_id"), "item_status"),
-        owned,
-        "tracking_number",
-    )
-    first_open = (
-        left_by_key(theirs, gone, "box_id", spread_by="item_id")
-        .groupBy(*on("tracking_number"))
-        .agg(
-            F.bool_or(flag(F.col("item_status") == ITEM_OPEN)).alias("_always"),
-            F.min("gone_seq").alias("_from"),
+    theirs = (
+        packages.select(*on("tracking_number", "customer_id"))
+        .join(asked, on("customer_id"))
+        .join(
+            items.select(*on("item_id", "tracking_number", "box_id"), "item_status"),
+            on("tracking_number"),
         )
     )
-    holding = owned.join(first_open, on("tracking_number")).filter(
-        F.col("_always") | flag(F.col("_from") <= F.col("_last_seq"))
+    holding = left_by_key(theirs, gone, "box_id", spread_by="item_id").filter(
+        flag(F.col("item_status") == ITEM_OPEN) | flag(F.col("gone_seq") <= F.col("_last_seq"))
     )
     decided = mark_keys(asked, packed, "customer_id", name="_packed")
     decided = mark_keys(decided, holding, "customer_id", name="_open")

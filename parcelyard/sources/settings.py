@@ -174,15 +174,14 @@ def replace_settings(
 
     ``submissions`` holds seq, emp_id and body; the sender's company is the tenant.
     """
-    latest = (
-        tenant_of_employee(submissions, employee.drop("tenant_id"))
-        .groupBy(F.col("company_name").alias("_company"))
-        .agg(F.max_by("body", "seq").alias("body"))
-        .select(F.col("_company").alias(TENANT), "body")
+    sent = tenant_of_employee(submissions, employee).select(
+        F.col("company_name").alias(TENANT), "body", "seq"
+    )
+    # Stored files rank below every submission, so one aggregate replaces them.
+    unsent = F.lit(None).cast(sent.schema["seq"].dataType).alias("seq")
+    stored = current.select(TENANT, "body", unsent)
+    return (
+        stored.unionByName(sent)
+        .groupBy(TENANT)
+        .agg(F.max_by("body", F.struct(F.col("seq").isNotNull(), "seq")).alias("body"))
     )
-    kept = drop_tenants(current, latest)
-    return kept.unionByName(latest)
-
-
-def drop_tenants(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select(TENANT).distinct(), TENANT, "left_anti").select(*rows.columns)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from parcelyard.trial.tables import TABLES, VIEWS, duckdb_view
+from parcelyard.trial.tables import TABLES, VIEWS, duckdb_view, tenant_of
 
 _NAMES = sorted(VIEWS, key=len, reverse=True)
 
@@ -21,10 +21,19 @@ def _with_views(body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({duckdb_view(n)})" for n in used) + "\n" + body
 
 
+def _scope(request: str) -> str:
+    """The employee directory is shared by all tenants."""
+    return "" if "employee" in request else "tenant_id, "
+
+
+def _same(request: str, left: str, right: str) -> str:
+    return "" if "employee" in request else f"{left}.tenant_id = {right}.tenant_id AND "
+
+
 def _last(request: str, key: str, condition: str = "TRUE") -> str:
     return (
         f"(SELECT * FROM {request} WHERE {condition} "
-        f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq DESC) = 1)"
+        f"QUALIFY row_number() OVER (PARTITION BY {_scope(request)}{key} ORDER BY seq DESC) = 1)"
     )
 
 
@@ -40,13 +49,14 @@ def _update(
     )
     return (
         f"SELECT b.* REPLACE ({new}) FROM {table} b "
-        f"LEFT JOIN {_last(request, request_key, condition)} f ON b.{key} = f.{request_key}"
+        f"LEFT JOIN {_last(request, request_key, condition)} f "
+        f"ON {_same(request, 'b', 'f')}b.{key} = f.{request_key}"
     )
 
 
 _PACKED = (
-    "(SELECT 1 FROM items i WHERE i.tracking_number = p.tracking_number "
-    "GROUP BY i.tracking_number HAVING MIN(i.item_status) = 1 AND MAX(i.item_status) = 1)"
+    "(SELECT 1 FROM items i WHERE i.tenant_id = p.tenant_id "
+    "AND i.tracking_number = p.tracking_number GROUP BY i.tracking_number HAVING MIN(i.item_status) = 1 AND MAX(i.item_status) = 1)"
 )
 _NUMBER = (
     "CAST(coalesce(nullif(regexp_extract(substring(tracking_number, "
@@ -62,19 +72,19 @@ def _object_key(url: str) -> str:
 
 
 _CLOSED_BOXES = (
-    "SELECT box_id FROM box WHERE customer_id IN (SELECT customer_id FROM req_customer_delete)"
+    "SELECT (tenant_id, box_id) FROM box WHERE (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM req_customer_delete)"
 )
 _CLOSED_PACKAGES = (
-    "SELECT tracking_number FROM packages "
-    "WHERE customer_id IN (SELECT customer_id FROM req_customer_delete)"
+    "SELECT (tenant_id, tracking_number) FROM packages "
+    "WHERE (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM req_customer_delete)"
 )
-_GONE_BOXES = "SELECT box_id FROM req_box_delete"
+_GONE_BOXES = "SELECT (tenant_id, box_id) FROM req_box_delete"
 
 _PART = "'t' || CAST(p_partkey AS VARCHAR)"
 
 _NUMBERED = (
-    "(SELECT coalesce(max({id}), 0) FROM {table}) + 1 + seq "
-    "- (SELECT min(seq) FROM {request})"
+    "(SELECT coalesce(max({id}), 0) FROM {table} b WHERE b.tenant_id = r.tenant_id) + 1 + seq "
+    "- (SELECT min(seq) FROM {request} q WHERE q.tenant_id = r.tenant_id)"
 )
 
 
@@ -162,21 +172,21 @@ _OPERATORS: dict[str, str] = {
                CAST(strlen(value) AS INTEGER) AS n_bytes FROM text_files""",
     "log_append": "SELECT * FROM logedit UNION ALL SELECT * FROM req_log",
     "customers_by_key": """
-        SELECT * FROM customers WHERE customer_id IN (SELECT customer_id FROM appointment)""",
+        SELECT * FROM customers WHERE (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM appointment)""",
     "addresses_by_key": """
-        SELECT * FROM addresses WHERE address_id IN (SELECT address_id FROM box)""",
+        SELECT * FROM addresses WHERE (tenant_id, address_id) IN (SELECT (tenant_id, address_id) FROM box)""",
     "addresses_of_customer": """
-        SELECT * FROM addresses WHERE customer_id IN (SELECT customer_id FROM box)""",
+        SELECT * FROM addresses WHERE (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM box)""",
     "unclaimed_packages": "SELECT * FROM packages WHERE customer_id IS NULL",
     "open_items_of_package": """
-        SELECT * FROM items WHERE item_status = 0 AND tracking_number IN
-            (SELECT tracking_number FROM packages WHERE customer_id IS NULL)""",
+        SELECT * FROM items WHERE item_status = 0 AND (tenant_id, tracking_number) IN
+            (SELECT (tenant_id, tracking_number) FROM packages WHERE customer_id IS NULL)""",
     "subbox_by_key": """
-        SELECT * FROM subbox WHERE subbox_id IN (SELECT subbox_id FROM subbox_item)""",
-    "box_by_key": "SELECT * FROM box WHERE box_id IN (SELECT box_id FROM slip)",
-    "items_of_box": "SELECT * FROM items WHERE box_id IN (SELECT box_id FROM slip)",
-    "slips_of_box": "SELECT * FROM slip WHERE box_id IN (SELECT box_id FROM box)",
-    "subboxes_of_box": "SELECT * FROM subbox WHERE box_id IN (SELECT box_id FROM slip)",
+        SELECT * FROM subbox WHERE (tenant_id, subbox_id) IN (SELECT (tenant_id, subbox_id) FROM subbox_item)""",
+    "box_by_key": "SELECT * FROM box WHERE (tenant_id, box_id) IN (SELECT (tenant_id, box_id) FROM slip)",
+    "items_of_box": "SELECT * FROM items WHERE (tenant_id, box_id) IN (SELECT (tenant_id, box_id) FROM slip)",
+    "slips_of_box": "SELECT * FROM slip WHERE (tenant_id, box_id) IN (SELECT (tenant_id, box_id) FROM box)",
+    "subboxes_of_box": "SELECT * FROM subbox WHERE (tenant_id, box_id) IN (SELECT (tenant_id, box_id) FROM slip)",
     "pending_appointments": """
         SELECT *, strftime(start_date, '%Y-%m-%d') AS formatted_start_date FROM appointment
         WHERE status = 'Pending' AND start_date > DATE '2024-01-15' - INTERVAL 1 DAY""",
@@ -184,7 +194,8 @@ _OPERATORS: dict[str, str] = {
     "employee_by_key": "SELECT * FROM employee WHERE emp_id IN (SELECT emp_id FROM uploads)",
     "customer_by_tracking": """
         SELECT c.tenant_id, p.tracking_number, c.customer_id, c.contact, c.type, c.level, c.note
-        FROM customers c INNER JOIN packages p ON c.customer_id = p.customer_id""",
+        FROM customers c INNER JOIN packages p
+        ON c.tenant_id = p.tenant_id AND c.customer_id = p.customer_id""",
     "company_staff": """
         SELECT * FROM employee WHERE username != company_name AND company_name IN
             (SELECT company_name FROM employee WHERE emp_id IN (SELECT emp_id FROM uploads))""",
@@ -194,41 +205,50 @@ _OPERATORS: dict[str, str] = {
     "packages_not_fully_packed": f"SELECT p.* FROM packages p WHERE NOT EXISTS {_PACKED}",
     "customers_with_open_items": """
         SELECT DISTINCT tenant_id, customer_id FROM packages WHERE customer_id IS NOT NULL
-        AND tracking_number IN (SELECT tracking_number FROM items WHERE item_status = 0)""",
+        AND (tenant_id, tracking_number) IN (SELECT (tenant_id, tracking_number) FROM items WHERE item_status = 0)""",
     "tenant_of_employee": """
         SELECT r.seq, r.emp_id, e.emp_database AS tenant_id, e.company_name
         FROM req_employee_edit r JOIN employee e ON r.emp_id = e.emp_id""",
     "customer_open_package_counts": f"""
         SELECT c.*, (SELECT COUNT(p.tracking_number) FROM packages p
-            WHERE p.customer_id = c.customer_id AND NOT EXISTS {_PACKED}) AS package_count
+            WHERE p.tenant_id = c.tenant_id AND p.customer_id = c.customer_id
+            AND NOT EXISTS {_PACKED}) AS package_count
         FROM customers c""",
     "customers_with_open_packages": f"""
         SELECT c.*, k.package_count FROM customers c JOIN (
-            SELECT c.customer_id, COUNT(p.tracking_number) AS package_count
-            FROM customers c LEFT JOIN packages p ON c.customer_id = p.customer_id
+            SELECT c.tenant_id, c.customer_id, COUNT(p.tracking_number) AS package_count
+            FROM customers c LEFT JOIN packages p
+            ON c.tenant_id = p.tenant_id AND c.customer_id = p.customer_id
             WHERE NOT EXISTS {_PACKED}
-            GROUP BY c.customer_id) k ON c.customer_id = k.customer_id""",
+            GROUP BY c.tenant_id, c.customer_id) k
+        ON c.tenant_id = k.tenant_id AND c.customer_id = k.customer_id""",
     "customers_by_date": "SELECT * FROM customers",
     "package_item_progress": """
         SELECT p.*, p.Date_create AS received_date,
-               (SELECT COUNT(*) FROM items i WHERE i.tracking_number = p.tracking_number
+               (SELECT COUNT(*) FROM items i WHERE i.tenant_id = p.tenant_id
+                AND i.tracking_number = p.tracking_number
                 AND i.item_status = 0) AS sum0,
-               (SELECT COUNT(*) FROM items i WHERE i.tracking_number = p.tracking_number
+               (SELECT COUNT(*) FROM items i WHERE i.tenant_id = p.tenant_id
+                AND i.tracking_number = p.tracking_number
                 AND i.item_status = 1) AS sum1
         FROM packages p""",
     "remaining_box_items": """
         SELECT bi.*, bi.quantity - t.taken AS remaining_quantity,
                bi.weight * (bi.quantity - t.taken) / nullif(bi.quantity, 0) AS adjusted_weight
         FROM items bi JOIN (
-            SELECT bi.item_id, COALESCE(SUM(sbi.sub_quantity), 0) AS taken
-            FROM items bi LEFT JOIN subbox sb ON bi.box_id = sb.box_id
-            LEFT JOIN subbox_item sbi ON sb.subbox_id = sbi.subbox_id
+            SELECT bi.tenant_id, bi.item_id, COALESCE(SUM(sbi.sub_quantity), 0) AS taken
+            FROM items bi LEFT JOIN subbox sb
+                ON bi.tenant_id = sb.tenant_id AND bi.box_id = sb.box_id
+            LEFT JOIN subbox_item sbi ON sb.tenant_id = sbi.tenant_id
+                AND sb.subbox_id = sbi.subbox_id
                 AND bi.item_id = sbi.item_id
-            WHERE bi.box_id IS NOT NULL GROUP BY bi.item_id) t ON t.item_id = bi.item_id
+            WHERE bi.box_id IS NOT NULL GROUP BY bi.tenant_id, bi.item_id) t
+            ON t.tenant_id = bi.tenant_id AND t.item_id = bi.item_id
         WHERE bi.quantity - t.taken != 0""",
     "open_item_count": """
         SELECT p.tenant_id, p.customer_id, COUNT(*) AS open_items
-        FROM items i JOIN packages p ON i.tracking_number = p.tracking_number
+        FROM items i JOIN packages p
+        ON i.tenant_id = p.tenant_id AND i.tracking_number = p.tracking_number
         WHERE i.item_status = 0 AND p.customer_id IS NOT NULL GROUP BY ALL""",
     "subbox_volumetric": """
         SELECT *, CASE WHEN weight IS NULL OR width IS NULL OR b_long IS NULL OR height IS NULL
@@ -238,7 +258,8 @@ _OPERATORS: dict[str, str] = {
         SELECT s.tenant_id, s.item_id AS subbox_item_id, s.subbox_id, s.sub_quantity,
                i.* EXCLUDE (tenant_id),
                i.weight * s.sub_quantity / nullif(i.quantity, 0) AS adjusted_weight
-        FROM subbox_item s LEFT JOIN items i ON s.item_id = i.item_id""",
+        FROM subbox_item s LEFT JOIN items i
+        ON s.tenant_id = i.tenant_id AND s.item_id = i.item_id""",
     "subbox_nested": """
         SELECT b.tenant_id, b.subbox_id,
                CASE WHEN b.weight IS NULL OR width IS NULL OR b_long IS NULL OR height IS NULL
@@ -246,8 +267,9 @@ _OPERATORS: dict[str, str] = {
                AS "volumetricWeight",
                s.item_id AS subbox_item_id, i.item_id, s.sub_quantity,
                i.weight * s.sub_quantity / nullif(i.quantity, 0) AS adjusted_weight
-        FROM subbox b LEFT JOIN subbox_item s ON b.subbox_id = s.subbox_id
-        LEFT JOIN items i ON s.item_id = i.item_id""",
+        FROM subbox b LEFT JOIN subbox_item s
+        ON b.tenant_id = s.tenant_id AND b.subbox_id = s.subbox_id
+        LEFT JOIN items i ON s.tenant_id = i.tenant_id AND s.item_id = i.item_id""",
     "box_board": """
         SELECT *, CAST(1 AS INTEGER) AS board FROM box
         WHERE box_status IN ('Ordered', 'Process', 'Packed')
@@ -255,26 +277,27 @@ _OPERATORS: dict[str, str] = {
         SELECT *, 2 FROM box WHERE box_status IN ('Paid', 'Documented')""",
     "last_tracking_per_prefix": f"""
         SELECT t.tenant_id, t.type, p.tracking_number
-        FROM types t JOIN packages p ON p.tracking_number LIKE t.type || '%'
-        QUALIFY row_number() OVER (PARTITION BY t.type
+        FROM types t JOIN packages p ON p.tenant_id = t.tenant_id
+            AND p.tracking_number LIKE t.type || '%'
+        QUALIFY row_number() OVER (PARTITION BY t.tenant_id, t.type
             ORDER BY {_NUMBER.replace('tracking_number', 'p.tracking_number')} DESC,
             p.tracking_number DESC) = 1""",
     "asset_purge_manifest": _purge(
-        "package", "tracking_number", "packages", f"tracking_number IN ({_CLOSED_PACKAGES})"
+        "package", "tracking_number", "packages", f"(tenant_id, tracking_number) IN ({_CLOSED_PACKAGES})"
     )
     + " UNION ALL "
-    + _purge("item", "item_id", "items", f"tracking_number IN ({_CLOSED_PACKAGES})"),
+    + _purge("item", "item_id", "items", f"(tenant_id, tracking_number) IN ({_CLOSED_PACKAGES})"),
     "asset_purge_packages": _purge(
         "package", "tracking_number", "packages",
-        "tracking_number IN (SELECT tracking_number FROM req_package_delete)",
+        "(tenant_id, tracking_number) IN (SELECT (tenant_id, tracking_number) FROM req_package_delete)",
     )
     + " UNION ALL "
     + _purge(
         "item", "item_id", "items",
-        "tracking_number IN (SELECT tracking_number FROM req_package_delete)",
+        "(tenant_id, tracking_number) IN (SELECT (tenant_id, tracking_number) FROM req_package_delete)",
     ),
     "asset_purge_items": _purge(
-        "item", "item_id", "items", "item_id IN (SELECT item_id FROM req_item_delete)"
+        "item", "item_id", "items", "(tenant_id, item_id) IN (SELECT (tenant_id, item_id) FROM req_item_delete)"
     ),
     "asset_keys": r"""
         SELECT e.emp_database AS tenant_id, u.upload_id, u.kind, e.emp_database || CASE
@@ -294,14 +317,17 @@ _OPERATORS: dict[str, str] = {
             AS stored_name FROM page_files""",
     "file_prefix_matches": """
         SELECT k.tenant_id, k.photo_name, f.file_name
-        FROM photo_names k JOIN stored_files f ON starts_with(f.file_name, k.photo_name)""",
+        FROM photo_names k JOIN stored_files f ON f.tenant_id = k.tenant_id
+            AND starts_with(f.file_name, k.photo_name)""",
     "file_prefix_first": """
         SELECT k.tenant_id, k.photo_name, min(f.file_name) AS file_name
-        FROM photo_names k JOIN stored_files f ON starts_with(f.file_name, k.photo_name)
+        FROM photo_names k JOIN stored_files f ON f.tenant_id = k.tenant_id
+            AND starts_with(f.file_name, k.photo_name)
         GROUP BY ALL""",
     "file_exact_matches": """
         SELECT k.tenant_id, k.photo_name, f.file_name
-        FROM photo_names k JOIN stored_files f ON f.file_name = k.photo_name""",
+        FROM photo_names k JOIN stored_files f ON f.tenant_id = k.tenant_id
+            AND f.file_name = k.photo_name""",
 }
 _OPERATORS["package_item_progress_unclaimed"] = (
     _OPERATORS["package_item_progress"] + " WHERE p.customer_id IS NULL"
@@ -315,35 +341,37 @@ _POSTAL = "address city state country zipcode phone"
 def _clear_when_done(request: str, item_key: str) -> str:
     """Status after deletions, seen by each customer's last request."""
     return f"""
-        , asked AS (SELECT customer_id, max(seq) AS last_seq FROM {request}
-            WHERE customer_id <> '' GROUP BY customer_id),
-        gone AS (SELECT {item_key}, min(seq) AS gone_seq FROM {request} GROUP BY {item_key})
-        SELECT c.* REPLACE (CASE WHEN c.status <> 'Unpaid' AND EXISTS
-            (SELECT 1 FROM asked a WHERE a.customer_id = c.customer_id)
-            AND NOT EXISTS (
-                SELECT 1 FROM asked a JOIN packages p ON p.customer_id = a.customer_id
-                JOIN items i ON i.tracking_number = p.tracking_number
-                LEFT JOIN gone g ON g.{item_key} = i.{item_key}
-                WHERE a.customer_id = c.customer_id AND i.item_status = 0
-                AND (g.gone_seq IS NULL OR g.gone_seq > a.last_seq))
+        , asked AS (SELECT tenant_id, customer_id, max(seq) AS last_seq FROM {request}
+            WHERE customer_id <> '' GROUP BY tenant_id, customer_id),
+        gone AS (SELECT tenant_id, {item_key}, min(seq) AS gone_seq FROM {request}
+            GROUP BY tenant_id, {item_key}),
+        holding AS (SELECT DISTINCT a.tenant_id, a.customer_id FROM asked a
+            JOIN packages p ON (p.tenant_id, p.customer_id) = (a.tenant_id, a.customer_id)
+            JOIN items i ON (i.tenant_id, i.tracking_number) = (p.tenant_id, p.tracking_number)
+            LEFT JOIN gone g ON (g.tenant_id, g.{item_key}) = (i.tenant_id, i.{item_key})
+            WHERE i.item_status = 0 AND (g.gone_seq IS NULL OR g.gone_seq > a.last_seq))
+        SELECT c.* REPLACE (CASE WHEN c.status <> 'Unpaid'
+            AND (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM asked)
+            AND (tenant_id, customer_id) NOT IN (SELECT (tenant_id, customer_id) FROM holding)
             THEN NULL ELSE c.status END AS status)
         FROM customers c"""
 
 
 _OPEN_ITEM = (
-    "EXISTS (SELECT 1 FROM items i WHERE i.item_status = 0 AND i.tracking_number IN "
-    "(SELECT tracking_number FROM packages p WHERE p.customer_id = c.customer_id))"
+    "EXISTS (SELECT 1 FROM items i JOIN packages p ON i.tenant_id = p.tenant_id "
+    "AND i.tracking_number = p.tracking_number WHERE i.item_status = 0 "
+    "AND p.tenant_id = c.tenant_id AND p.customer_id = c.customer_id)"
 )
 
-_ITEM_ENTRIES = """(
-    SELECT 'main' AS tenant_id, 'N' || CAST(o_orderkey AS VARCHAR) || '-1' AS item_id,
+_ITEM_ENTRIES = f"""(
+    SELECT {tenant_of('o_orderkey')} AS tenant_id, 'N' || CAST(o_orderkey AS VARCHAR) || '-1' AS item_id,
            'TH-' || CAST(o_orderkey AS VARCHAR) AS tracking_number,
            o_orderstatus AS item_name, o_orderpriority AS item_type, '' AS item_subtype,
            CAST(0 AS DOUBLE) AS quantity, o_totalprice AS weight, NULL AS packer_id,
            NULL AS photo_url, '7' AS emp_id, 0 AS item_status, NULL AS box_id
     FROM orders WHERE o_orderpriority = '1-URGENT'
     UNION ALL
-    SELECT 'main', 'N' || CAST(o_orderkey AS VARCHAR) || '-3',
+    SELECT {tenant_of('o_orderkey')}, 'N' || CAST(o_orderkey AS VARCHAR) || '-3',
            'TH-' || CAST(o_orderkey AS VARCHAR), 'fish', 'food', 'dry', 3, 0, NULL,
            'p', '7', 0, NULL
     FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F')"""
@@ -354,8 +382,8 @@ _NEW_BOXES = """(
     SELECT * FROM (
         SELECT r.*, sender || '_' || strftime(submitted_at, '%Y-%m-%dT%H:%M:%S') AS box_id
         FROM req_box_insert r) named
-    WHERE box_id NOT IN (SELECT box_id FROM box)
-    QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY seq) = 1)"""
+    WHERE (tenant_id, box_id) NOT IN (SELECT (tenant_id, box_id) FROM box)
+    QUALIFY row_number() OVER (PARTITION BY tenant_id, box_id ORDER BY seq) = 1)"""
 
 _LAST_EMPLOYEE = """(
     SELECT CAST((SELECT max(CAST(emp_id AS BIGINT)) FROM employee) + 1 + r.seq
@@ -366,7 +394,10 @@ _LAST_EMPLOYEE = """(
 
 
 def _latest_present(request: str, key: str, column: str, condition: str) -> str:
-    return f"LEFT JOIN {_last(request, key, condition)} {column}_f ON b.{key} = {column}_f.{key}"
+    return (
+        f"LEFT JOIN {_last(request, key, condition)} {column}_f "
+        f"ON {_same(request, 'b', column + '_f')}b.{key} = {column}_f.{key}"
+    )
 
 
 def _update_present(table: str, request: str, key: str, columns: dict[str, str]) -> str:
@@ -383,8 +414,8 @@ _JOBS: dict[str, str] = {
     "chg_customer_insert": """
         SELECT * FROM customers UNION ALL BY NAME
         SELECT tenant_id, customer_id, contact, type, level, note, 0 AS packages
-        FROM req_customer_insert WHERE customer_id NOT IN (SELECT customer_id FROM customers)
-        QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq) = 1""",
+        FROM req_customer_insert WHERE (tenant_id, customer_id) NOT IN (SELECT (tenant_id, customer_id) FROM customers)
+        QUALIFY row_number() OVER (PARTITION BY tenant_id, customer_id ORDER BY seq) = 1""",
     "chg_customer_edit": _update(
         "customers", "req_customer_edit", "customer_id", "customer_id contact type level note",
         "old_id",
@@ -402,33 +433,34 @@ _JOBS: dict[str, str] = {
             CASE WHEN d.customer_id IS NOT NULL THEN d.doc_type ELSE b.doc_type END AS doc_type,
             CASE WHEN d.customer_id IS NOT NULL THEN d.doc_url ELSE b.doc_url END AS doc_url)
         FROM customers b
-        LEFT JOIN {_last("req_customer_event", "customer_id")} f ON b.customer_id = f.customer_id
+        LEFT JOIN {_last("req_customer_event", "customer_id")} f
+            ON b.tenant_id = f.tenant_id AND b.customer_id = f.customer_id
         LEFT JOIN {_last("req_customer_event", "customer_id", "has_doc_type AND has_doc_url")} d
-            ON b.customer_id = d.customer_id""",
+            ON b.tenant_id = d.tenant_id AND b.customer_id = d.customer_id""",
     "chg_customer_delete": """
-        SELECT * FROM customers WHERE customer_id NOT IN
-            (SELECT customer_id FROM req_customer_delete)""",
+        SELECT * FROM customers WHERE (tenant_id, customer_id) NOT IN
+            (SELECT (tenant_id, customer_id) FROM req_customer_delete)""",
     "chg_customer_delete_subbox_item": f"""
-        SELECT * FROM subbox_item WHERE subbox_id NOT IN
-            (SELECT subbox_id FROM subbox WHERE box_id IN ({_CLOSED_BOXES}))""",
+        SELECT * FROM subbox_item WHERE (tenant_id, subbox_id) NOT IN
+            (SELECT (tenant_id, subbox_id) FROM subbox WHERE (tenant_id, box_id) IN ({_CLOSED_BOXES}))""",
     "chg_customer_delete_subbox": f"""
-        SELECT * FROM subbox WHERE (box_id IN ({_CLOSED_BOXES})) IS NOT TRUE""",
+        SELECT * FROM subbox WHERE ((tenant_id, box_id) IN ({_CLOSED_BOXES})) IS NOT TRUE""",
     "chg_customer_delete_slip": f"""
-        SELECT * FROM slip WHERE (box_id IN ({_CLOSED_BOXES})) IS NOT TRUE""",
+        SELECT * FROM slip WHERE ((tenant_id, box_id) IN ({_CLOSED_BOXES})) IS NOT TRUE""",
     "chg_customer_delete_items": f"""
-        SELECT * FROM items WHERE (tracking_number IN ({_CLOSED_PACKAGES})) IS NOT TRUE""",
+        SELECT * FROM items WHERE ((tenant_id, tracking_number) IN ({_CLOSED_PACKAGES})) IS NOT TRUE""",
     "chg_customer_delete_packages": """
-        SELECT * FROM packages WHERE (customer_id IN
-            (SELECT customer_id FROM req_customer_delete)) IS NOT TRUE""",
+        SELECT * FROM packages WHERE ((tenant_id, customer_id) IN
+            (SELECT (tenant_id, customer_id) FROM req_customer_delete)) IS NOT TRUE""",
     "chg_customer_delete_box": """
-        SELECT * FROM box WHERE (customer_id IN
-            (SELECT customer_id FROM req_customer_delete)) IS NOT TRUE""",
+        SELECT * FROM box WHERE ((tenant_id, customer_id) IN
+            (SELECT (tenant_id, customer_id) FROM req_customer_delete)) IS NOT TRUE""",
     "chg_customer_delete_appointment": """
-        SELECT * FROM appointment WHERE (customer_id IN
-            (SELECT customer_id FROM req_customer_delete)) IS NOT TRUE""",
+        SELECT * FROM appointment WHERE ((tenant_id, customer_id) IN
+            (SELECT (tenant_id, customer_id) FROM req_customer_delete)) IS NOT TRUE""",
     "chg_customer_delete_addresses": """
-        SELECT * FROM addresses WHERE (customer_id IN
-            (SELECT customer_id FROM req_customer_delete)) IS NOT TRUE""",
+        SELECT * FROM addresses WHERE ((tenant_id, customer_id) IN
+            (SELECT (tenant_id, customer_id) FROM req_customer_delete)) IS NOT TRUE""",
     "chg_address_insert": f"""
         SELECT * FROM addresses UNION ALL BY NAME
         SELECT r.* EXCLUDE (seq),
@@ -438,8 +470,8 @@ _JOBS: dict[str, str] = {
         "addresses", "req_address_edit", "address_id", "recipient_name " + _POSTAL
     ),
     "chg_address_delete": """
-        SELECT * FROM addresses WHERE address_id NOT IN
-            (SELECT address_id FROM req_address_delete)""",
+        SELECT * FROM addresses WHERE (tenant_id, address_id) NOT IN
+            (SELECT (tenant_id, address_id) FROM req_address_delete)""",
     "chg_package_insert": """
         SELECT * FROM packages UNION ALL BY NAME
         SELECT tenant_id, tracking_number,
@@ -448,7 +480,7 @@ _JOBS: dict[str, str] = {
                CASE WHEN has_packages_cost THEN packages_cost END AS packages_cost,
                photo_url, emp_id, Date_create
         FROM req_package_insert
-        WHERE tracking_number NOT IN (SELECT tracking_number FROM packages)""",
+        WHERE (tenant_id, tracking_number) NOT IN (SELECT (tenant_id, tracking_number) FROM packages)""",
     "chg_package_edit": """
         SELECT b.* REPLACE (
             CASE WHEN r.old_id IS NOT NULL THEN r.tracking_number ELSE b.tracking_number END
@@ -457,18 +489,20 @@ _JOBS: dict[str, str] = {
                  WHEN r.customer_id IN ('MISSINGITEMS', '') THEN NULL ELSE r.customer_id END
                 AS customer_id,
             CASE WHEN r.old_id IS NOT NULL THEN r.photo_url ELSE b.photo_url END AS photo_url)
-        FROM packages b LEFT JOIN req_package_edit r ON b.tracking_number = r.old_id""",
+        FROM packages b LEFT JOIN req_package_edit r
+        ON b.tenant_id = r.tenant_id AND b.tracking_number = r.old_id""",
     "chg_package_delete": """
-        SELECT * FROM packages WHERE tracking_number NOT IN
-            (SELECT tracking_number FROM req_package_delete)""",
+        SELECT * FROM packages WHERE (tenant_id, tracking_number) NOT IN
+            (SELECT (tenant_id, tracking_number) FROM req_package_delete)""",
     "chg_package_delete_items": """
-        SELECT * FROM items WHERE tracking_number NOT IN
-            (SELECT tracking_number FROM req_package_delete)""",
+        SELECT * FROM items WHERE (tenant_id, tracking_number) NOT IN
+            (SELECT (tenant_id, tracking_number) FROM req_package_delete)""",
     "chg_package_delete_customers": _clear_when_done("req_package_delete", "tracking_number"),
     "chg_items_insert": f"SELECT * FROM items UNION ALL BY NAME SELECT * FROM {_ITEM_ENTRIES}",
-    "chg_items_insert_customers": """
-        SELECT c.* REPLACE (CASE WHEN c.status IS NULL AND c.customer_id IN (
-            SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')
+    "chg_items_insert_customers": f"""
+        SELECT c.* REPLACE (CASE WHEN c.status IS NULL AND (c.tenant_id, c.customer_id) IN (
+            SELECT ({tenant_of('o_orderkey')}, CAST(o_custkey AS VARCHAR)) FROM orders
+            WHERE o_orderpriority = '1-URGENT')
             THEN 'Warehouse' ELSE c.status END AS status)
         FROM customers c""",
     "chg_item_edit": _update(
@@ -477,47 +511,53 @@ _JOBS: dict[str, str] = {
         condition="item_name <> '' AND item_type <> ''",
     ),
     "chg_item_delete": """
-        SELECT * FROM items WHERE item_id NOT IN (SELECT item_id FROM req_item_delete)""",
+        SELECT * FROM items WHERE (tenant_id, item_id) NOT IN (SELECT (tenant_id, item_id) FROM req_item_delete)""",
     "chg_item_delete_customers": _clear_when_done("req_item_delete", "item_id"),
-    "chg_subbox_insert": """
+    "chg_subbox_insert": f"""
         SELECT * FROM subbox UNION ALL BY NAME
-        SELECT 'main' AS tenant_id, (SELECT max(subbox_id) FROM subbox) + 1 + o_orderkey
-               - (SELECT min(o_orderkey) FROM orders) AS subbox_id,
+        SELECT o.tenant_id, (SELECT max(subbox_id) FROM subbox b WHERE b.tenant_id = o.tenant_id)
+               + 1 + o_orderkey - (SELECT min(seq) FROM req_box_insert r
+               WHERE r.tenant_id = o.tenant_id) AS subbox_id,
                CAST(o_custkey AS VARCHAR) AS box_id, o_totalprice AS weight,
                CAST(10 AS DOUBLE) AS width, CAST(20 AS DOUBLE) AS b_long,
                CAST(30 AS DOUBLE) AS height, o_orderstatus AS img_url, '3' AS emp_id
-        FROM orders""",
-    "chg_subbox_insert_subbox_item": """
+        FROM (SELECT {tenant_of('o_orderkey')} AS tenant_id, * FROM orders) o""",
+    "chg_subbox_insert_subbox_item": f"""
         SELECT * FROM subbox_item UNION ALL BY NAME
-        SELECT 'main' AS tenant_id, (SELECT max(subbox_id) FROM subbox) + 1 + o_orderkey
-               - (SELECT min(o_orderkey) FROM orders) AS subbox_id,
+        SELECT o.tenant_id, (SELECT max(subbox_id) FROM subbox b WHERE b.tenant_id = o.tenant_id)
+               + 1 + o_orderkey - (SELECT min(seq) FROM req_box_insert r
+               WHERE r.tenant_id = o.tenant_id) AS subbox_id,
                part || CAST(o_orderkey AS VARCHAR) AS item_id,
                CAST(CASE WHEN part = 'A' THEN CASE WHEN o_orderstatus = 'F' THEN 9 ELSE 4 END
                     WHEN o_orderstatus = 'P' THEN 2 END AS DOUBLE) AS sub_quantity
-        FROM orders, (VALUES ('A'), ('B')) parts(part)""",
+        FROM (SELECT {tenant_of('o_orderkey')} AS tenant_id, * FROM orders) o,
+             (VALUES ('A'), ('B')) parts(part)""",
     "chg_subbox_edit": _update(
         "subbox", "req_subbox_event", "subbox_id", "weight width b_long height img_url"
     ),
-    "chg_subbox_tracking": """
+    "chg_subbox_tracking": f"""
         , entries AS (
-            SELECT user_id * 10 + 1 AS subbox_id, event_id AS seq, 0 AS pos,
+            SELECT {tenant_of('event_id')} AS tenant_id, user_id * 10 + 1 AS subbox_id,
+                   event_id AS seq, 0 AS pos,
                    event_type AS subbox_tracking, value AS subbox_cost FROM events
-            UNION ALL SELECT user_id * 10 + 2, event_id, 1, props,
+            UNION ALL SELECT {tenant_of('event_id')}, user_id * 10 + 2, event_id, 1, props,
                    CASE WHEN event_type = 'view' THEN NULL ELSE value + 1 END FROM events
-            UNION ALL SELECT user_id * 10 + 1, event_id, 2, NULL, value FROM events),
+            UNION ALL SELECT {tenant_of('event_id')}, user_id * 10 + 1, event_id, 2, NULL, value FROM events),
         latest AS (SELECT * FROM entries
-            QUALIFY row_number() OVER (PARTITION BY subbox_id ORDER BY seq DESC, pos DESC) = 1)
+            QUALIFY row_number() OVER (PARTITION BY tenant_id, subbox_id
+                ORDER BY seq DESC, pos DESC) = 1)
         SELECT b.* REPLACE (
             CASE WHEN f.subbox_id IS NOT NULL THEN f.subbox_tracking ELSE b.subbox_tracking END
                 AS subbox_tracking,
             CASE WHEN f.subbox_id IS NOT NULL THEN f.subbox_cost ELSE b.subbox_cost END
                 AS subbox_cost)
-        FROM subbox b LEFT JOIN latest f ON b.subbox_id = f.subbox_id""",
+        FROM subbox b LEFT JOIN latest f
+        ON b.tenant_id = f.tenant_id AND b.subbox_id = f.subbox_id""",
     "chg_subbox_delete": """
-        SELECT * FROM subbox WHERE subbox_id NOT IN (SELECT subbox_id FROM req_subbox_delete)""",
+        SELECT * FROM subbox WHERE (tenant_id, subbox_id) NOT IN (SELECT (tenant_id, subbox_id) FROM req_subbox_delete)""",
     "chg_subbox_delete_subbox_item": """
-        SELECT * FROM subbox_item WHERE subbox_id NOT IN
-            (SELECT subbox_id FROM req_subbox_delete)""",
+        SELECT * FROM subbox_item WHERE (tenant_id, subbox_id) NOT IN
+            (SELECT (tenant_id, subbox_id) FROM req_subbox_delete)""",
     "chg_subbox_item_add": """
         SELECT tenant_id, subbox_id, item_id,
                CASE WHEN sub_quantity = 3 THEN NULL ELSE sub_quantity + sub_quantity + 2 END
@@ -538,11 +578,12 @@ _JOBS: dict[str, str] = {
             CASE WHEN n.box_id IS NOT NULL THEN n.box_id ELSE i.box_id END AS box_id,
             CASE WHEN n.box_id IS NOT NULL THEN 1 ELSE i.item_status END AS item_status)
         FROM items i LEFT JOIN (
-            SELECT k.item_id, b.box_id FROM req_box_contents k JOIN {_NEW_BOXES} b
-            ON k.seq = b.seq) n ON i.item_id = n.item_id""",
+            SELECT k.tenant_id, k.item_id, b.box_id FROM req_box_contents k JOIN {_NEW_BOXES} b
+            ON k.tenant_id = b.tenant_id AND k.seq = b.seq) n
+            ON i.tenant_id = n.tenant_id AND i.item_id = n.item_id""",
     "chg_box_insert_customers": f"""
         SELECT c.* REPLACE (CAST(c.packages + (SELECT COUNT(*) FROM {_NEW_BOXES} b
-            WHERE b.sender = c.customer_id) AS INTEGER) AS packages)
+            WHERE b.tenant_id = c.tenant_id AND b.sender = c.customer_id) AS INTEGER) AS packages)
         FROM customers c""",
     "chg_box_edit": _update_present(
         "box", "req_box_edit", "box_id",
@@ -563,42 +604,46 @@ _JOBS: dict[str, str] = {
         FROM customers c LEFT JOIN {_last(
             "req_box_edit", "customer_id",
             "customer_id IS NOT NULL AND (has_bprice OR (NOT has_discount AND has_customer_id))",
-        )} f ON c.customer_id = f.customer_id""",
+        )} f ON c.tenant_id = f.tenant_id AND c.customer_id = f.customer_id""",
     "chg_box_priority": _update("box", "req_box_priority", "box_id", "priority"),
-    "chg_box_delete": f"SELECT * FROM box WHERE box_id NOT IN ({_GONE_BOXES})",
+    "chg_box_delete": f"SELECT * FROM box WHERE (tenant_id, box_id) NOT IN ({_GONE_BOXES})",
     "chg_box_delete_items": f"""
         SELECT * REPLACE (
-            CASE WHEN box_id IN ({_GONE_BOXES}) THEN 0 ELSE item_status END AS item_status,
-            CASE WHEN box_id IN ({_GONE_BOXES}) THEN NULL ELSE box_id END AS box_id)
+            CASE WHEN (tenant_id, box_id) IN ({_GONE_BOXES}) THEN 0 ELSE item_status END AS item_status,
+            CASE WHEN (tenant_id, box_id) IN ({_GONE_BOXES}) THEN NULL ELSE box_id END AS box_id)
         FROM items""",
     "chg_box_delete_subbox_item": f"""
-        SELECT * FROM subbox_item WHERE subbox_id NOT IN
-            (SELECT subbox_id FROM subbox WHERE box_id IN ({_GONE_BOXES}))""",
+        SELECT * FROM subbox_item WHERE (tenant_id, subbox_id) NOT IN
+            (SELECT (tenant_id, subbox_id) FROM subbox WHERE (tenant_id, box_id) IN ({_GONE_BOXES}))""",
     "chg_box_delete_subbox": f"""
-        SELECT * FROM subbox WHERE (box_id IN ({_GONE_BOXES})) IS NOT TRUE""",
+        SELECT * FROM subbox WHERE ((tenant_id, box_id) IN ({_GONE_BOXES})) IS NOT TRUE""",
     "chg_box_delete_customers": """
-        , asked AS (SELECT customer_id, max(seq) AS last_seq, COUNT(*) AS times
-            FROM req_box_delete GROUP BY customer_id),
-        gone AS (SELECT box_id, min(seq) AS gone_seq FROM req_box_delete GROUP BY box_id)
+        , asked AS (SELECT tenant_id, customer_id, max(seq) AS last_seq, COUNT(*) AS times
+            FROM req_box_delete GROUP BY tenant_id, customer_id),
+        gone AS (SELECT tenant_id, box_id, min(seq) AS gone_seq FROM req_box_delete
+            GROUP BY tenant_id, box_id)
         SELECT c.* REPLACE (
             CAST(c.packages - coalesce(a.times, 0) AS INTEGER) AS packages,
             CASE WHEN a.customer_id IS NULL THEN c.status
-                 WHEN EXISTS (SELECT 1 FROM box b LEFT JOIN gone g ON b.box_id = g.box_id
-                    WHERE b.customer_id = c.customer_id AND b.box_status = 'Packed'
+                 WHEN EXISTS (SELECT 1 FROM box b LEFT JOIN gone g
+                    ON b.tenant_id = g.tenant_id AND b.box_id = g.box_id
+                    WHERE b.tenant_id = c.tenant_id AND b.customer_id = c.customer_id AND b.box_status = 'Packed'
                     AND (g.gone_seq IS NULL OR g.gone_seq > a.last_seq)) THEN c.status
                  WHEN EXISTS (SELECT 1 FROM items i
-                    JOIN packages p ON p.tracking_number = i.tracking_number
-                    LEFT JOIN gone g ON g.box_id = i.box_id
-                    WHERE p.customer_id = c.customer_id
+                    JOIN packages p ON p.tenant_id = i.tenant_id
+                    AND p.tracking_number = i.tracking_number
+                    LEFT JOIN gone g ON g.tenant_id = i.tenant_id AND g.box_id = i.box_id
+                    WHERE p.tenant_id = c.tenant_id AND p.customer_id = c.customer_id
                     AND (i.item_status = 0 OR g.gone_seq <= a.last_seq)) THEN 'Warehouse'
                  ELSE NULL END AS status)
-        FROM customers c LEFT JOIN asked a ON a.customer_id = c.customer_id""",
+        FROM customers c LEFT JOIN asked a
+        ON a.tenant_id = c.tenant_id AND a.customer_id = c.customer_id""",
     "chg_slip_insert": f"""
         SELECT * FROM slip UNION ALL BY NAME
         SELECT r.* EXCLUDE (seq), {_numbered('slip_id', 'slip', 'req_slip_insert')} AS slip_id
         FROM req_slip_insert r""",
     "chg_slip_delete": """
-        SELECT * FROM slip WHERE slip_id NOT IN (SELECT slip_id FROM req_slip_delete)""",
+        SELECT * FROM slip WHERE (tenant_id, slip_id) NOT IN (SELECT (tenant_id, slip_id) FROM req_slip_delete)""",
     "chg_appointment_insert": f"""
         SELECT * FROM appointment UNION ALL BY NAME
         SELECT r.* EXCLUDE (seq, pickupdate, "pickupTime"), title AS customer_id,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelyard.operators import aggregates, joins, lookups, nesting, prefixes
 from parcelyard.plans import assets, boxes, customers, office, packages
 from parcelyard.sources import documents, settings
-from parcelyard.trial.tables import TABLES, Tables, raw
+from parcelyard.trial.tables import TABLES, Tables, raw, tenant_of
 
 AS_OF = dt.date(2024, 1, 15)
 
@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _item_requests(t: Tables) -> DataFrame:
     return raw(t.spark, t.sf_dir, "orders").selectExpr(
-        "'main' AS tenant_id",
+        f"{tenant_of('o_orderkey')} AS tenant_id",
         "o_orderkey AS seq",
         "CASE o_orderpriority WHEN '1-URGENT' THEN CAST(o_custkey AS STRING) "
         "WHEN '2-HIGH' THEN '' END AS customer_id",
@@ -46,7 +46,7 @@ def _item_requests(t: Tables) -> DataFrame:
 
 def _subbox_requests(t: Tables) -> DataFrame:
     return raw(t.spark, t.sf_dir, "orders").selectExpr(
-        "'main' AS tenant_id",
+        f"{tenant_of('o_orderkey')} AS tenant_id",
         "o_orderkey AS seq",
         "CAST(o_custkey AS STRING) AS box_id",
         "o_totalprice AS weight",
@@ -68,7 +68,7 @@ def _subbox_requests(t: Tables) -> DataFrame:
 
 def _tracking_requests(t: Tables) -> DataFrame:
     return raw(t.spark, t.sf_dir, "events").selectExpr(
-        "'main' AS tenant_id",
+        f"{tenant_of('event_id')} AS tenant_id",
         "event_id AS seq",
         "array(user_id * 10 + 1, user_id * 10 + 2, user_id * 10 + 1) AS subbox_id",
         "array(event_type, props) AS subbox_tracking",
