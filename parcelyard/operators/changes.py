@@ -16,6 +16,7 @@ from parcelyard.operators.keyed import distinct_keys, drop_keys, on
 from parcelyard.schemas import INSERT_DEFAULTS, TENANT
 
 SEQ = "seq"
+_SALTS = 32
 
 
 def cast_like(base: DataFrame, rows: DataFrame, table: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def first_by_key(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
         .select(TENANT, key, "_row.*")
     )
     stored = base.select(*on(key)).join(distinct_keys(rows, key), on(key), "left_semi")
-    return drop_keys(first, stored, key)
+    return drop_keys(first, stored, key, one_each=True)
 
 
 def number_rows(
@@ -65,10 +66,14 @@ def number_rows(
     start = rows.groupBy(scope).agg(
         F.min(seq).alias("_first"), F.max(F.lit(width)).alias("_step")
     )
-    numbered = rows.join(start.join(top, scope, "left"), scope)
+    # One row per tenant, repeated for each salt, so that no tenant is one task.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    start = start.join(top, scope, "left").withColumn("_salt", salts)
+    salted = rows.withColumn("_salt", F.pmod(seq, F.lit(_SALTS)).cast("int"))
+    numbered = salted.join(start, [scope, "_salt"])
     return numbered.withColumn(
         key, F.coalesce("_top", F.lit(0)) + 1 + (seq - F.col("_first")) * F.col("_step")
-    ).drop("_top", "_first", "_step")
+    ).drop("_top", "_first", "_step", "_salt")
 
 
 def update_by_key(

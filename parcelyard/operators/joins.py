@@ -18,6 +18,7 @@ def customer_by_tracking(
         packages.select(TENANT, "tracking_number", "customer_id").dropna(subset=["customer_id"]),
         keys,
         "tracking_number",
+        one_each=True,
     )
     who = customers.select(TENANT, "customer_id", "contact", "type", "level", "note")
     return owned.join(who, on("customer_id")).select(
@@ -52,7 +53,7 @@ def fully_packed_packages(items: DataFrame) -> DataFrame:
 
 
 def packages_not_fully_packed(packages: DataFrame, items: DataFrame) -> DataFrame:
-    return drop_keys(packages, fully_packed_packages(items), "tracking_number")
+    return drop_keys(packages, fully_packed_packages(items), "tracking_number", one_each=True)
 
 
 def customers_with_open_items(
@@ -64,7 +65,7 @@ def customers_with_open_items(
     )
     open_items = items.filter(F.col("item_status") == ITEM_OPEN)
     if only is None:
-        holding = keep_keys(owned, open_items, "tracking_number")
+        holding = keep_keys(owned, open_items, "tracking_number", one_each=True)
     else:
         # Few packages: they may go to the items, which then need no shuffle.
         asked = keep_keys(owned, only, "customer_id")

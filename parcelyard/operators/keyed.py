@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.schemas import TENANT
 
-# NULL foreign keys never match, yet they would all hash to one join partition.
+# Rows with a NULL key match nothing, yet they would all hash to one partition.
 _NULL_BUCKETS = 512
 
 
@@ -21,51 +21,62 @@ def distinct_keys(rows: DataFrame, *cols: str) -> DataFrame:
     return keys.dropna(subset=list(cols)).distinct()
 
 
-def keep_keys(rows: DataFrame, keys: DataFrame | None, *cols: str) -> DataFrame:
-    """Rows whose key is listed; all rows when no list is given."""
+def match(
+    rows: DataFrame, listed: DataFrame, *cols: str, how: str = "inner", spread_by: str | None = None
+) -> DataFrame:
+    """Join rows, many of which may share a key, to an aggregated side.
+
+    Adaptive execution splits a hot key only where both sides of the join are
+    shuffled for it. An aggregate already shuffled by the key would be joined in
+    place, so the join gets a third key, 0 wherever the key is known. Rows with a
+    NULL key, which never match, are spread by their identity ``spread_by``.
+    """
+    zero = F.pmod(F.xxhash64(*on(*cols)), F.lit(1))
+    bucket = zero
+    if spread_by is not None:
+        lost = F.pmod(F.xxhash64(spread_by), F.lit(_NULL_BUCKETS))
+        bucket = F.when(F.col(cols[0]).isNull(), lost).otherwise(zero)
+    left = rows.withColumn("_bucket", bucket)
+    right = listed.withColumn("_bucket", zero)
+    return left.join(right, [*on(*cols), "_bucket"], how).drop("_bucket")
+
+
+def keep_keys(
+    rows: DataFrame, keys: DataFrame | None, *cols: str, one_each: bool = False
+) -> DataFrame:
+    """Rows whose key is listed; all rows when no list is given.
+
+    ``one_each`` tells that the key is the rows' own, so that none can be hot.
+    """
     if keys is None:
         return rows
-    found = rows.join(distinct_keys(keys, *cols), on(*cols), "left_semi")
+    listed = distinct_keys(keys, *cols)
+    if one_each:
+        found = rows.join(listed, on(*cols), "left_semi")
+    else:
+        found = match(rows, listed, *cols, how="left_semi")
     return found.select(*rows.columns)
 
 
 def drop_keys(
-    rows: DataFrame, keys: DataFrame, *cols: str, spread_by: str | None = None
+    rows: DataFrame,
+    keys: DataFrame,
+    *cols: str,
+    one_each: bool = False,
+    spread_by: str | None = None,
 ) -> DataFrame:
-    """Rows whose key is not listed.
-
-    ``spread_by`` names the row identity when the key column may be NULL.
-    """
+    """Rows whose key is not listed."""
     listed = distinct_keys(keys, *cols)
-    rest = left_by_key(rows, listed, *cols, spread_by=spread_by, how="left_anti")
+    if one_each:
+        rest = rows.join(listed, on(*cols), "left_anti")
+    else:
+        rest = match(rows, listed, *cols, how="left_anti", spread_by=spread_by)
     return rest.select(*rows.columns)
 
 
-def mark_keys(
-    rows: DataFrame, keys: DataFrame, *cols: str, name: str, spread_by: str | None = None
-) -> DataFrame:
-    """Add a boolean column telling whether the row's key is listed."""
+def mark_keys(rows: DataFrame, keys: DataFrame, *cols: str, name: str) -> DataFrame:
+    """Add a boolean column telling whether the row's own key is listed."""
     listed = distinct_keys(keys, *cols).withColumn("_listed", F.lit(True))
-    marked = left_by_key(rows, listed, *cols, spread_by=spread_by)
-    return marked.select(
+    return rows.join(listed, on(*cols), "left").select(
         *rows.columns, F.coalesce("_listed", F.lit(False)).alias(name)
     )
-
-
-def left_by_key(
-    rows: DataFrame,
-    other: DataFrame,
-    *cols: str,
-    spread_by: str | None = None,
-    how: str = "left",
-) -> DataFrame:
-    """Left (or anti) join on the key, rows with a NULL key spread over buckets."""
-    if spread_by is None:
-        return rows.join(other, on(*cols), how)
-    bucket = F.when(
-        F.col(cols[0]).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(_NULL_BUCKETS))
-    ).otherwise(F.lit(0).cast("bigint"))
-    left = rows.withColumn("_bucket", bucket)
-    right = other.withColumn("_bucket", F.lit(0).cast("bigint"))
-    return left.join(right, [*on(*cols), "_bucket"], how).drop("_bucket")
-

@@ -13,11 +13,11 @@ from parcelyard.schemas import ITEM_OPEN, PENDING, SECRET_COLUMNS
 
 
 def customers_by_key(customers: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    return keep_keys(customers, keys, "customer_id")
+    return keep_keys(customers, keys, "customer_id", one_each=True)
 
 
 def addresses_by_key(addresses: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    return keep_keys(addresses, keys, "address_id")
+    return keep_keys(addresses, keys, "address_id", one_each=True)
 
 
 def addresses_of_customer(addresses: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -33,11 +33,11 @@ def open_items_of_package(items: DataFrame, keys: DataFrame | None = None) -> Da
 
 
 def subbox_by_key(subbox: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    return keep_keys(subbox, keys, "subbox_id")
+    return keep_keys(subbox, keys, "subbox_id", one_each=True)
 
 
 def box_by_key(box: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    return keep_keys(box, keys, "box_id")
+    return keep_keys(box, keys, "box_id", one_each=True)
 
 
 def items_of_box(items: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.functions.values import greatest_or_null, share
-from parcelyard.operators.keyed import keep_keys, on
+from parcelyard.operators.keyed import keep_keys, match, on
 from parcelyard.schemas import BOARDS, TENANT, VOLUMETRIC_DIVISOR
 
 
@@ -58,7 +58,7 @@ def subbox_nested(
     parts = wanted.groupBy(*on("subbox_id")).agg(
         F.ceil(F.count("*") / part_rows).alias("parts")
     )
-    split = wanted.join(parts, on("subbox_id")).withColumn(
+    split = match(wanted, parts, "subbox_id").withColumn(
         "part", F.pmod(F.xxhash64("item_id"), F.col("parts"))
     )
     rows = subbox_item_weights(split, items)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.functions.values import leading_unsigned
-from parcelyard.operators.keyed import on
+from parcelyard.operators.keyed import match, on
 from parcelyard.schemas import TENANT
 
 
@@ -26,7 +26,7 @@ def join_on_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str)
         .withColumn(prefix, F.left(text, F.col("_length")))
         .drop("_length")
     )
-    return pieces.join(prefixes, on(prefix))
+    return match(pieces, prefixes, prefix)
 
 
 def last_tracking_per_prefix(
@@ -42,7 +42,9 @@ def last_tracking_per_prefix(
     tracking = F.col("tracking_number")
     texts = packages.select(TENANT, "tracking_number").withColumn("_text", fold(tracking))
     found = join_on_prefix(texts, "_text", asked, "_anchor").filter(
-        F.like(F.col("_text"), F.concat(fold(F.col("type")), F.lit("%")))
+        # A type without wildcards is its own anchor and has matched already.
+        (fold(F.col("type")) == F.col("_anchor"))
+        | F.like(F.col("_text"), F.concat(fold(F.col("type")), F.lit("%")))
     )
     tail: Column = F.substring(tracking, F.instr(tracking, F.lit("-")) + 1, F.length(tracking))
     return (

@@ -38,7 +38,12 @@ def purge_for_packages(
     """
     keys = distinct_keys(gone, "tracking_number")
     return _photos(
-        keep_keys(packages.select(*on("tracking_number"), "photo_url"), keys, "tracking_number"),
+        keep_keys(
+            packages.select(*on("tracking_number"), "photo_url"),
+            keys,
+            "tracking_number",
+            one_each=True,
+        ),
         "package",
         "tracking_number",
     ).unionByName(
@@ -60,7 +65,7 @@ def purge_for_customers(packages: DataFrame, items: DataFrame, gone: DataFrame)
 
 
 def purge_for_items(items: DataFrame, gone: DataFrame) -> DataFrame:
-    found = keep_keys(items.select(*on("item_id"), "photo_url"), gone, "item_id")
+    found = keep_keys(items.select(*on("item_id"), "photo_url"), gone, "item_id", one_each=True)
     return _photos(found, "item", "item_id")
 
 

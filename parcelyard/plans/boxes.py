@@ -15,7 +15,7 @@ from parcelyard.operators.changes import (
     number_rows,
     update_by_key,
 )
-from parcelyard.operators.keyed import drop_keys, keep_keys, left_by_key, on
+from parcelyard.operators.keyed import drop_keys, keep_keys, match, on
 from parcelyard.plans.status import (
     add_to_counter,
     after_box_removal,
@@ -80,7 +80,7 @@ def subbox_tracking(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
 def subbox_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
     return {
         "subbox_item": drop_keys(tables["subbox_item"], changes, "subbox_id"),
-        "subbox": drop_keys(tables["subbox"], changes, "subbox_id"),
+        "subbox": drop_keys(tables["subbox"], changes, "subbox_id", one_each=True),
     }
 
 
@@ -226,7 +226,7 @@ def box_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
     """Unpack and remove boxes with their sub-boxes; slips stay."""
     gone = first_request(changes, "box_id")
     items = tables["items"]
-    opened = left_by_key(items, gone, "box_id", spread_by="item_id")
+    opened = match(items, gone, "box_id", how="left", spread_by="item_id")
     hit = F.col("gone_seq").isNotNull()
     new = {
         "item_status": F.when(hit, F.lit(ITEM_OPEN)).otherwise(F.col("item_status")),
@@ -242,7 +242,7 @@ def box_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
         ),
         "subbox_item": drop_keys(tables["subbox_item"], subboxes, "subbox_id"),
         "subbox": drop_keys(tables["subbox"], gone, "box_id", spread_by="subbox_id"),
-        "box": drop_keys(tables["box"], gone, "box_id"),
+        "box": drop_keys(tables["box"], gone, "box_id", one_each=True),
         "customers": after_box_removal(
             tables["customers"],
             tables["packages"],
@@ -263,4 +263,4 @@ def slip_insert(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
 
 
 def slip_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    return {"slip": drop_keys(tables["slip"], changes, "slip_id")}
+    return {"slip": drop_keys(tables["slip"], changes, "slip_id", one_each=True)}

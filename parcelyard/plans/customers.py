@@ -100,7 +100,7 @@ def customer_delete(
         "addresses": drop_keys(
             tables["addresses"], gone, "customer_id", spread_by="address_id"
         ),
-        "customers": drop_keys(tables["customers"], gone, "customer_id"),
+        "customers": drop_keys(tables["customers"], gone, "customer_id", one_each=True),
     }
 
 
@@ -119,4 +119,4 @@ def address_edit(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
 
 
 def address_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    return {"addresses": drop_keys(tables["addresses"], changes, "address_id")}
+    return {"addresses": drop_keys(tables["addresses"], changes, "address_id", one_each=True)}

@@ -58,7 +58,7 @@ def package_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
     items, packages = tables["items"], tables["packages"]
     return {
         "items": drop_keys(items, gone, "tracking_number", spread_by="item_id"),
-        "packages": drop_keys(packages, gone, "tracking_number"),
+        "packages": drop_keys(packages, gone, "tracking_number", one_each=True),
         "customers": clear_when_done(
             tables["customers"], packages, items, requests, gone, "tracking_number"
         ),
@@ -117,7 +117,7 @@ def item_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
     gone = first_request(requests, "item_id")
     items = tables["items"]
     return {
-        "items": drop_keys(items, gone, "item_id"),
+        "items": drop_keys(items, gone, "item_id", one_each=True),
         "customers": clear_when_done(
             tables["customers"], tables["packages"], items, requests, gone, "item_id"
         ),

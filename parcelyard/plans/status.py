@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.functions.values import filled, flag
 from parcelyard.operators.joins import customers_with_open_items
-from parcelyard.operators.keyed import distinct_keys, drop_keys, left_by_key, mark_keys, on
+from parcelyard.operators.keyed import distinct_keys, drop_keys, mark_keys, match, on
 from parcelyard.schemas import ITEM_OPEN, TENANT, UNPAID_STATUS, WAREHOUSE_STATUS
 
 
@@ -45,14 +45,13 @@ def clear_when_done(
     )
     identity = ["tracking_number"] if key == "tracking_number" else [key, "tracking_number"]
     was_open = items.filter(F.col("item_status") == ITEM_OPEN).select(*on(*identity))
+    owned = match(packages.select(*on("tracking_number", "customer_id")), last, "customer_id")
+    theirs = owned.join(was_open, on("tracking_number"))
     holding = (
-        packages.select(*on("tracking_number", "customer_id"))
-        .join(last, on("customer_id"))
-        .join(was_open, on("tracking_number"))
-        .join(gone, on(key), "left")
+        match(theirs, gone, key, how="left")
         .filter(F.col("gone_seq").isNull() | (F.col("gone_seq") > F.col("_last_seq")))
     )
-    done = drop_keys(last, holding, "customer_id")
+    done = drop_keys(last, holding, "customer_id", one_each=True)
     status = F.col("status")
     marked = mark_keys(customers, done, "customer_id", name="_done")
     return marked.withColumn(
@@ -103,20 +102,16 @@ def after_box_removal(
     )
     gone = removed.select(*on("box_id"), "gone_seq")
     packed = (
-        packed_boxes.select(*on("box_id", "customer_id"))
-        .join(asked, on("customer_id"))
+        match(packed_boxes.select(*on("box_id", "customer_id")), asked, "customer_id")
         .join(gone, on("box_id"), "left")
         .filter(F.col("gone_seq").isNull() | (F.col("gone_seq") > F.col("_last_seq")))
     )
-    theirs = (
-        packages.select(*on("tracking_number", "customer_id"))
-        .join(asked, on("customer_id"))
-        .join(
-            items.select(*on("item_id", "tracking_number", "box_id"), "item_status"),
-            on("tracking_number"),
-        )
+    owned = match(packages.select(*on("tracking_number", "customer_id")), asked, "customer_id")
+    theirs = owned.join(
+        items.select(*on("item_id", "tracking_number", "box_id"), "item_status"),
+        on("tracking_number"),
     )
-    holding = left_by_key(theirs, gone, "box_id", spread_by="item_id").filter(
+    holding = match(theirs, gone, "box_id", how="left", spread_by="item_id").filter(
         flag(F.col("item_status") == ITEM_OPEN) | flag(F.col("gone_seq") <= F.col("_last_seq"))
     )
     decided = mark_keys(asked, packed, "customer_id", name="_packed")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelyard.plans import assets, boxes, customers, office, packages
+from parcelyard.plans.runs import apply_runs
+from parcelyard.sources.checkpoints import ensure_checkpoint_dir as checkpoint_dir
 from parcelyard.sources.checkpoints import settle
 from rows import pairs, requests, tables
 
@@ -381,3 +383,36 @@ def test_employees(spark):
     assert out.count() == 4 and "password" not in out.columns
     gone = spark.createDataFrame([("1",), ("9",), ("3",)], "emp_id string")
     assert pairs(office.employee_delete(t, gone)["employee"], "emp_id") == [("1",), ("3",)]
+
+
+@pytest.mark.parametrize("store", [False, True])
+def test_runs_of_different_kinds(spark, store):
+    t = tables(
+        spark,
+        customers=[{"customer_id": "a", "status": "Unpaid", "packages": 0}],
+        packages=[{"tracking_number": "P", "customer_id": "a"}],
+        items=[{"item_id": 1, "tracking_number": "P", "item_status": 0}],
+    )
+    sent = requests(
+        spark, "seq bigint, sender string, recipients bigint, note string, "
+        "submitted_at timestamp_ntz", [(1, "a", 1, None, dt.datetime(2024, 1, 1))],
+    )
+    contents = requests(spark, "seq bigint, item_id bigint", [(1, 1)])
+    box_id = "a_2024-01-01T00:00:00"
+    gone = requests(spark, "seq bigint, customer_id string, box_id string", [(2, "a", box_id)])
+    item = requests(spark, "seq bigint, customer_id string, item_id bigint", [(3, "a", 1)])
+
+    def add(state, submissions):
+        return boxes.box_insert(state, submissions, contents)
+
+    def keep(rows):
+        checkpoint_dir(spark)
+        return rows.checkpoint()
+
+    runs = [(add, sent), (boxes.box_delete, gone), (packages.item_delete, item)]
+    first = apply_runs(t, runs[:2], keep if store else None)
+    assert pairs(first["customers"], "status", "packages") == [("Warehouse", 0)]
+    assert pairs(first["items"], "item_status", "box_id") == [(0, None)]
+    last = apply_runs(t, runs, keep if store else None)
+    assert pairs(last["customers"], "status") == [(None,)]
+    assert last["items"].count() == 0 and last["box"].count() == 0
