@@ -40,28 +40,34 @@ def last_tracking_per_prefix(
     asked = types.select(*on("type")).distinct()
     asked = asked.withColumn("_anchor", F.regexp_extract(fold(F.col("type")), r"^[^%_\\]*", 0))
     tracking = F.col("tracking_number")
-    texts = packages.select(TENANT, "tracking_number").withColumn("_text", fold(tracking))
+    texts = packages.select(
+        TENANT, fold(tracking).alias("_text"), F.struct(_number(tracking), tracking).alias("_rank")
+    )
     found = join_on_prefix(texts, "_text", asked, "_anchor").filter(
         # A type without wildcards is its own anchor and has matched already.
         (fold(F.col("type")) == F.col("_anchor"))
         | F.like(F.col("_text"), F.concat(fold(F.col("type")), F.lit("%")))
     )
-    tail: Column = F.substring(tracking, F.instr(tracking, F.lit("-")) + 1, F.length(tracking))
     return (
         found.groupBy(*on("type"))
-        .agg(F.max(F.struct(leading_unsigned(tail).alias("n"), tracking.alias("t"))).alias("_top"))
-        .select(TENANT, "type", F.col("_top.t").alias("tracking_number"))
+        .agg(F.max("_rank").alias("_top"))
+        .select(TENANT, "type", F.col("_top.tracking_number").alias("tracking_number"))
     )
 
 
+def _number(tracking: Column) -> Column:
+    """The number after the first '-', of the whole text where there is none."""
+    tail = F.substring(tracking, F.instr(tracking, F.lit("-")) + 1, F.length(tracking))
+    return leading_unsigned(tail).alias("_number")
+
+
 def last_tracking(packages: DataFrame, type_text: str) -> DataFrame:
     """The same for one literal type, as a top-1."""
     tracking = F.col("tracking_number")
-    tail = F.substring(tracking, F.instr(tracking, F.lit("-")) + 1, F.length(tracking))
     return (
         packages.filter(tracking.like(type_text + "%"))
         .select(TENANT, "tracking_number")
-        .orderBy(leading_unsigned(tail).desc(), tracking.desc())
+        .orderBy(_number(tracking).desc(), tracking.desc())
         .limit(1)
     )
 
