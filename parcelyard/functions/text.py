@@ -12,18 +12,39 @@ FORBIDDEN_IN_NAMES = r'[:<>|?*"]'
 PICTURE_EXTENSION = ".webp"
 
 
+# Characters an address may hold raw but its path keeps encoded.
+ENCODED_IN_PATHS = {
+    " ": "%20",
+    '"': "%22",
+    "<": "%3C",
+    ">": "%3E",
+    "`": "%60",
+    "{": "%7B",
+    "}": "%7D",
+}
+
+# Characters a path keeps as they are, but Spark's parser refuses: they pass it as
+# private-use characters, the last of which stands for a lone percent sign.
+_KEPT_IN_PATHS = "|[]^%"
+_STAND_INS = "\ue000\ue001\ue002\ue003\ue004"
+
+
 def object_key(url: Column) -> Column:
     """Object key behind a storage URL; NULL for other hosts and broken URLs.
 
-    Spaces and characters outside ASCII appear percent-encoded in the key.
+    Spaces, some punctuation and characters outside ASCII appear percent-encoded.
     """
-    clean = F.replace(F.trim(url), F.lit(" "), F.lit("%20"))
+    clean = F.replace(F.trim(url), F.lit("\\"), F.lit("/"))
+    for raw, encoded in ENCODED_IN_PATHS.items():
+        clean = F.replace(clean, F.lit(raw), F.lit(encoded))
+    clean = F.regexp_replace(clean, "%(?![0-9A-Fa-f]{2})", _STAND_INS[-1])
+    clean = F.translate(clean, _KEPT_IN_PATHS[:-1], _STAND_INS[:-1])
     host = F.lower(F.try_parse_url(clean, F.lit("HOST")))
     path = F.try_parse_url(clean, F.lit("PATH"))
-    key = F.regexp_replace(path, r"^/", "")
+    key = F.translate(F.regexp_replace(path, r"^/", ""), _STAND_INS, _KEPT_IN_PATHS)
     encoded = F.array_join(
         F.transform(
-            F.regexp_extract_all(key, F.lit("."), F.lit(0)),
+            F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0)),
             lambda c: F.when(F.octet_length(c) > 1, F.url_encode(c)).otherwise(c),
         ),
         "",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.functions.values import share
 from parcelyard.operators.joins import fully_packed_packages
-from parcelyard.operators.keyed import keep_keys, mark_keys, on
+from parcelyard.operators.keyed import keep_keys, on
 from parcelyard.schemas import ITEM_BOXED, ITEM_OPEN, TENANT
 
 
@@ -15,9 +15,14 @@ def _package_totals(packages: DataFrame, items: DataFrame) -> DataFrame:
     owned = packages.select(TENANT, "customer_id", "tracking_number").filter(
         F.col("customer_id").isNotNull()
     )
-    owned = mark_keys(owned, fully_packed_packages(items), "tracking_number", name="packed")
-    return owned.groupBy(*on("customer_id")).agg(
-        F.count_if(~F.col("packed")).alias("package_count"), F.count("*").alias("_all")
+    packed = fully_packed_packages(items).withColumn("_packed", F.lit(True))
+    return (
+        owned.join(packed, on("tracking_number"), "left")
+        .groupBy(*on("customer_id"))
+        .agg(
+            F.count_if(F.col("_packed").isNull()).alias("package_count"),
+            F.count("*").alias("_all"),
+        )
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.operators.keyed import distinct_keys, drop_keys, keep_keys, on
+from parcelyard.operators.keyed import distinct_keys, keep_keys, on
 from parcelyard.operators.lookups import without_secrets
 from parcelyard.schemas import ITEM_BOXED, ITEM_OPEN, TENANT
 
@@ -53,7 +53,8 @@ def fully_packed_packages(items: DataFrame) -> DataFrame:
 
 
 def packages_not_fully_packed(packages: DataFrame, items: DataFrame) -> DataFrame:
-    return drop_keys(packages, fully_packed_packages(items), "tracking_number", one_each=True)
+    packed = fully_packed_packages(items)
+    return packages.join(packed, on("tracking_number"), "left_anti").select(*packages.columns)
 
 
 def customers_with_open_items(

@@ -16,7 +16,8 @@ _TRACKING = (
 _ITEM = (
     "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' "
     "|| CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' "
-    "|| CAST(CAST(l_shipdate AS DATE) AS STRING)"
+    "|| CAST(CAST(l_shipdate AS DATE) AS STRING) || '-' "
+    "|| CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)"
 )
 
 

@@ -247,6 +247,9 @@ def test_object_keys(spark):
         "https://y.s3.ap.amazonaws.com/a/b.webp": "a/b.webp",
         "https://y.s3.AMAZONAWS.com/a b.webp?x=1#f": "a%20b.webp",
         "https://y.s3.amazonaws.com/รูป.webp": "%E0%B8%A3%E0%B8%B9%E0%B8%9B.webp",
+        'https://y.s3.amazonaws.com/a"<{b}>`': "a%22%3C%7Bb%7D%3E%60",
+        "https://y.s3.amazonaws.com/a[1]|^50%/%41%zz": "a[1]|^50%/%41%zz",
+        "https://y.s3.amazonaws.com\\d\\e": "d/e",
         "https://y.s3.amazonaws.com/": None,
         "https://y.s3.amazonaws.com": None,
         "https://amazonaws.com/a": None,
