@@ -42,12 +42,12 @@ def company_staff(employee: DataFrame, callers: DataFrame | None = None) -> Data
 
 def fully_packed_packages(items: DataFrame) -> DataFrame:
     """Tracking numbers all of whose known item statuses are boxed."""
-    status = F.col("item_status")
+    boxed = F.col("item_status") == ITEM_BOXED
     return (
         items.filter(F.col("tracking_number").isNotNull())
         .groupBy(*on("tracking_number"))
-        .agg(F.min(status).alias("_low"), F.max(status).alias("_high"))
-        .filter((F.col("_low") == ITEM_BOXED) & (F.col("_high") == ITEM_BOXED))
+        .agg(F.bool_and(boxed).alias("_packed"))
+        .filter("_packed")
         .select(*on("tracking_number"))
     )
 

@@ -57,7 +57,7 @@ def last_tracking_per_prefix(
 
 def _number(tracking: Column) -> Column:
     """The number after the first '-', of the whole text where there is none."""
-    tail = F.substring(tracking, F.instr(tracking, F.lit("-")) + 1, F.length(tracking))
+    tail = F.regexp_replace(tracking, "^[^-]*-", "")
     return leading_unsigned(tail).alias("_number")
 
 

@@ -1,7 +1,7 @@
-"""DuckDB SQL for every registered query, in the literal form of each rule.
+"""DuckDB SQL for every registered query.
 
-Only the table and request views are shared with Spark. Correlated sub-queries,
-windows and per-column scans here stand against joins and folds over there.
+Only the table and request views are shared with Spark. Sub-queries, windows and
+per-column scans here stand against joins and folds over there.
 """
 
 from __future__ import annotations
@@ -54,13 +54,18 @@ def _update(
     )
 
 
-_PACKED = (
-    "(SELECT 1 FROM items i WHERE i.tenant_id = p.tenant_id "
-    "AND i.tracking_number = p.tracking_number GROUP BY i.tracking_number HAVING MIN(i.item_status) = 1 AND MAX(i.item_status) = 1)"
-)
+# A package counts as open unless every known status of its items, at least one,
+# is 1. The extra view continues the list of views.
+_OPEN_PACKAGES = """, packed AS (
+            SELECT tenant_id, tracking_number FROM items GROUP BY ALL
+            HAVING bool_and(item_status = 1)),
+        open_packages AS (SELECT * FROM packages ANTI JOIN packed
+            USING (tenant_id, tracking_number)),
+        open_counts AS (SELECT tenant_id, customer_id, COUNT(*) AS package_count
+            FROM open_packages GROUP BY ALL)"""
 _NUMBER = (
-    "CAST(coalesce(nullif(regexp_extract(substring(tracking_number, "
-    "instr(tracking_number, '-') + 1), '^[0-9]+'), ''), '0') AS HUGEINT)"
+    "CAST('0' || regexp_extract(tracking_number, CASE WHEN contains(tracking_number, '-') "
+    "THEN '^[^-]*-([0-9]*)' ELSE '^([0-9]*)' END, 1) AS HUGEINT)"
 )
 
 
@@ -199,10 +204,8 @@ _OPERATORS: dict[str, str] = {
     "company_staff": """
         SELECT * FROM employee WHERE username != company_name AND company_name IN
             (SELECT company_name FROM employee WHERE emp_id IN (SELECT emp_id FROM uploads))""",
-    "fully_packed_packages": """
-        SELECT tenant_id, tracking_number FROM items GROUP BY tenant_id, tracking_number
-        HAVING MIN(item_status) = 1 AND MAX(item_status) = 1""",
-    "packages_not_fully_packed": f"SELECT p.* FROM packages p WHERE NOT EXISTS {_PACKED}",
+    "fully_packed_packages": _OPEN_PACKAGES + " SELECT * FROM packed",
+    "packages_not_fully_packed": _OPEN_PACKAGES + " SELECT * FROM open_packages",
     "customers_with_open_items": """
         SELECT DISTINCT tenant_id, customer_id FROM packages WHERE customer_id IS NOT NULL
         AND (tenant_id, tracking_number) IN (SELECT (tenant_id, tracking_number) FROM items WHERE item_status = 0)""",
@@ -210,18 +213,15 @@ _OPERATORS: dict[str, str] = {
         SELECT r.seq, r.emp_id, e.emp_database AS tenant_id, e.company_name
         FROM req_employee_edit r JOIN employee e ON r.emp_id = e.emp_id""",
     "customer_open_package_counts": f"""
-        SELECT c.*, (SELECT COUNT(p.tracking_number) FROM packages p
-            WHERE p.tenant_id = c.tenant_id AND p.customer_id = c.customer_id
-            AND NOT EXISTS {_PACKED}) AS package_count
-        FROM customers c""",
+        {_OPEN_PACKAGES}
+        SELECT c.*, coalesce(o.package_count, 0) AS package_count
+        FROM customers c LEFT JOIN open_counts o USING (tenant_id, customer_id)""",
     "customers_with_open_packages": f"""
-        SELECT c.*, k.package_count FROM customers c JOIN (
-            SELECT c.tenant_id, c.customer_id, COUNT(p.tracking_number) AS package_count
-            FROM customers c LEFT JOIN packages p
-            ON c.tenant_id = p.tenant_id AND c.customer_id = p.customer_id
-            WHERE NOT EXISTS {_PACKED}
-            GROUP BY c.tenant_id, c.customer_id) k
-        ON c.tenant_id = k.tenant_id AND c.customer_id = k.customer_id""",
+        {_OPEN_PACKAGES}
+        SELECT c.*, o.package_count
+        FROM customers c JOIN open_counts o USING (tenant_id, customer_id)
+        UNION ALL
+        SELECT c.*, 0 FROM customers c ANTI JOIN packages USING (tenant_id, customer_id)""",
     "customers_by_date": "SELECT * FROM customers",
     "package_item_progress": """
         SELECT p.*, p.Date_create AS received_date,
@@ -233,18 +233,13 @@ _OPERATORS: dict[str, str] = {
                 AND i.item_status = 1) AS sum1
         FROM packages p""",
     "remaining_box_items": """
-        SELECT bi.*, bi.quantity - t.taken AS remaining_quantity,
-               bi.weight * (bi.quantity - t.taken) / nullif(bi.quantity, 0) AS adjusted_weight
-        FROM items bi JOIN (
-            SELECT bi.tenant_id, bi.item_id, COALESCE(SUM(sbi.sub_quantity), 0) AS taken
-            FROM items bi LEFT JOIN subbox sb
-                ON bi.tenant_id = sb.tenant_id AND bi.box_id = sb.box_id
-            LEFT JOIN subbox_item sbi ON sb.tenant_id = sbi.tenant_id
-                AND sb.subbox_id = sbi.subbox_id
-                AND bi.item_id = sbi.item_id
-            WHERE bi.box_id IS NOT NULL GROUP BY bi.tenant_id, bi.item_id) t
-            ON t.tenant_id = bi.tenant_id AND t.item_id = bi.item_id
-        WHERE bi.quantity - t.taken != 0""",
+        , used AS (SELECT a.tenant_id, a.item_id, b.box_id, sum(a.sub_quantity) AS taken
+            FROM subbox b JOIN subbox_item a USING (tenant_id, subbox_id) GROUP BY ALL),
+        rest AS (SELECT i.*, i.quantity - coalesce(u.taken, 0) AS remaining_quantity
+            FROM items i LEFT JOIN used u USING (tenant_id, item_id, box_id)
+            WHERE i.box_id IS NOT NULL)
+        SELECT *, weight * remaining_quantity / nullif(quantity, 0) AS adjusted_weight
+        FROM rest WHERE remaining_quantity <> 0""",
     "open_item_count": """
         SELECT p.tenant_id, p.customer_id, COUNT(*) AS open_items
         FROM items i JOIN packages p
