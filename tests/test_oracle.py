@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from parcelyard.trial import oracle, registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = registry.all_queries()
+ORACLES = oracle.all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -26,5 +27,10 @@ def test_query(spark, duck, name):
     assert compare.difference(QUERIES[name](spark, SF), duck, ORACLES[name]) == ""
 
 
+def test_the_driver_gets_them_all():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert ORACLES.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
