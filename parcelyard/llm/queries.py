@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelyard.llm import mixing, sharding, window_dedup
+from parcelyard.llm import decontamination, mixing, sharding, simhash, toxicity, window_dedup
 from parcelyard.llm.mixing import SEED
 
 MIX_EXPONENT = 0.5
@@ -24,6 +25,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, exponent=MIX_EXPONENT)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return sharding.place(docs, sharding.shard_names(SHARDS))
@@ -33,11 +42,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(
+        _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
-    found = (op1_mixing, op6_sharding, op7_line_dedup)
+    found = (op1_mixing, op3_simhash, op4_toxicity, op6_sharding, op7_line_dedup, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+WINDOW = decontamination.WINDOW
+
+
 def _number(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
 
@@ -131,5 +159,39 @@ GROUP BY d.doc_id
 """
 
 
+# Every window is looked up among all windows of the documents.
+DECONTAMINATION_SQL = f"""
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, {_AZ}), {_WORD}) AS w FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(translate(text, {_AZ}), {_WORD}) AS w FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item_id, array_slice(w, i, i + {WINDOW - 1}) AS gram
+    FROM item_words, range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1) AS r(i) WHERE len(w) > 0
+), doc_windows AS (
+    SELECT doc_id, i, n, array_slice(w, i, i + n - 1) AS gram
+    FROM doc_words, (SELECT DISTINCT len(gram) AS n FROM item_windows), range(1, len(w) - n + 2) AS r(i)
+), hits AS (
+    SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (gram)
+), words_hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), items_hit AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items,
+        string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+    FROM hits GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_mixing": MIX_SQL, "op6_sharding": SHARD_SQL, "op7_line_dedup": LINES_SQL}
+    return {
+        "op1_mixing": MIX_SQL,
+        "op6_sharding": SHARD_SQL,
+        "op7_line_dedup": LINES_SQL,
+        "op10_decontamination": DECONTAMINATION_SQL,
+    }
