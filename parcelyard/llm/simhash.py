@@ -29,6 +29,8 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 _LOW = 0x5555555555555555
+# The bits of every byte value, the highest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).astype(np.int64)
 
 
 def _fingerprint(text: str | None, size: int) -> int:
@@ -44,16 +46,14 @@ def _fingerprint(text: str | None, size: int) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - size + 1)
     last = ends[min(size, len(words)) - 1 :]
-    hashes = np.fromiter(
-        (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())),
-        np.uint64,
-        n,
+    hashes = np.array(
+        [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())],
+        dtype=">u8",
     )
-    total = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
-        # Big-endian bytes put the highest bit first.
-        part = hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    # Big-endian bytes put the highest bit first. How often each byte value occurs
+    # at each of the eight places tells how often each bit is set.
+    places = hashes.view(np.uint8).reshape(-1, 8)
+    total = np.concatenate([np.bincount(places[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
