@@ -7,11 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelyard.llm import decontamination, mixing, sharding, simhash, toxicity, window_dedup
+from parcelyard.llm import (
+    decontamination,
+    html_text,
+    mixing,
+    near_vectors,
+    sharding,
+    simhash,
+    toxicity,
+    url_rules,
+    warc,
+    window_dedup,
+)
 from parcelyard.llm.mixing import SEED
 
 MIX_EXPONENT = 0.5
 SHARDS = 16
+URL_RULES = {
+    "org/": "allow",
+    "example.org/es/": "block",
+    "example.org/en/1": "block",
+    "com/fr/": "allow",
+    "com/de/": "block",
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +43,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, exponent=MIX_EXPONENT)
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose document is labelled as of low quality teach what to block."""
+    labels = _read(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked")
+    )
+    pages = _read(spark, sf_dir, "pages")
+    return url_rules.judge(pages, labels, url_rules.given_rules(URL_RULES))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -33,6 +60,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return sharding.place(docs, sharding.shard_names(SHARDS))
@@ -42,6 +73,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(
         _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
@@ -57,7 +96,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    found = (op1_mixing, op3_simhash, op4_toxicity, op6_sharding, op7_line_dedup, op10_decontamination)
+    found = (
+        op1_mixing,
+        op2_url_rules,
+        op3_simhash,
+        op4_toxicity,
+        op5_warc,
+        op6_sharding,
+        op7_line_dedup,
+        op8_near_vectors,
+        op9_main_text,
+        op10_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
