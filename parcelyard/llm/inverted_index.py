@@ -283,6 +283,10 @@ def _slices(items: DataFrame, key: str) -> Iterator[list[tuple]]:
         yield [(row[0], np.array(row[1], dtype=np.int64).view(np.uint64)) for row in rows]
 
 
+# Item ids of other types are handled as text.
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
+
+
 class Searcher:
     """Search of the texts of ``items`` in ``docs``.
 
@@ -295,6 +299,8 @@ class Searcher:
         self.spark: SparkSession = docs.sparkSession
         self.key = key
         known = items.where(F.col(item_key).isNotNull())
+        if known.schema[item_key].dataType.simpleString() not in _KINDS:
+            known = known.withColumn(item_key, F.col(item_key).cast("string"))
         self.items = stored(text_words(known, item_key), "items")
         self.item_kind = self.items.schema[item_key].dataType.simpleString()
         self.item_key = item_key
@@ -306,7 +312,7 @@ class Searcher:
         self.index = build_index(docs, found, key=key)
 
     def _arrow_kind(self) -> pa.DataType:
-        return pa.int64() if self.item_kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+        return _KINDS[self.item_kind]
 
     def phrases(self, window: int) -> DataFrame:
         """Exact matches of every ``window`` consecutive words of an item, or of the
