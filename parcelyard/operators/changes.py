@@ -16,7 +16,6 @@ from parcelyard.operators.keyed import distinct_keys, drop_keys, on
 from parcelyard.schemas import INSERT_DEFAULTS, TENANT
 
 SEQ = "seq"
-_SALTS = 32
 
 
 def cast_like(base: DataFrame, rows: DataFrame, table: str | None = None) -> DataFrame:
@@ -35,6 +34,14 @@ def insert_rows(base: DataFrame, rows: DataFrame, table: str | None = None) -> D
     return base.unionByName(cast_like(base, rows, table))
 
 
+def given_or(rows: DataFrame, column: str, at: Column | None) -> Column:
+    """A request's own time, else ``at``, else the time of the run."""
+    at = F.current_timestamp() if at is None else at
+    if column not in rows.columns:
+        return at.alias(column)
+    return F.coalesce(column, at).alias(column)
+
+
 def first_by_key(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Requests that may insert: the first of each key, and no key already stored."""
     columns = [c for c in rows.columns if c not in (TENANT, key)]
@@ -66,14 +73,13 @@ def number_rows(
     start = rows.groupBy(scope).agg(
         F.min(seq).alias("_first"), F.max(F.lit(width)).alias("_step")
     )
-    # One row per tenant, repeated for each salt, so that no tenant is one task.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    start = start.join(top, scope, "left").withColumn("_salt", salts)
-    salted = rows.withColumn("_salt", F.pmod(seq, F.lit(_SALTS)).cast("int"))
-    numbered = salted.join(start, [scope, "_salt"])
+    # One row per tenant; adaptive execution splits a tenant with very many requests.
+    zero = F.pmod(F.xxhash64(scope), F.lit(1))
+    start = start.join(top, scope, "left").withColumn("_zero", zero)
+    numbered = rows.withColumn("_zero", zero).join(start, [scope, "_zero"])
     return numbered.withColumn(
         key, F.coalesce("_top", F.lit(0)) + 1 + (seq - F.col("_first")) * F.col("_step")
-    ).drop("_top", "_first", "_step", "_salt")
+    ).drop("_top", "_first", "_step", "_zero")
 
 
 def update_by_key(
@@ -93,9 +99,10 @@ def update_by_key(
     always = list(always)
     optional = dict(optional or {})
     keys = [*scope, key]
-    requests = changes.filter(F.col(key).isNotNull()).withColumn(
-        key, F.col(key).cast(base.schema[key].dataType)
-    )
+    # A key that cannot be one of the table's, such as text for a number, finds no row.
+    requests = changes.withColumn(
+        key, F.col(key).try_cast(base.schema[key].dataType)
+    ).filter(F.col(key).isNotNull())
     folds = []
     if always:
         folds.append(F.max_by(F.struct(*always), SEQ).alias("_always"))
@@ -119,17 +126,61 @@ def update_by_key(
     return joined.select(*[column(f) for f in base.schema.fields])
 
 
+def _without_refused(base: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Requests that may be carried out: no rename onto a key that another row has.
+
+    A key is taken if it is stored, or if an earlier request of the batch has
+    renamed a stored row to it. A stored key that an earlier request may have
+    freed is beyond a batch; such a request fails when it runs.
+    """
+    renames = F.col(key) != F.col("old_id")
+    old, new = F.col("old_id").alias("_name"), F.col(key).alias("_name")
+    asked = requests.select(TENANT, old).unionByName(requests.filter(renames).select(TENANT, new))
+    stored = base.select(TENANT, F.col(key).alias("_name")).join(
+        asked.distinct(), [TENANT, "_name"], "left_semi"
+    )
+
+    def look_up(rows: DataFrame, listed: DataFrame, name: str, **columns: str) -> DataFrame:
+        known = listed.select(
+            TENANT, F.col("_name").alias(name), *[F.col(c).alias(n) for n, c in columns.items()]
+        )
+        return rows.join(known, [TENANT, name], "left")
+
+    here = stored.withColumn("_here", F.lit(True))
+    known = look_up(look_up(requests, here, "old_id", _alive="_here"), here, key, _taken="_here")
+    moving = known.filter(renames & F.col("_alive"))
+    claim = F.when(F.col("_taken").isNull(), F.col(SEQ))
+    facts = (
+        moving.select(TENANT, new, claim.alias("_claim"), F.lit(None).cast("bigint").alias("_free"))
+        .unionByName(
+            moving.select(TENANT, old, claim.alias("_free"), F.lit(None).cast("bigint").alias("_claim"))
+        )
+        .groupBy(TENANT, "_name")
+        .agg(F.min("_claim").alias("_claim"), F.min("_free").alias("_free"))
+    )
+    known = look_up(known, facts, key, _claimed="_claim", _freed="_free")
+    taken = flag(F.col("_taken")) | (F.col("_claimed") < F.col(SEQ))
+    unclear = flag(F.col("_taken")) & (F.col("_freed") < F.col(SEQ))
+    refused = flag(renames & F.col("_alive")) & flag(taken)
+    checked = F.when(
+        refused & flag(unclear),
+        F.raise_error(F.concat(F.lit("rename onto a key that the batch may have renamed: "), key)),
+    ).otherwise(refused)
+    return known.filter(~checked.cast("boolean")).select(*requests.columns)
+
+
 def rename_by_key(
     base: DataFrame, changes: DataFrame, key: str, always: Iterable[str]
 ) -> DataFrame:
     """Update rows found by ``old_id``; the request may also give the row a new key.
 
-    A batch may rename a key once and must not address the row again afterwards,
+    A request that would give the row a key of another row is refused as a whole. A
+    batch may rename a key once and must not address the row again afterwards,
     neither by its old nor by its new key. Such a batch fails when it runs.
     """
     always = list(always)
     renames = F.col(key) != F.col("old_id")
-    requests = changes.filter(F.col("old_id").isNotNull())
+    requests = _without_refused(base, changes.filter(F.col("old_id").isNotNull()), key)
     targets = distinct_keys(requests.filter(renames), key).select(
         TENANT, F.col(key).alias("old_id"), F.lit(True).alias("_chained")
     )

@@ -46,32 +46,22 @@ def subbox_nested(
     subbox_item: DataFrame,
     items: DataFrame,
     boxes: DataFrame | None = None,
-    part_rows: int = 10_000,
 ) -> DataFrame:
-    """Sub-boxes with an array of their items, ordered by allocation id.
+    """Sub-boxes with their items: one row per allocation, its columns in ``item``.
 
-    A sub-box with more than ``part_rows`` items comes as several rows, ``part``
-    0 to ``parts - 1``, so that no array grows with the data.
+    A sub-box without items comes once, with a NULL ``item``. This is the shape at
+    every size, so no array grows with the data.
     """
     frame = subbox_volumetric(subbox, boxes)
     wanted = keep_keys(subbox_item, None if boxes is None else frame, "subbox_id")
-    parts = wanted.groupBy(*on("subbox_id")).agg(
-        F.ceil(F.count("*") / part_rows).alias("parts")
-    )
-    split = match(wanted, parts, "subbox_id").withColumn(
-        "part", F.pmod(F.xxhash64("item_id"), F.col("parts"))
-    )
-    rows = subbox_item_weights(split, items)
-    fields = [c for c in rows.columns if c not in (TENANT, "part", "parts")]
-    nested = rows.groupBy(*on("subbox_id", "part", "parts")).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("items")
-    )
-    return frame.join(nested, on("subbox_id"), "left").select(
-        *frame.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.coalesce("items", F.array().cast(nested.schema["items"].dataType)).alias("items"),
-    )
+    rows = subbox_item_weights(wanted, items)
+    fields = [c for c in rows.columns if c != TENANT]
+    item = rows.select(*on("subbox_id"), F.struct(*fields).alias("item"))
+    # Allocations are the side that adaptive execution may split.
+    full = match(item, frame, "subbox_id").select(*frame.columns, "item")
+    bare = match(frame, subbox_item.select(*on("subbox_id")), "subbox_id", how="left_anti")
+    none = F.lit(None).cast(full.schema["item"].dataType).alias("item")
+    return full.unionByName(bare.select(*frame.columns, none))
 
 
 def box_board(box: DataFrame) -> DataFrame:

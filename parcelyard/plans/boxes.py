@@ -38,10 +38,19 @@ def _or_rest(wanted: Column, rest: Column) -> Column:
 
 
 def subbox_insert(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """New sub-boxes with the items of their ``items`` array."""
+    """New sub-boxes with the items of their ``items`` array.
+
+    An item may be in a sub-box once: a request that lists one twice stores the
+    sub-box without contents, as the refused insert of its items leaves it.
+    """
     numbered = number_rows(tables["subbox"], changes, "subbox_id")
+    ids = F.transform("items", lambda e: e["item_id"])
+    once = F.size(F.array_distinct(F.filter(ids, lambda i: i.isNotNull()))) == F.size(
+        F.filter(ids, lambda i: i.isNotNull())
+    )
     entry = F.col("entry")
-    contents = numbered.select(TENANT, "subbox_id", F.explode("items").alias("entry")).select(
+    listed = numbered.filter(once).select(TENANT, "subbox_id", F.explode("items").alias("entry"))
+    contents = listed.select(
         TENANT,
         "subbox_id",
         entry["item_id"].alias("item_id"),
@@ -117,12 +126,18 @@ def subbox_item_add(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
 
 
 def subbox_item_edit(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """Set quantities from a map of items; a zero removes the item for good."""
+    """Set quantities from a map of items; a zero removes the item for good.
+
+    Unknown items are passed over, keys that cannot be an item's id included.
+    """
     base = tables["subbox_item"]
+    entries = changes.select(
+        TENANT, "seq", "subbox_id", F.explode("items").alias("item_id", "_quantity")
+    )
+    known = F.col("item_id").try_cast(base.schema["item_id"].dataType)
     folded = (
-        changes.select(
-            TENANT, "seq", "subbox_id", F.explode("items").alias("item_id", "_quantity")
-        )
+        entries.withColumn("item_id", known)
+        .filter(F.col("item_id").isNotNull())
         .groupBy(*on("subbox_id", "item_id"))
         .agg(
             F.max_by("_quantity", "seq").alias("_quantity"),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.functions.values import filled, flag
 from parcelyard.operators.changes import (
     first_by_key,
+    given_or,
     insert_rows,
     number_rows,
     rename_by_key,
@@ -24,9 +25,14 @@ _PROFILE = ["contact", "type", "level", "note"]
 _POSTAL = ["address", "city", "state", "country", "zipcode", "phone"]
 
 
-def customer_insert(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
+def customer_insert(
+    tables: Tables, changes: DataFrame, at: Column | None = None
+) -> dict[str, DataFrame]:
+    """``customer_date`` is the request's, else ``at``, by default the time of the run."""
     base = tables["customers"]
-    rows = changes.select(*on("customer_id"), *_PROFILE, "seq")
+    rows = changes.select(
+        *on("customer_id"), *_PROFILE, "seq", given_or(changes, "customer_date", at)
+    )
     fresh = first_by_key(base, rows, "customer_id")
     return {"customers": insert_rows(base, fresh, "customers")}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelyard.functions.values import filled, flag
 from parcelyard.operators.changes import (
     first_by_key,
+    given_or,
     insert_rows,
     number_rows,
     rename_by_key,
@@ -32,10 +33,17 @@ def _owner(*unclaimed: str) -> Column:
     return F.when(owner.isin(*unclaimed), F.lit(None)).otherwise(owner)
 
 
-def package_insert(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
+def package_insert(
+    tables: Tables, changes: DataFrame, at: Column | None = None
+) -> dict[str, DataFrame]:
+    """``Date_create`` is the request's, else ``at``, by default the time of the run."""
     base = tables["packages"]
-    rows = changes.withColumn("customer_id", _owner(UNCLAIMED_OWNER)).withColumn(
-        "packages_cost", F.when(flag(F.col("has_packages_cost")), F.col("packages_cost"))
+    rows = changes.withColumns(
+        {
+            "customer_id": _owner(UNCLAIMED_OWNER),
+            "packages_cost": F.when(flag(F.col("has_packages_cost")), F.col("packages_cost")),
+            "Date_create": given_or(changes, "Date_create", at),
+        }
     )
     fresh = first_by_key(base, rows, "tracking_number")
     return {"packages": insert_rows(base, fresh, "packages")}

@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A key set up to this many rows is sent to every executor instead of shuffled.
-MAX_BROADCAST_KEYS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only on a local session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder, named by ``spark.checkpoint.dir`` or set before."""
     current = spark.sparkContext.getCheckpointDir()
-    if named:
+    if current is None:
+        current = spark.conf.get("spark.checkpoint.dir", None)
         if current is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if current is not None:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="parcelyard-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def settle(keys: DataFrame) -> DataFrame:
-    """Store a key set once; joins broadcast it if its counted size allows."""
+    """Store a key set once; adaptive execution decides by its real size how to join it."""
     ensure_checkpoint_dir(keys.sparkSession)
-    stored = keys.checkpoint()
-    if stored.count() <= MAX_BROADCAST_KEYS:
-        return F.broadcast(stored)
-    return stored
+    return keys.checkpoint()

@@ -54,6 +54,21 @@ def _update(
     )
 
 
+def _renamed(table: str, request: str, key: str) -> str:
+    """The requests that keep their key, or take one that no row and no earlier request has."""
+    return f""", arrivals AS (
+            SELECT r.*, EXISTS (SELECT 1 FROM {table} b
+                WHERE b.tenant_id = r.tenant_id AND b.{key} = r.{key}) AS taken,
+                EXISTS (SELECT 1 FROM {table} b
+                WHERE b.tenant_id = r.tenant_id AND b.{key} = r.old_id) AS stored
+            FROM {request} r),
+        allowed AS (
+            SELECT * FROM arrivals WHERE {key} = old_id
+            UNION ALL
+            (SELECT * FROM arrivals WHERE {key} <> old_id AND stored AND NOT taken
+             QUALIFY rank() OVER (PARTITION BY tenant_id, {key} ORDER BY seq) = 1)) """
+
+
 # A package counts as open unless every known status of its items, at least one,
 # is 1. The extra view continues the list of views.
 _OPEN_PACKAGES = """, packed AS (
@@ -273,7 +288,7 @@ _OPERATORS: dict[str, str] = {
     "last_tracking_per_prefix": f"""
         SELECT t.tenant_id, t.type, p.tracking_number
         FROM types t JOIN packages p ON p.tenant_id = t.tenant_id
-            AND p.tracking_number LIKE t.type || '%'
+            AND p.tracking_number LIKE replace(t.type, chr(92), '') || '%'
         QUALIFY row_number() OVER (PARTITION BY t.tenant_id, t.type
             ORDER BY {_NUMBER.replace('tracking_number', 'p.tracking_number')} DESC,
             p.tracking_number DESC) = 1""",
@@ -408,13 +423,12 @@ def _update_present(table: str, request: str, key: str, columns: dict[str, str])
 _JOBS: dict[str, str] = {
     "chg_customer_insert": """
         SELECT * FROM customers UNION ALL BY NAME
-        SELECT tenant_id, customer_id, contact, type, level, note, 0 AS packages
+        SELECT tenant_id, customer_id, contact, type, level, note, 0 AS packages,
+               coalesce(customer_date, TIMESTAMP '2024-03-01 12:00:00') AS customer_date
         FROM req_customer_insert WHERE (tenant_id, customer_id) NOT IN (SELECT (tenant_id, customer_id) FROM customers)
         QUALIFY row_number() OVER (PARTITION BY tenant_id, customer_id ORDER BY seq) = 1""",
-    "chg_customer_edit": _update(
-        "customers", "req_customer_edit", "customer_id", "customer_id contact type level note",
-        "old_id",
-    ),
+    "chg_customer_edit": _renamed("customers", "req_customer_edit", "customer_id")
+    + _update("customers", "allowed", "customer_id", "customer_id contact type level note", "old_id"),
     "chg_customer_warehouse": _update(
         "customers", "req_customer_event", "customer_id", "warehouse"
     ),
@@ -473,10 +487,12 @@ _JOBS: dict[str, str] = {
                CASE WHEN customer_id = 'MISSINGITEMS' THEN NULL ELSE customer_id END
                AS customer_id,
                CASE WHEN has_packages_cost THEN packages_cost END AS packages_cost,
-               photo_url, emp_id, Date_create
+               photo_url, emp_id,
+               CASE WHEN Date_create IS NULL THEN TIMESTAMP '2024-03-01 12:00:00'
+                    ELSE Date_create END AS Date_create
         FROM req_package_insert
         WHERE (tenant_id, tracking_number) NOT IN (SELECT (tenant_id, tracking_number) FROM packages)""",
-    "chg_package_edit": """
+    "chg_package_edit": _renamed("packages", "req_package_edit", "tracking_number") + """
         SELECT b.* REPLACE (
             CASE WHEN r.old_id IS NOT NULL THEN r.tracking_number ELSE b.tracking_number END
                 AS tracking_number,
@@ -484,7 +500,7 @@ _JOBS: dict[str, str] = {
                  WHEN r.customer_id IN ('MISSINGITEMS', '') THEN NULL ELSE r.customer_id END
                 AS customer_id,
             CASE WHEN r.old_id IS NOT NULL THEN r.photo_url ELSE b.photo_url END AS photo_url)
-        FROM packages b LEFT JOIN req_package_edit r
+        FROM packages b LEFT JOIN allowed r
         ON b.tenant_id = r.tenant_id AND b.tracking_number = r.old_id""",
     "chg_package_delete": """
         SELECT * FROM packages WHERE (tenant_id, tracking_number) NOT IN
@@ -526,7 +542,8 @@ _JOBS: dict[str, str] = {
                CAST(CASE WHEN part = 'A' THEN CASE WHEN o_orderstatus = 'F' THEN 9 ELSE 4 END
                     WHEN o_orderstatus = 'P' THEN 2 END AS DOUBLE) AS sub_quantity
         FROM (SELECT {tenant_of('o_orderkey')} AS tenant_id, * FROM orders) o,
-             (VALUES ('A'), ('B')) parts(part)""",
+             (VALUES ('A'), ('B')) parts(part)
+        WHERE o_orderpriority <> '5-LOW'""",
     "chg_subbox_edit": _update(
         "subbox", "req_subbox_event", "subbox_id", "weight width b_long height img_url"
     ),

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parcelyard.operators import aggregates, joins, lookups, nesting, prefixes
 from parcelyard.plans import assets, boxes, customers, office, packages
@@ -13,6 +14,7 @@ from parcelyard.sources import documents, settings
 from parcelyard.trial.tables import TABLES, Tables, raw, tenant_of
 
 AS_OF = dt.date(2024, 1, 15)
+INSERTED_AT = "TIMESTAMP_NTZ '2024-03-01 12:00:00'"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +61,8 @@ def _subbox_requests(t: Tables) -> DataFrame:
             named_struct('item_id', 'A' || CAST(o_orderkey AS STRING),
                 'selectedQuantity', CASE WHEN o_orderstatus = 'F' THEN 0D ELSE 4D END,
                 'remaining_quantity', 9D),
-            named_struct('item_id', 'B' || CAST(o_orderkey AS STRING),
+            named_struct('item_id', CASE WHEN o_orderpriority = '5-LOW' THEN 'A' ELSE 'B' END
+                    || CAST(o_orderkey AS STRING),
                 'selectedQuantity', CASE WHEN o_orderstatus = 'P' THEN 2D END,
                 'remaining_quantity', 5D)
         ) AS items""",
@@ -99,7 +102,7 @@ def _edited_items(t: Tables) -> DataFrame:
         "subbox_id",
         """explode(array(
             named_struct('seq', 1, 'items', map(item_id,
-                CASE WHEN sub_quantity > 20 THEN 0D ELSE 8D END)),
+                CASE WHEN sub_quantity > 20 THEN 0D ELSE 8D END, 'x' || item_id, 0D, '', 1D)),
             named_struct('seq', 2, 'items', map(item_id,
                 CASE WHEN sub_quantity < 5 THEN CAST(NULL AS DOUBLE) ELSE sub_quantity + 1 END))
         )) AS r""",
@@ -208,20 +211,14 @@ def _dropdown_forms(t: Tables) -> DataFrame:
 
 def _nested_rows(t: Tables) -> DataFrame:
     nested = nesting.subbox_nested(t["subbox"], t["subbox_item"], t["items"])
-    rows = nested.selectExpr(
+    return nested.selectExpr(
         "tenant_id",
         "subbox_id",
         "volumetricWeight",
-        "explode_outer(items) AS i",
-    )
-    return rows.selectExpr(
-        "tenant_id",
-        "subbox_id",
-        "volumetricWeight",
-        "i.subbox_item_id",
-        "i.item_id",
-        "i.sub_quantity",
-        "i.adjusted_weight",
+        "item.subbox_item_id",
+        "item.item_id",
+        "item.sub_quantity",
+        "item.adjusted_weight",
     )
 
 
@@ -333,7 +330,7 @@ def _operator_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 # Name of the job, how to run it, and the tables it changes, main table first.
 _JOBS: list[tuple[str, Callable[[Tables], dict[str, DataFrame]], list[str]]] = [
-    ("customer_insert", lambda t: customers.customer_insert(t, t["req_customer_insert"]),
+    ("customer_insert", lambda t: customers.customer_insert(t, t["req_customer_insert"], F.expr(INSERTED_AT)),
      ["customers"]),
     ("customer_edit", lambda t: customers.customer_edit(t, t["req_customer_edit"]),
      ["customers"]),
@@ -349,7 +346,7 @@ _JOBS: list[tuple[str, Callable[[Tables], dict[str, DataFrame]], list[str]]] = [
     ("address_edit", lambda t: customers.address_edit(t, t["req_address_edit"]), ["addresses"]),
     ("address_delete", lambda t: customers.address_delete(t, t["req_address_delete"]),
      ["addresses"]),
-    ("package_insert", lambda t: packages.package_insert(t, t["req_package_insert"]),
+    ("package_insert", lambda t: packages.package_insert(t, t["req_package_insert"], F.expr(INSERTED_AT)),
      ["packages"]),
     ("package_edit", lambda t: packages.package_edit(t, t["req_package_edit"]), ["packages"]),
     ("package_delete", lambda t: packages.package_delete(t, t["req_package_delete"]),

@@ -148,16 +148,20 @@ _EXTRA: dict[str, str] = {
     "req_customer_insert": f"""
         SELECT {tenant_of('s_nationkey')} AS tenant_id, s_suppkey AS seq,
                'N' || CAST(s_suppkey AS STRING) AS customer_id, s_name AS contact,
-               'shop' AS type, 'Gold' AS level, s_name AS note
+               'shop' AS type, 'Gold' AS level, s_name AS note,
+               CASE WHEN s_nationkey < 12 THEN {{ntz}} '2024-02-01 08:00:00'
+                   + INTERVAL '1' DAY * s_nationkey END AS customer_date
         FROM {{supplier}}
         UNION ALL
         SELECT {tenant_of('o_orderkey')}, 1000000 + o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'N' ELSE '' END
-               || CAST(o_custkey AS STRING), o_orderpriority, 'order', 'Silver', o_orderstatus
+               || CAST(o_custkey AS STRING), o_orderpriority, 'order', 'Silver', o_orderstatus, NULL
         FROM {{orders}}""",
     "req_customer_edit": f"""
         SELECT {tenant_of('s_nationkey')} AS tenant_id, s_suppkey AS seq, CAST(s_suppkey AS STRING) AS old_id,
-               CASE WHEN s_acctbal < 3000 THEN 'R' ELSE '' END
-               || CAST(s_suppkey AS STRING) AS customer_id, s_name AS contact,
+               CASE WHEN s_acctbal < 3000 THEN 'R' || CAST(s_suppkey AS STRING)
+                    WHEN s_acctbal < 5000 THEN CAST(s_suppkey + 1 AS STRING)
+                    WHEN s_acctbal < 7000 THEN 'S' || CAST(s_nationkey AS STRING)
+                    ELSE CAST(s_suppkey AS STRING) END AS customer_id, s_name AS contact,
                'edited' AS type, 'Gold' AS level,
                CASE WHEN s_nationkey < 10 THEN s_name END AS note
         FROM {{supplier}}""",
@@ -196,12 +200,17 @@ _EXTRA: dict[str, str] = {
                CASE WHEN event_type = 'error' THEN 'MISSINGITEMS'
                     ELSE CAST(user_id AS STRING) END AS customer_id,
                value AS packages_cost, event_type = 'purchase' AS has_packages_cost,
-               props AS photo_url, CAST(day(ts) AS STRING) AS emp_id, ts AS Date_create
+               props AS photo_url, CAST(day(ts) AS STRING) AS emp_id,
+               CASE WHEN event_type <> 'click' THEN ts END AS Date_create
         FROM {{events}}""",
     "req_package_edit": f"""
         SELECT {tenant_of('o_orderkey')} AS tenant_id, o_orderkey AS seq, {_tracking('o_orderkey')} AS old_id,
-               CASE WHEN o_orderpriority = '1-URGENT' THEN 'RE' ELSE '' END
-               || {_tracking('o_orderkey')} AS tracking_number,
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 'RE' || {_tracking('o_orderkey')}
+                    WHEN o_orderpriority = '2-HIGH' AND o_orderstatus <> 'P'
+                    THEN {_tracking('(o_orderkey + 2)')}
+                    WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P'
+                    THEN 'ONE-' || CAST(o_custkey AS STRING)
+                    ELSE {_tracking('o_orderkey')} END AS tracking_number,
                CASE o_orderstatus WHEN 'F' THEN '' WHEN 'P' THEN 'MISSINGITEMS'
                     ELSE CAST(o_custkey AS STRING) END AS customer_id,
                o_orderpriority AS photo_url
@@ -330,7 +339,9 @@ _EXTRA: dict[str, str] = {
         SELECT DISTINCT {tenant_of('o_orderkey')} AS tenant_id,
                {{each}}(left({_tracking('o_orderkey')}, 2), left({_tracking('o_orderkey')}, 1),
                    '_' || substring({_tracking('o_orderkey')}, 2, 2),
-                   left({_tracking('o_orderkey')}, 1) || '%-', o_orderpriority)) AS type
+                   left({_tracking('o_orderkey')}, 1) || '%-', o_orderpriority,
+                   left({_tracking('o_orderkey')}, 1) || chr(92)
+                       || substring({_tracking('o_orderkey')}, 2, 2))) AS type
         FROM {{orders}}""",
 }
 

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def spark():
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="parcelyard-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

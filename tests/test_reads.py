@@ -136,30 +136,33 @@ def test_volumetric_weight(spark):
 
 def test_nested_subboxes(spark):
     t = _boxed(spark)
-    whole = nesting.subbox_nested(t["subbox"], t["subbox_item"], t["items"])
-    got = {r.subbox_id: r for r in whole.collect()}
-    assert [i.subbox_item_id for i in got[1]["items"]] == [1, 2, 4, 5]
-    assert got[3]["items"] == [] and got[3].parts == 1
-    lost = got[2]["items"][1]
-    assert (lost.subbox_item_id, lost.item_id, lost.adjusted_weight) == (99, None, None)
+    whole = nesting.subbox_nested(t["subbox"], t["subbox_item"], t["items"]).collect()
+    assert sorted(r["item"].subbox_item_id for r in whole if r.subbox_id == 1) == [1, 2, 4, 5]
+    assert [r["item"] for r in whole if r.subbox_id == 3] == [None]
+    (lost,) = [r["item"] for r in whole if r.subbox_id == 2 and r["item"].subbox_item_id == 99]
+    assert (lost.item_id, lost.adjusted_weight) == (None, None)
     boxes = requests(spark, "box_id string", [("C",)])
     only = nesting.subbox_nested(t["subbox"], t["subbox_item"], t["items"], boxes)
     assert pairs(only, "subbox_id") == [(6,)]
 
 
-def test_nested_subboxes_in_parts(spark):
-    subbox = table(spark, "subbox", [{"subbox_id": 1}, {"subbox_id": 2}])
-    many = [{"subbox_id": 1, "item_id": i, "sub_quantity": 1} for i in range(500)]
-    few = [{"subbox_id": 2, "item_id": 7, "sub_quantity": 1}]
-    items = table(spark, "items", [{"item_id": i, "quantity": 1, "weight": 1} for i in range(500)])
-    split = nesting.subbox_nested(
-        subbox, table(spark, "subbox_item", many + few), items, part_rows=50
-    ).collect()
-    first = [r for r in split if r.subbox_id == 1]
-    assert {r.parts for r in first} == {10} and len(first) == 10
-    assert sorted(i.item_id for r in first for i in r["items"]) == list(range(500))
-    assert max(len(r["items"]) for r in first) < 100
-    assert [(r.part, r.parts, len(r["items"])) for r in split if r.subbox_id == 2] == [(0, 1, 1)]
+def test_a_large_subbox_has_the_same_shape(spark):
+    n = 100_000
+    subbox = table(spark, "subbox", [{"subbox_id": 1}, {"subbox_id": 2}, {"subbox_id": 3}])
+    ids = spark.range(n).selectExpr("'t' AS tenant_id", "id AS item_id")
+    few = table(spark, "subbox_item", [{"subbox_id": 2, "item_id": 7, "sub_quantity": 1}])
+    many = ids.selectExpr("tenant_id", "1L AS subbox_id", "item_id", "1D AS sub_quantity")
+    items = ids.selectExpr(
+        "*", *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+               for f in table(spark, "items", []).schema if f.name not in ids.columns]
+    )
+    small = nesting.subbox_nested(subbox, few, items)
+    large = nesting.subbox_nested(subbox, few.unionByName(many), items)
+    assert large.columns == small.columns
+    counts = {r.subbox_id: (r["count(1)"], r["count(DISTINCT item.item_id)"]) for r in
+              large.groupBy("subbox_id").agg(F.count("*").alias("count(1)"),
+                                             F.count_distinct("item.item_id").alias("count(DISTINCT item.item_id)")).collect()}
+    assert counts == {1: (n, n), 2: (1, 1), 3: (1, 0)}
 
 
 def test_box_board(spark):
@@ -207,7 +210,8 @@ def test_last_tracking(spark):
     ]
     packages = table(spark, "packages", [{"tracking_number": n} for n in numbers])
     types = requests(
-        spark, "type string", [("TH",), ("T",), ("JP",), ("50%",), (r"50\%",), ("_H",), ("none",)]
+        spark, "type string", [("TH",), ("T",), ("JP",), ("50%",), (r"50\%",), ("_H",), ("none",),
+         (r"T\H",), ("TH-9\\",), (r"J\\P",)]
     )
     rows = prefixes.last_tracking_per_prefix(packages, types)
     assert dict(pairs(rows, "type", "tracking_number")) == {
@@ -217,12 +221,18 @@ def test_last_tracking(spark):
         "50%": "50xoff-2",
         r"50\%": "50%off-1",
         "_H": "TH-10",
+        r"T\H": "TH-10",
     }
     # Without a '-' the whole text is read, so T100 counts 0.
     folded = prefixes.last_tracking_per_prefix(packages, types, ignore_case=True)
     assert dict(pairs(folded, "type", "tracking_number"))["TH"] == "th-99"
-    one = prefixes.last_tracking(packages, "TH")
-    assert pairs(one, "tracking_number") == [("TH-10",)]
+    other = packages.withColumn("tenant_id", F.lit("u")).withColumn(
+        "tracking_number", F.concat("tracking_number", F.lit("9"))
+    )
+    both = packages.unionByName(other)
+    for text in ("TH", r"T\H"):
+        one = prefixes.last_tracking(both, "t", text)
+        assert pairs(one, "tenant_id", "tracking_number") == [("t", "TH-10")]
 
 
 def test_leading_unsigned(spark):

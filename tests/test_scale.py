@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from parcelyard.operators.changes import number_rows
 from parcelyard.operators.keyed import drop_keys, keep_keys, match
+from parcelyard.operators.prefixes import last_tracking_per_prefix
 from parcelyard.trial.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES = all_queries()
+SCALARS = {
+    "chg_employee_insert", "last_tracking_per_prefix", "file_prefix_matches", "file_prefix_first",
+}
 
 
 @contextmanager
@@ -47,8 +51,9 @@ def test_plans_have_no_cross_join_window_or_python(spark, name):
         plan = _plan(QUERIES[name](spark, SF))
     banned = "CartesianProduct|BroadcastNestedLoopJoin|Window|EvalPython|InPandas|CollectLimit"
     assert re.findall(banned, plan) == []
-    # Gathering in one task is only for the single-row scalars of the new staff ids.
-    if name != "chg_employee_insert":
+    # Gathering in one task is only for single-row scalars: the top of the staff ids,
+    # and the lengths of prefixes in use.
+    if name not in SCALARS:
         assert "SinglePartition" not in plan
 
 
@@ -119,3 +124,18 @@ def test_scans_read_only_what_is_needed(spark):
     plan = _plan(QUERIES["pending_appointments"](spark, SF))
     pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan).group(1)
     assert "GreaterThan(ts," in pushed
+
+
+def test_prefix_of_a_third_of_all_rows(spark):
+    n = 90_000
+    packages = spark.range(n).selectExpr(
+        "'t' AS tenant_id",
+        "CASE WHEN id % 3 = 0 THEN 'HOT-' ELSE concat('P', id, '-') END || id AS tracking_number",
+    )
+    types = spark.createDataFrame([("t", "HOT"), ("t", "P1"), ("t", "HO_-")], "tenant_id string, type string")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        out = last_tracking_per_prefix(packages, types)
+        assert "sequence(0" not in _plan(out)
+        got = {r["type"]: r["tracking_number"] for r in out.collect()}
+    top = max((i for i in range(n) if i % 3 and str(i).startswith("1")))
+    assert got == {"HOT": f"HOT-{n - 3}", "P1": f"P{top}-{top}", "HO_-": f"HOT-{n - 3}"}

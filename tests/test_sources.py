@@ -169,8 +169,7 @@ def test_settled_keys(spark):
     assert pairs(stored, "box_id") == [("a",)]
     folder = checkpoints.ensure_checkpoint_dir(spark)
     assert folder in spark.sparkContext.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert named is None or folder == named
+    assert spark.conf.get("spark.checkpoint.dir") in folder
 
 
 def test_update_folds_per_column(spark):
