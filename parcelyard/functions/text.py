@@ -29,19 +29,46 @@ _KEPT_IN_PATHS = "|[]^%"
 _STAND_INS = "\ue000\ue001\ue002\ue003\ue004"
 
 
+# Path parts that stand for the folder itself and the one above.
+_HERE = (".", "%2e")
+_ABOVE = ("..", ".%2e", "%2e.", "%2e%2e")
+
+
+def _without_dots(path: Column) -> Column:
+    """The path behind its first slash, with the parts ``.`` and ``..`` carried out."""
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
+
+    def step(done: Column, part: Column) -> Column:
+        low = F.lower(part)
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return (
+            F.when(low.isin(*_ABOVE), up)
+            .when(low.isin(*_HERE), done)
+            .otherwise(F.concat(done, F.array(part)))
+        )
+
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # A path that ends in a folder ends in a slash.
+    ends = F.lower(F.element_at(parts, -1)).isin(*_HERE, *_ABOVE)
+    walked = F.when(ends, F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.array_join(walked, "/")
+
+
 def object_key(url: Column) -> Column:
     """Object key behind a storage URL; NULL for other hosts and broken URLs.
 
     Spaces, some punctuation and characters outside ASCII appear percent-encoded.
+    Tabs and line ends are left out, and ``.`` and ``..`` in the path are resolved.
     """
-    clean = F.replace(F.trim(url), F.lit("\\"), F.lit("/"))
+    clean = F.regexp_replace(F.translate(url, "\t\n\r", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    clean = F.replace(clean, F.lit("\\"), F.lit("/"))
     for raw, encoded in ENCODED_IN_PATHS.items():
         clean = F.replace(clean, F.lit(raw), F.lit(encoded))
     clean = F.regexp_replace(clean, "%(?![0-9A-Fa-f]{2})", _STAND_INS[-1])
     clean = F.translate(clean, _KEPT_IN_PATHS[:-1], _STAND_INS[:-1])
     host = F.lower(F.try_parse_url(clean, F.lit("HOST")))
     path = F.try_parse_url(clean, F.lit("PATH"))
-    key = F.translate(F.regexp_replace(path, r"^/", ""), _STAND_INS, _KEPT_IN_PATHS)
+    key = F.translate(_without_dots(path), _STAND_INS, _KEPT_IN_PATHS)
     encoded = F.array_join(
         F.transform(
             F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0)),

@@ -17,7 +17,8 @@ from parcelyard.operators.changes import (
     update_by_key,
 )
 from parcelyard.operators.keyed import distinct_keys, drop_keys, keep_keys, on
-from parcelyard.schemas import DEFAULT_COUNTRY
+from parcelyard.plans.assets import purge_for_customers
+from parcelyard.schemas import ASSETS, DEFAULT_COUNTRY
 
 Tables = Mapping[str, DataFrame]
 
@@ -79,6 +80,8 @@ def customer_delete(
 ) -> dict[str, DataFrame]:
     """Remove customers with everything that hangs on them, slips included.
 
+    ``assets`` of the result lists the stored photos that go with them.
+
     The key sets feed several of the nine tables. ``settle`` may store them once,
     see ``parcelyard.sources.checkpoints``; by default each table plans its own.
     """
@@ -92,6 +95,7 @@ def customer_delete(
     )
     parcels = settle(distinct_keys(own_parcels, "tracking_number"))
     return {
+        ASSETS: purge_for_customers(tables["packages"], tables["items"], gone),
         "subbox_item": drop_keys(tables["subbox_item"], subboxes, "subbox_id"),
         "subbox": drop_keys(tables["subbox"], boxes, "box_id", spread_by="subbox_id"),
         "slip": drop_keys(tables["slip"], boxes, "box_id", spread_by="slip_id"),

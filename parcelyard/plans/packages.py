@@ -17,13 +17,14 @@ from parcelyard.operators.changes import (
     update_by_key,
 )
 from parcelyard.operators.keyed import drop_keys
+from parcelyard.plans.assets import purge_for_items, purge_for_packages
 from parcelyard.plans.status import (
     clear_when_done,
     first_request,
     named_customers,
     warehouse_if_new,
 )
-from parcelyard.schemas import TENANT, UNCLAIMED_OWNER
+from parcelyard.schemas import ASSETS, TENANT, UNCLAIMED_OWNER
 
 Tables = Mapping[str, DataFrame]
 
@@ -60,11 +61,15 @@ def package_edit(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
 
 
 def package_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """Remove packages with all their items, then clear finished customers."""
+    """Remove packages with all their items, then clear finished customers.
+
+    ``assets`` of the result lists the stored photos that go with them.
+    """
     requests = changes.filter(filled(F.col("tracking_number")))
     gone = first_request(requests, "tracking_number")
     items, packages = tables["items"], tables["packages"]
     return {
+        ASSETS: purge_for_packages(packages, items, gone),
         "items": drop_keys(items, gone, "tracking_number", spread_by="item_id"),
         "packages": drop_keys(packages, gone, "tracking_number", one_each=True),
         "customers": clear_when_done(
@@ -120,11 +125,15 @@ def item_edit(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
 
 
 def item_delete(tables: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """Remove items, then clear finished customers named by the requests."""
+    """Remove items, then clear finished customers named by the requests.
+
+    ``assets`` of the result lists the items' stored photos.
+    """
     requests = changes.filter(F.col("item_id").isNotNull())
     gone = first_request(requests, "item_id")
     items = tables["items"]
     return {
+        ASSETS: purge_for_items(items, gone),
         "items": drop_keys(items, gone, "item_id", one_each=True),
         "customers": clear_when_done(
             tables["customers"], tables["packages"], items, requests, gone, "item_id"

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 
+from parcelyard.schemas import ASSETS
+
 Job = Callable[[Mapping[str, DataFrame], DataFrame], dict[str, DataFrame]]
 
 
@@ -18,9 +20,14 @@ def apply_runs(
 
     Each run holds neighbouring requests of one kind. ``store`` cuts the lineage of
     the changed tables after each run, for example by ``DataFrame.checkpoint``.
+    Photos to remove are gathered over all runs.
     """
-    state = dict(tables)
+    state, gathered = dict(tables), None
     for job, changes in runs:
         changed = job(state, changes)
-        state |= {name: store(rows) if store else rows for name, rows in changed.items()}
-    return state
+        changed = {name: store(rows) if store else rows for name, rows in changed.items()}
+        assets = changed.pop(ASSETS, None)
+        if assets is not None:
+            gathered = assets if gathered is None else gathered.unionByName(assets)
+        state |= changed
+    return state if gathered is None else {**state, ASSETS: gathered}

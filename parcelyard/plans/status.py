@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +45,47 @@ def clear_when_done(
         .groupBy(*on("customer_id"))
         .agg(F.max("seq").alias("_last_seq"))
     )
-    identity = ["tracking_number"] if key == "tracking_number" else [key, "tracking_number"]
-    was_open = items.filter(F.col("item_status") == ITEM_OPEN).select(*on(*identity))
+    was_open = items.filter(F.col("item_status") == ITEM_OPEN)
+    still = F.col("gone_seq").isNull() | (F.col("gone_seq") > F.col("_last_seq"))
     owned = match(packages.select(*on("tracking_number", "customer_id")), last, "customer_id")
-    theirs = owned.join(was_open, on("tracking_number"))
-    holding = (
-        match(theirs, gone, key, how="left")
-        .filter(F.col("gone_seq").isNull() | (F.col("gone_seq") > F.col("_last_seq")))
+    if key == "tracking_number":
+        # Removed packages drop out before the items come in, which then move once.
+        kept = owned.join(gone, on(key), "left").filter(still)
+        holding = match(was_open.select(*on(key)), kept.select(*on(key, "customer_id")), key)
+    else:
+        theirs = owned.join(was_open.select(*on(key, "tracking_number")), on("tracking_number"))
+        # Items have the key to themselves, so none can be hot.
+        holding = theirs.join(gone, on(key), "left").filter(still)
+    evidence = _evidence(last, "customer_id", _holding=holding)
+    done = flag(~F.col("_holding")) & (F.col("status") != UNPAID_STATUS)
+    return customers.join(evidence, on("customer_id"), "left").select(
+        *[
+            F.when(flag(done), F.lit(None)).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c)
+            for c in customers.columns
+        ]
+    )
+
+
+def _evidence(
+    asked: DataFrame, key: str, carried: Sequence[str] = (), **found: DataFrame
+) -> DataFrame:
+    """Each key asked for once, with a flag per set telling whether it has the key.
+
+    One aggregate over all sets; the sets hold no other keys. ``carried`` columns
+    of ``asked`` are kept.
+    """
+    flags = list(found)
+
+    def part(rows: DataFrame, name: str) -> DataFrame:
+        kept = [c if name == "" else F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in carried]
+        return rows.select(*on(key), *kept, *[F.lit(f == name).alias(f) for f in flags])
+
+    rows = part(asked, "")
+    for name, keys in found.items():
+        rows = rows.unionByName(part(keys, name))
+    return rows.groupBy(*on(key)).agg(
+        *[F.max(c).alias(c) for c in carried], *[F.bool_or(f).alias(f) for f in flags]
     )
-    done = drop_keys(last, holding, "customer_id", one_each=True)
-    status = F.col("status")
-    marked = mark_keys(customers, done, "customer_id", name="_done")
-    return marked.withColumn(
-        "status",
-        F.when(F.col("_done") & (status != UNPAID_STATUS), F.lit(None)).otherwise(status),
-    ).drop("_done")
 
 
 def unpaid_or_by_items(
@@ -114,8 +142,7 @@ def after_box_removal(
     holding = match(theirs, gone, "box_id", how="left", spread_by="item_id").filter(
         flag(F.col("item_status") == ITEM_OPEN) | flag(F.col("gone_seq") <= F.col("_last_seq"))
     )
-    decided = mark_keys(asked, packed, "customer_id", name="_packed")
-    decided = mark_keys(decided, holding, "customer_id", name="_open")
+    decided = _evidence(asked, "customer_id", ["_times"], _packed=packed, _open=holding)
     hit = F.col("_times").isNotNull()
     status = (
         F.when(~hit | flag(F.col("_packed")), F.col("status"))

@@ -6,6 +6,9 @@ from pyspark.sql import types as T
 
 TENANT = "tenant_id"
 
+# Beside the changed tables a delete job returns the stored photos to remove.
+ASSETS = "assets"
+
 _DDL = {
     "customers": (
         "tenant_id string, customer_id string, customer_name string, contact string, "

@@ -35,7 +35,9 @@ def read_settings(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Files ``root/<tenant>/<kind>.json``; a missing file is a tenant without rows."""
     path = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     tenant = F.url_decode(F.element_at(F.split(path, "/"), -2))
-    return spark.read.text(f"{root}/*/{kind}.json", wholetext=True).select(
+    # Unlike a path with a wildcard, a root that holds no such file is no error.
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{kind}.json")
+    return files.text(root, wholetext=True).select(
         tenant.alias(TENANT), F.col("value").alias("body")
     )
 

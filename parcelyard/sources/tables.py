@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelyard.schemas import SCHEMAS, SECRET_COLUMNS, TENANT
+from parcelyard.schemas import ASSETS, SCHEMAS, SECRET_COLUMNS, TENANT
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -36,8 +37,19 @@ def write_table(
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
+    """Write tables, and the photos to remove as a folder of their own."""
     for name, rows in tables.items():
-        write_table(rows, root, name)
+        if name == ASSETS:
+            rows.write.parquet(f"{root}/{ASSETS}")
+        else:
+            write_table(rows, root, name)
+
+
+def hash_predicates(column: str, partitions: int) -> list[str]:
+    """Conditions that deal the rows of a text key over ``partitions`` reads, each row once."""
+    name = "`" + column.replace("`", "``") + "`"
+    first = f"MOD(CRC32({name}), {partitions}) = 0 OR {name} IS NULL"
+    return [first, *[f"MOD(CRC32({name}), {partitions}) = {i}" for i in range(1, partitions)]]
 
 
 def read_jdbc_table(
@@ -50,12 +62,13 @@ def read_jdbc_table(
     bounds: tuple[int, int] | None = None,
     partitions: int = 64,
 ) -> DataFrame:
-    """One tenant's table from its database, read in ranges of a numeric key.
+    """One tenant's table from its database, read in parallel by its key.
 
+    A numeric key is read in ranges between ``bounds``, a text key by its hash.
     Credentials come in ``properties``; secrets in the table are not selected.
     """
     fields = [f for f in SCHEMAS[table].fields if f.name != TENANT]
-    split = {}
+    split: dict = {}
     if split_on and bounds:
         split = {
             "column": split_on,
@@ -63,6 +76,8 @@ def read_jdbc_table(
             "upperBound": bounds[1],
             "numPartitions": partitions,
         }
+    elif split_on:
+        split = {"predicates": hash_predicates(split_on, partitions)}
     rows = spark.read.jdbc(url, table, properties=dict(properties), **split)
     known = rows.drop(*SECRET_COLUMNS).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]
@@ -73,6 +88,8 @@ def read_jdbc_table(
 
 
 def append_log(entries: DataFrame, root: str) -> None:
-    """Append audit rows to the log."""
+    """Append audit rows to the log, as a batch of their own."""
     rows = entries.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS["logedit"].fields])
-    rows.write.mode("append").partitionBy(TENANT).parquet(f"{root}/logedit")
+    # Even files, and a tenant with very many rows in several.
+    even = rows.hint("rebalance", F.col(TENANT))
+    even.write.partitionBy(TENANT).parquet(f"{root}/logedit/batch=a-{uuid.uuid4().hex}")

@@ -1,58 +1,128 @@
 """Applying change files as they arrive.
 
-Requests reach the tables one after another. Here each micro-batch of change files
-is one change set: its job runs on the last snapshot and writes the next one.
+Requests reach the tables one after another. Here each micro-batch of a change log
+is cut into runs of one kind, whose jobs are applied in turn to the last version of
+the tables. Only tables that change are written; a version lists, for every table,
+the version that holds its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelyard.schemas import SCHEMAS, TENANT
-from parcelyard.sources.tables import read_tables, write_table
+from parcelyard.plans.runs import apply_runs
+from parcelyard.schemas import ASSETS, SCHEMAS, TENANT
+from parcelyard.sources.checkpoints import settle
+from parcelyard.sources.tables import read_table, write_table
 
 Job = Callable[[Mapping[str, DataFrame], DataFrame], dict[str, DataFrame]]
 
+# A row of the change log: ``body`` holds the request's fields as JSON.
+LOG = "tenant_id string, seq bigint, kind string, body string"
+_VERSIONS = "name string, version bigint"
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A kind of change: its job, and the fields of its requests as DDL."""
+
+    job: Job
+    fields: str
+
 
 def snapshot(root: str, version: int) -> str:
+    """The folder of the tables that version ``version`` has written."""
     return f"{root}/v={version:012d}"
 
 
+def _listing(root: str, version: int) -> str:
+    return f"{root}/versions/v={version:012d}"
+
+
+def _list(spark: SparkSession, root: str, version: int, held: Mapping[str, int]) -> None:
+    rows = spark.createDataFrame(sorted(held.items()), _VERSIONS)
+    rows.coalesce(1).write.mode("overwrite").json(_listing(root, version))
+
+
+def read_versions(spark: SparkSession, root: str, version: int) -> dict[str, int]:
+    """Per table the version that holds its rows: one small row per table."""
+    rows = spark.read.schema(_VERSIONS).json(_listing(root, version)).collect()
+    return {r["name"]: r["version"] for r in rows}
+
+
+def read_snapshot(
+    spark: SparkSession, root: str, version: int, names: Iterable[str] | None = None
+) -> dict[str, DataFrame]:
+    held = read_versions(spark, root, version)
+    return {n: read_table(spark, snapshot(root, held[n]), n) for n in names or held}
+
+
+def start(tables: Mapping[str, DataFrame], root: str) -> None:
+    """Write ``tables`` as version 0."""
+    for name, rows in tables.items():
+        write_table(rows, snapshot(root, 0), name)
+        spark = rows.sparkSession
+    _list(spark, root, 0, dict.fromkeys(tables, 0))
+
+
+def cut_runs(changes: DataFrame, kinds: Mapping[str, Kind]) -> Iterator[tuple[Job, DataFrame]]:
+    """Jobs with their requests, in an order that keeps each tenant's order of ``seq``.
+
+    Neighbouring requests of one kind form a run. Tenants do not affect each other,
+    so the n-th runs of all tenants are applied together, one job per kind. Each run
+    plans its job anew: a log whose kinds alternate costs a job per request, a log
+    sorted by kind one per kind.
+    """
+    order = Window.partitionBy(TENANT).orderBy("seq")
+    before = F.lag("kind").over(order)
+    turns = changes.withColumn("_turn", (F.col("kind") != F.coalesce(before, "kind")).cast("int"))
+    numbered = settle(turns.withColumn("_run", F.sum("_turn").over(order)))
+    found = sorted(map(tuple, numbered.select("_run", "kind").distinct().collect()))
+    if unknown := {kind for _, kind in found} - set(kinds):
+        raise ValueError(f"unknown kinds of change: {sorted(map(str, unknown))}")
+    for run, kind in found:
+        rows = numbered.filter((F.col("_run") == run) & (F.col("kind") == kind))
+        fields = F.from_json("body", kinds[kind].fields).alias("_fields")
+        yield kinds[kind].job, rows.select(TENANT, "seq", fields).select(TENANT, "seq", "_fields.*")
+
+
 def apply_batch(
-    spark: SparkSession, job: Job, changes: DataFrame, root: str, version: int,
-    names: Iterable[str],
+    spark: SparkSession, kinds: Mapping[str, Kind], changes: DataFrame, root: str, version: int
 ) -> None:
-    """Write snapshot ``version + 1`` from snapshot ``version`` and one change set.
+    """Make version ``version + 1`` from version ``version`` and a stretch of the log.
 
-    A repeated batch writes the same folder again, so a restart changes nothing.
+    A repeated batch writes the same folders again, so a restart changes nothing.
     """
-    names = list(names)
-    tables = read_tables(spark, snapshot(root, version), names)
-    changed = job(tables, changes)
-    for name in names:
-        rows = changed.get(name, tables[name])
-        write_table(rows, snapshot(root, version + 1), name, mode="overwrite")
+    held = read_versions(spark, root, version)
+    tables = read_snapshot(spark, root, version)
+    state = apply_runs(tables, cut_runs(changes, kinds), settle)
+    for name, rows in state.items():
+        if name == ASSETS:
+            rows.write.mode("overwrite").parquet(f"{snapshot(root, version + 1)}/{ASSETS}")
+        elif rows is not tables.get(name):
+            write_table(rows, snapshot(root, version + 1), name, mode="overwrite")
+            held[name] = version + 1
+    _list(spark, root, version + 1, held)
 
 
 def follow_changes(
     spark: SparkSession,
-    job: Job,
+    kinds: Mapping[str, Kind],
     inbox: str,
-    schema: T.StructType,
     root: str,
-    names: Iterable[str],
     progress: str,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Apply the JSON change files of one kind found in ``inbox``, then stop."""
-    names = list(names)
-    feed = spark.readStream.schema(schema).json(inbox)
+    """Apply the JSON files of one change log found in ``inbox``, then stop."""
+    feed = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).json(inbox)
 
     def apply(changes: DataFrame, batch: int) -> None:
-        apply_batch(changes.sparkSession, job, changes, root, batch, names)
+        apply_batch(changes.sparkSession, kinds, changes, root, batch)
 
     return (
         feed.writeStream.foreachBatch(apply)
@@ -64,12 +134,17 @@ def follow_changes(
 
 def follow_log(spark: SparkSession, inbox: str, root: str, progress: str) -> StreamingQuery:
     """Append arriving audit rows to the log."""
+    rows = spark.readStream.schema(SCHEMAS["logedit"]).json(inbox)
+
+    def append(entries: DataFrame, batch: int) -> None:
+        # Each batch replaces a folder of its own, so a repeated one adds nothing. Even
+        # files, and a tenant with very many rows in several.
+        even = entries.hint("rebalance", F.col(TENANT))
+        writer = even.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(TENANT).parquet(f"{root}/logedit/batch={batch:012d}")
+
     return (
-        spark.readStream.schema(SCHEMAS["logedit"])
-        .json(inbox)
-        .writeStream.partitionBy(TENANT)
-        .format("parquet")
-        .option("path", f"{root}/logedit")
+        rows.writeStream.foreachBatch(append)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

@@ -703,6 +703,8 @@ _JOBS: dict[str, str] = {
 
 
 def all_oracles() -> dict[str, str]:
-    return {
-        name: _with_views(body.strip()) for name, body in {**_OPERATORS, **_JOBS}.items()
-    }
+    bodies = {**_OPERATORS, **_JOBS}
+    # The photos a delete lists are those of the manifest on its own.
+    for job, manifest in (("customer", "manifest"), ("package", "packages"), ("item", "items")):
+        bodies[f"chg_{job}_delete_assets"] = bodies[f"asset_purge_{manifest}"]
+    return {name: _with_views(body.strip()) for name, body in bodies.items()}

@@ -340,7 +340,7 @@ _JOBS: list[tuple[str, Callable[[Tables], dict[str, DataFrame]], list[str]]] = [
      ["customers"]),
     ("customer_delete", lambda t: customers.customer_delete(t, t["req_customer_delete"]),
      ["customers", "subbox_item", "subbox", "slip", "items", "packages", "box",
-      "appointment", "addresses"]),
+      "appointment", "addresses", "assets"]),
     ("address_insert", lambda t: customers.address_insert(t, t["req_address_insert"]),
      ["addresses"]),
     ("address_edit", lambda t: customers.address_edit(t, t["req_address_edit"]), ["addresses"]),
@@ -350,12 +350,12 @@ _JOBS: list[tuple[str, Callable[[Tables], dict[str, DataFrame]], list[str]]] = [
      ["packages"]),
     ("package_edit", lambda t: packages.package_edit(t, t["req_package_edit"]), ["packages"]),
     ("package_delete", lambda t: packages.package_delete(t, t["req_package_delete"]),
-     ["packages", "items", "customers"]),
+     ["packages", "items", "customers", "assets"]),
     ("items_insert", lambda t: packages.items_insert(t, _item_requests(t)),
      ["items", "customers"]),
     ("item_edit", lambda t: packages.item_edit(t, t["req_item_edit"]), ["items"]),
     ("item_delete", lambda t: packages.item_delete(t, t["req_item_delete"]),
-     ["items", "customers"]),
+     ["items", "customers", "assets"]),
     ("subbox_insert", lambda t: boxes.subbox_insert(t, _subbox_requests(t)),
      ["subbox", "subbox_item"]),
     ("subbox_edit", lambda t: boxes.subbox_edit(t, t["req_subbox_event"]), ["subbox"]),

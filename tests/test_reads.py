@@ -260,6 +260,11 @@ def test_object_keys(spark):
         'https://y.s3.amazonaws.com/a"<{b}>`': "a%22%3C%7Bb%7D%3E%60",
         "https://y.s3.amazonaws.com/a[1]|^50%/%41%zz": "a[1]|^50%/%41%zz",
         "https://y.s3.amazonaws.com\\d\\e": "d/e",
+        "https://y.s3.amazonaws.com/a/../b.webp": "b.webp",
+        "https://y.s3.amazonaws.com/../a/./b/%2E%2e/c/..": "a/",
+        "https://y.s3.amazonaws.com/a..b/.c/...": "a..b/.c/...",
+        "https://y.s3.amazonaws.com/a\tb\nc.webp": "abc.webp",
+        "\x01 https://y.s3.amazonaws.com/a\x1f": "a",
         "https://y.s3.amazonaws.com/": None,
         "https://y.s3.amazonaws.com": None,
         "https://amazonaws.com/a": None,

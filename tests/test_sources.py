@@ -3,14 +3,31 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelyard.operators.changes import update_by_key
-from parcelyard.plans import boxes
+from parcelyard.plans import boxes, packages
 from parcelyard.sources import checkpoints, documents, settings
-from parcelyard.sources.tables import append_log, read_table, read_tables, write_tables
-from parcelyard.streaming.feed import follow_changes, follow_log, snapshot
+from parcelyard.sources.tables import (
+    append_log,
+    hash_predicates,
+    read_table,
+    read_tables,
+    write_tables,
+)
+from parcelyard.streaming.feed import (
+    LOG,
+    Kind,
+    cut_runs,
+    follow_changes,
+    follow_log,
+    read_snapshot,
+    read_versions,
+    snapshot,
+    start,
+)
 from rows import pairs, table, tables
 
 PRICE = [
@@ -46,6 +63,7 @@ def test_settings_files(spark, tmp_path):
     root = str(tmp_path)
     price = settings.read_settings(spark, root, "price")
     assert pairs(price, "tenant_id") == [("a co",), ("บี",)]
+    assert settings.read_settings(spark, root, "no_such_kind").count() == 0
     assert pairs(settings.price_tiers(price), "tenant_id", "tier_id", "quantity", "price") == [
         ("a co", 1, 0.5, 120.0), ("a co", 2, None, None)]
     assert pairs(settings.price_additional(price), "range", "range_low", "range_high", "rate") == [
@@ -135,32 +153,61 @@ def test_log(spark, tmp_path):
 def test_change_feed(spark, tmp_path):
     root, inbox = str(tmp_path / "store"), tmp_path / "inbox"
     inbox.mkdir()
-    t = tables(spark, box=[{"box_id": "a", "priority": 1}, {"box_id": "b", "priority": 2}])
-    write_tables({"box": t["box"]}, snapshot(root, 0))
-    schema = T.StructType.fromDDL(
-        "tenant_id string, seq bigint, box_id string, priority int")
+    t = tables(
+        spark, box=[{"box_id": "a", "priority": 1}, {"box_id": "b", "priority": 2}],
+        slip=[{"slip_id": 1, "box_id": "a"}], packages=[{"tracking_number": "P", "photo_url": "https://x.amazonaws.com/p"}],
+    )
+    start({n: t[n] for n in ("box", "slip", "packages", "items", "customers")}, root)
+    kinds = {
+        "priority": Kind(boxes.box_priority, "box_id string, priority int"),
+        "slip": Kind(boxes.slip_delete, "slip_id bigint"),
+        "package": Kind(packages.package_delete, "customer_id string, tracking_number string"),
+    }
 
     def run():
-        query = follow_changes(spark, boxes.box_priority, str(inbox), schema, root, ["box"],
-                               str(tmp_path / "progress"))
-        assert query.awaitTermination(120)
+        query = follow_changes(spark, kinds, str(inbox), root, str(tmp_path / "progress"))
+        assert query.awaitTermination(240)
 
     def send(name, *rows):
-        text = "\n".join(json.dumps({"tenant_id": "t", "seq": s, "box_id": b, "priority": p})
-                         for s, b, p in rows)
+        text = "\n".join(
+            json.dumps({"tenant_id": tenant, "seq": seq, "kind": kind, "body": json.dumps(body)})
+            for tenant, seq, kind, body in rows
+        )
         (inbox / name).write_text(text + "\n")
 
     def state(version):
-        return pairs(read_table(spark, snapshot(root, version), "box"), "box_id", "priority")
+        rows = read_snapshot(spark, root, version)
+        return pairs(rows["box"], "box_id", "priority"), rows["slip"].count()
 
-    send("1.json", (1, "a", 5), (2, "a", 7))
+    # Two kinds interleave, out of order, and another tenant has runs of its own.
+    send("1.json", ("t", 4, "priority", {"box_id": "a", "priority": 7}),
+         ("t", 1, "priority", {"box_id": "a", "priority": 5}), ("t", 2, "slip", {"slip_id": 1}),
+         ("t", 3, "priority", {"box_id": "a", "priority": 9}), ("u", 1, "slip", {"slip_id": 1}))
     run()
-    assert state(1) == [("a", 7), ("b", 2)]
-    send("2.json", (3, "b", None))
+    assert state(1) == ([("a", 7), ("b", 2)], 0)
+    assert read_versions(spark, root, 1) == {"box": 1, "slip": 1, "packages": 0, "items": 0, "customers": 0}
+    assert sorted(p.name for p in (tmp_path / "store" / "v=000000000001").iterdir()) == ["box", "slip"]
+    send("2.json", ("t", 5, "priority", {"box_id": "b", "priority": None}),
+         ("t", 6, "package", {"tracking_number": "P"}))
     run()
     run()
-    assert state(2) == [("a", 7), ("b", None)]
-    assert state(0) == [("a", 1), ("b", 2)]
+    assert state(2) == ([("a", 7), ("b", None)], 0)
+    assert read_versions(spark, root, 2)["slip"] == 1
+    assert read_snapshot(spark, root, 2, ["packages"])["packages"].count() == 0
+    assert pairs(spark.read.parquet(f"{snapshot(root, 2)}/assets"), "object_key") == [("p",)]
+    assert state(0) == ([("a", 1), ("b", 2)], 1)
+    unknown = spark.createDataFrame([("t", 1, "?", "{}")], LOG)
+    with pytest.raises(ValueError, match="unknown kinds"):
+        list(cut_runs(unknown, kinds))
+
+
+def test_predicates_of_text_keys(spark):
+    """No database may be started here, so the conditions are tried on a view."""
+    assert hash_predicates("a`b", 2) == [
+        "MOD(CRC32(`a``b`), 2) = 0 OR `a``b` IS NULL", "MOD(CRC32(`a``b`), 2) = 1"]
+    rows = spark.range(1000).selectExpr("nullif(concat('k', id), 'k7') AS customer_id")
+    parts = [rows.filter(p).count() for p in hash_predicates("customer_id", 4)]
+    assert sum(parts) == 1000 and min(parts) > 150
 
 
 def test_settled_keys(spark):
