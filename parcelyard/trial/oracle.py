@@ -69,15 +69,15 @@ def _renamed(table: str, request: str, key: str) -> str:
              QUALIFY rank() OVER (PARTITION BY tenant_id, {key} ORDER BY seq) = 1)) """
 
 
-# A package counts as open unless every known status of its items, at least one,
-# is 1. The extra view continues the list of views.
-_OPEN_PACKAGES = """, packed AS (
-            SELECT tenant_id, tracking_number FROM items GROUP BY ALL
-            HAVING bool_and(item_status = 1)),
-        open_packages AS (SELECT * FROM packages ANTI JOIN packed
-            USING (tenant_id, tracking_number)),
-        open_counts AS (SELECT tenant_id, customer_id, COUNT(*) AS package_count
-            FROM open_packages GROUP BY ALL)"""
+# The rule by counting: a package is packed if it has a known status and no known
+# status other than 1; every other package is open.
+_OPEN_PACKAGES = """, statuses AS (
+            SELECT tenant_id, tracking_number, count(item_status) AS known,
+                count(*) FILTER (WHERE item_status <> 1) AS others
+            FROM items GROUP BY tenant_id, tracking_number),
+        packed AS (SELECT tenant_id, tracking_number FROM statuses WHERE known > 0 AND others = 0),
+        open_packages AS (SELECT * FROM packages p WHERE 0 = (SELECT count(*) FROM packed k
+            WHERE k.tenant_id = p.tenant_id AND k.tracking_number = p.tracking_number))"""
 _NUMBER = (
     "CAST('0' || regexp_extract(tracking_number, CASE WHEN contains(tracking_number, '-') "
     "THEN '^[^-]*-([0-9]*)' ELSE '^([0-9]*)' END, 1) AS HUGEINT)"
@@ -229,14 +229,16 @@ _OPERATORS: dict[str, str] = {
         FROM req_employee_edit r JOIN employee e ON r.emp_id = e.emp_id""",
     "customer_open_package_counts": f"""
         {_OPEN_PACKAGES}
-        SELECT c.*, coalesce(o.package_count, 0) AS package_count
-        FROM customers c LEFT JOIN open_counts o USING (tenant_id, customer_id)""",
+        SELECT c.*, (SELECT count(*) FROM open_packages o WHERE o.tenant_id = c.tenant_id
+            AND o.customer_id = c.customer_id) AS package_count
+        FROM customers c""",
     "customers_with_open_packages": f"""
         {_OPEN_PACKAGES}
-        SELECT c.*, o.package_count
-        FROM customers c JOIN open_counts o USING (tenant_id, customer_id)
-        UNION ALL
-        SELECT c.*, 0 FROM customers c ANTI JOIN packages USING (tenant_id, customer_id)""",
+        SELECT * FROM (SELECT c.*, (SELECT count(*) FROM open_packages o
+                WHERE o.tenant_id = c.tenant_id AND o.customer_id = c.customer_id) AS package_count
+            FROM customers c) r
+        WHERE package_count > 0 OR NOT EXISTS (SELECT 1 FROM packages p
+            WHERE p.tenant_id = r.tenant_id AND p.customer_id = r.customer_id)""",
     "customers_by_date": "SELECT * FROM customers",
     "package_item_progress": """
         SELECT p.*, p.Date_create AS received_date,
@@ -248,11 +250,11 @@ _OPERATORS: dict[str, str] = {
                 AND i.item_status = 1) AS sum1
         FROM packages p""",
     "remaining_box_items": """
-        , used AS (SELECT a.tenant_id, a.item_id, b.box_id, sum(a.sub_quantity) AS taken
-            FROM subbox b JOIN subbox_item a USING (tenant_id, subbox_id) GROUP BY ALL),
-        rest AS (SELECT i.*, i.quantity - coalesce(u.taken, 0) AS remaining_quantity
-            FROM items i LEFT JOIN used u USING (tenant_id, item_id, box_id)
-            WHERE i.box_id IS NOT NULL)
+        , rest AS (SELECT i.*, i.quantity - coalesce((SELECT sum(a.sub_quantity) FROM subbox_item a
+                WHERE a.tenant_id = i.tenant_id AND a.item_id = i.item_id AND a.subbox_id IN
+                (SELECT b.subbox_id FROM subbox b
+                 WHERE b.tenant_id = i.tenant_id AND b.box_id = i.box_id)), 0) AS remaining_quantity
+            FROM items i WHERE i.box_id IS NOT NULL)
         SELECT *, weight * remaining_quantity / nullif(quantity, 0) AS adjusted_weight
         FROM rest WHERE remaining_quantity <> 0""",
     "open_item_count": """

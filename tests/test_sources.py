@@ -31,9 +31,9 @@ from parcelyard.streaming.feed import (
 from rows import pairs, table, tables
 
 PRICE = [
-    {"id": 1, "region": "Laos", "tiers": [{"id": 1, "quantity": "0.5", "price": "120"},
+    {"id": 1, "region": "Laos", "tiers": [{"id": 1, "quantity": "1.25", "price": "120"},
                                           {"id": 2, "quantity": "x", "price": ""}],
-     "additional": [{"id": 1, "range": "70-100", "rate": "9"},
+     "additional": [{"id": 1, "range": "35-60", "rate": "9"},
                     {"id": 2, "range": "over 3", "rate": "1.5"}]},
     {"id": 2, "region": "โตเกียว", "tiers": [], "additional": []},
 ]
@@ -56,7 +56,7 @@ def test_settings_files(spark, tmp_path):
     _write(tmp_path, "a co", "price", PRICE)
     _write(tmp_path, "บี", "price", "{}")
     _write(tmp_path, "a co", "promotion", [
-        {"id": 1, "name": "n", "discount": "200"}, {"id": 2, "name": "p", "discount": " 12.5%"}])
+        {"id": 1, "name": "n", "discount": "315"}, {"id": 2, "name": "p", "discount": " 12.5%"}])
     _write(tmp_path, "a co", "warehouse", WAREHOUSE)
     _write(tmp_path, "a co", "dropdown", {"channels": ["x", "y"], "levels": []})
     _write(tmp_path, "a co", "company_info", {"companyName": "A", "taxId": "1"})
@@ -65,12 +65,12 @@ def test_settings_files(spark, tmp_path):
     assert pairs(price, "tenant_id") == [("a co",), ("บี",)]
     assert settings.read_settings(spark, root, "no_such_kind").count() == 0
     assert pairs(settings.price_tiers(price), "tenant_id", "tier_id", "quantity", "price") == [
-        ("a co", 1, 0.5, 120.0), ("a co", 2, None, None)]
+        ("a co", 1, 1.25, 120.0), ("a co", 2, None, None)]
     assert pairs(settings.price_additional(price), "range", "range_low", "range_high", "rate") == [
-        ("70-100", 70.0, 100.0, 9.0), ("over 3", None, None, 1.5)]
+        ("35-60", 35.0, 60.0, 9.0), ("over 3", None, None, 1.5)]
     promotion = settings.promotions(settings.read_settings(spark, root, "promotion"))
     assert pairs(promotion, "promotion_id", "amount", "percent") == [
-        (1, 200.0, None), (2, None, 12.5)]
+        (1, 315.0, None), (2, None, 12.5)]
     files = settings.read_settings(spark, root, "warehouse")
     assert pairs(settings.warehouse_shelves(files), "shelf_id", "name") == [(1, "Z9")]
     assert pairs(settings.warehouse_categories(files), "category", "product") == [("dry", "rice")]
