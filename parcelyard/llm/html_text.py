@@ -61,6 +61,11 @@ _OTHER_WORDS = frozenset(
     "related recommended recommendations pagination pager search searchbox form complementary "
     "contentinfo banner copyright disclaimer skip".split()
 )
+# Beginnings that tell it of compound words too, such as cookiebar.
+_OTHER_STEMS = (
+    "cookie", "sidebar", "advert", "sponsor", "navbar", "breadcrumb", "newsletter", "disqus",
+    "footer", "popup",
+)
 _COMMENT_WORDS = frozenset(
     "comment comments commentlist reply replies respond discussion disqus".split()
 )
@@ -89,7 +94,7 @@ class Piece(NamedTuple):
     text: str
     words: int
     other: bool  # inside a part that is no text of the article
-    root: bool  # inside an element named as the content
+    root: int  # inside an element named as the content: 2 an article, 1 a page's main part
     block: bool  # a tag that parts blocks
 
 
@@ -109,11 +114,11 @@ class Weights:
 
 
 # Attributes repeat from page to page.
-_known_marks: dict[str, tuple[frozenset[str], bool, bool]] = {}
+_known_marks: dict[str, tuple[frozenset[str], bool, int]] = {}
 _KNOWN_MARKS = 4096
 
 
-def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
+def _marks(attrs: str) -> tuple[frozenset[str], bool, int]:
     found = _known_marks.get(attrs)
     if found is None:
         found = _read_marks(attrs)
@@ -122,18 +127,19 @@ def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
     return found
 
 
-def _read_marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
-    """Words of class, id and role; whether the element is hidden; whether it is named as content."""
+def _read_marks(attrs: str) -> tuple[frozenset[str], bool, int]:
+    """Words of class, id and role; whether the element is hidden; how it is named as content."""
     words: set[str] = set()
-    hidden = root = False
+    hidden, root = False, 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             found = {w.lower() for w in _PART.findall(value)}
             words |= found | {w.lower() for w in re.split(r"[^A-Za-z]+", value) if w}
-            root |= name == "role" and value.lower() == "main"
-        elif name == "itemprop":
-            root |= value.lower() in _ROOT_WORDS
+            if name == "role":
+                root = max(root, {"article": 2, "main": 1}.get(value.lower(), 0))
+        elif name == "itemprop" and value.lower() in _ROOT_WORDS:
+            root = 2
         elif name == "style":
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         elif name == "aria-hidden":
@@ -143,10 +149,11 @@ def _read_marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
     return frozenset(words), hidden, root
 
 
-_PLAIN = (frozenset(), False, False)
+_PLAIN = (frozenset(), False, 0)
+_ROOTS = {"article": 2, "main": 1}
 
 
-def _is_other(name: str, words: frozenset[str], hidden: bool, in_root: bool) -> bool:
+def _is_other(name: str, words: frozenset[str], hidden: bool, in_root: int) -> bool:
     if name in _NEVER:
         return False
     if hidden or name in _OTHER:
@@ -155,15 +162,15 @@ def _is_other(name: str, words: frozenset[str], hidden: bool, in_root: bool) ->
         return bool(words & _COMMENT_WORDS)
     if not in_root and (name == "header" or words & _HEADER_WORDS):
         return True
-    return bool(words & _OTHER_WORDS)
+    return bool(words & _OTHER_WORDS) or any(w.startswith(_OTHER_STEMS) for w in words)
 
 
 def pieces(page: str) -> Iterator[Piece]:
     """Text and tags in page order."""
     # Open elements: name, whether no text of the article, whether in the content,
     # and what text directly inside is counted under.
-    stack: list[tuple[str, bool, bool, str]] = []
-    top = ("", False, False, "")
+    stack: list[tuple[str, bool, int, str]] = []
+    top = ("", False, 0, "")
     at, end = 0, len(page)
     while at < end:
         token = _TOKEN.search(page, at)
@@ -188,15 +195,16 @@ def pieces(page: str) -> Iterator[Piece]:
                 if stack[depth][0] == name:
                     del stack[depth:]
                     break
-            top = stack[-1] if stack else ("", False, False, "")
+            top = stack[-1] if stack else ("", False, 0, "")
         else:
             if name in _CLOSES:
                 _close_implied(stack, name)
-                top = stack[-1] if stack else ("", False, False, "")
+                top = stack[-1] if stack else ("", False, 0, "")
             _, other, root, under = top
             words, hidden, named = _marks(attrs) if len(attrs) > 4 else _PLAIN
             other = other or _is_other(name, words, hidden, root)
-            root = root or (not other and (named or name in ("article", "main")))
+            if not other:
+                root = max(root, named, _ROOTS.get(name, 0))
             if name in _RAW:
                 close = _RAW_END[name].search(page, at)
                 at = close.end() if close else end
@@ -211,7 +219,7 @@ def pieces(page: str) -> Iterator[Piece]:
 _CLOSES = _CLOSES_P | set(_SAME)
 
 
-def _close_implied(stack: list[tuple[str, bool, bool, str]], name: str) -> None:
+def _close_implied(stack: list[tuple[str, bool, int, str]], name: str) -> None:
     """Close what a start tag ends without an end tag."""
     if name in _CLOSES_P:
         for depth in range(len(stack) - 1, -1, -1):
@@ -229,24 +237,29 @@ def _close_implied(stack: list[tuple[str, bool, bool, str]], name: str) -> None:
                 break
 
 
+def _rooted(page: str) -> tuple[list[Piece], int]:
+    """The pieces, and the narrowest kind of named content that holds words, 0 for none."""
+    found = list(pieces(page))
+    return found, max((p.root for p in found if p.words and not p.other), default=0)
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of the best run; white space is one space, blocks are joined by one.
 
     Where the markup names the content, tags inside it cost nothing and words
     outside count against the run.
     """
-    found = list(pieces(page or ""))
-    rooted = any(p.root and not p.other and p.words for p in found)
+    found, rooted = _rooted(page or "")
     best, best_from, best_to = 0.0, 0, 0
     total, begin = 0.0, 0
     for i, (kind, name, _, words, other, root, _) in enumerate(found):
         if other:
             continue
         if kind == "tag":
-            if root:
+            if rooted and root >= rooted:
                 continue
             total += weights.of_tag(name)
-        elif root or not rooted:
+        elif root >= rooted:
             total += weights.word.get(name, weights.default_word) * words
         else:
             total -= weights.default_word * words
@@ -259,19 +272,19 @@ def main_text(page: str | None, weights: Weights) -> str:
         if p.kind == "tag":
             if p.block:
                 out.append(" ")
-        elif not p.other and (p.root or not rooted):
+        elif not p.other and p.root >= rooted:
             out.append(p.text)
     return " ".join("".join(out).split())
 
 
 def count_labelled(page: str) -> Counter:
     """Of a page whose markup names its content: ``(what, name, inside)`` counts."""
-    found = list(pieces(page))
+    found, rooted = _rooted(page)
     out: Counter = Counter()
-    if not any(p.root and not p.other and p.words for p in found):
+    if not rooted:
         return out
     for p in found:
-        inside = p.root and not p.other
+        inside = p.root >= rooted and not p.other
         # The naming elements themselves would only repeat the label.
         if p.kind == "tag" and p.name not in ("article", "main"):
             out["tag", p.name, inside] += 1

@@ -81,7 +81,7 @@ def test_mining_finds_every_sure_combination(spark):
     draw = random.Random(9)
     baskets = [(sorted(draw.sample("abcdef", draw.randrange(1, 5))), draw.random() < 0.3) for _ in range(200)]
     baskets = [(t, b or {"a", "c"} <= set(t) or {"b", "e"} <= set(t)) for t, b in baskets]
-    settings = url_rules.Mining(min_support=0.03, min_confidence=0.7, max_tokens=3)
+    settings = url_rules.Mining(min_support=0.03, min_count=1, min_confidence=0.7, max_tokens=3)
     df = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")
     got = {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine(df, settings).collect()}
     sure = {}
@@ -282,6 +282,12 @@ def test_main_text_of_named_content(root):
     assert html_text.main_text(page, html_text.Weights()) == EXPECTED
 
 
+def test_an_article_is_narrower_than_the_main_part():
+    page = "<main><p>around it</p><article><p>the text</p></article><div class=cookiebar>no</div></main>"
+    assert html_text.main_text(page, html_text.Weights()) == "the text"
+    assert html_text.main_text(page.replace("article", "div"), html_text.Weights()) == "around it the text"
+
+
 def test_best_run_without_named_content(spark):
     body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
     marked = [(i, "u", f"<body><div><a>x</a><a>y</a></div><article>{body}</article><div>few words</div></body>") for i in range(20)]
