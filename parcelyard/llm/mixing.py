@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.llm.hashing import digest52, key_text, uniform
-from parcelyard.llm.store import cut
+from parcelyard.llm.store import cut, packed, unpacked
 
 SEED = "mix-1"
 # A Poisson number is the sum of Poisson numbers of smaller means; exp(-mean)
@@ -129,12 +129,13 @@ def mix(
     table = cut(table)
     if table.count() <= MAX_BROADCAST_SOURCES:
         table = F.broadcast(table)
-    counted = docs.join(table, docs["source"].eqNullSafe(table["_source"]))
-    counted = counted.withColumn("_u", _draws(seed, docs["doc_id"], F.col("_pieces")))
+    rows = packed(docs, "doc_id", "source")
+    counted = rows.join(table, rows["source"].eqNullSafe(table["_source"]))
+    counted = counted.withColumn("_u", _draws(seed, F.col("doc_id"), F.col("_pieces")))
     counted = counted.withColumn("_n", _copies(F.col("_u"), F.col("_sums"))).where("_n > 0")
-    copies = counted.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_n")).alias("copy"))
+    copies = counted.select("row", "doc_id", F.explode(F.sequence(F.lit(1), "_n")).alias("copy"))
     place = digest52(key_text(F.lit(seed), F.lit("place"), F.col("doc_id"), F.col("copy")))
-    return shuffled(copies.withColumn("place", place))
+    return shuffled(copies.select(*unpacked(docs.columns), "copy", place.alias("place")))
 
 
 def shuffled(copies: DataFrame) -> DataFrame:

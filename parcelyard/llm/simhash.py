@@ -163,4 +163,5 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) ->
     found = near_duplicates(docs.select("doc_id", "text"), size, max_bits)
     each = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
     drop = each.agg(F.bool_and(F.expr("doc_id <> component_id")).alias("_goes")).where("_goes")
-    return docs.join(drop.select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    drop = drop.select("_id")
+    return docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +34,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame, *keys: str) -> DataFrame:
+    """All columns as one struct ``row``, beside copies of ``keys``.
+
+    What an operator adds on its way cannot clash with a column of the caller's.
+    """
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[df[k] for k in keys])
+
+
+def unpacked(columns: Iterable[str]) -> list[Column]:
+    """The columns of ``row``, under their own names."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now and kept in the shared folder."""
     shared_folder(df.sparkSession)

@@ -206,23 +206,23 @@ def _sent(spark: SparkSession, model: Model) -> Broadcast:
     return spark.sparkContext.broadcast((model.hashes, model.weights, model.bias))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``score``, from 0 to 1.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` plus ``name``, the score from 0 to 1.
 
     Null and empty texts get the score of the bias alone; an empty table gives
-    an empty one. A column named ``score`` is replaced. Columns other than the
+    an empty one. A column of that name is replaced. Columns other than the
     text take no part.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     sent = _sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             found = pa.array(_scores(batch.column(at), Model(*sent.value)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -255,4 +255,7 @@ def light_scores(rows: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that score below one half."""
     model = fit(docs, labels, settings=settings)
-    return score(docs, model).where("score < 0.5").select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.store import packed, unpacked
+
 WINDOW = 3
 
 
@@ -89,16 +91,18 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     covered = covered_lines(docs.select("doc_id", "text"), size).select(
         F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("covered").alias("_covered")
     )
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    keyed = packed(docs, "doc_id", "text")
+    keyed = keyed.select("row", "doc_id", F.xxhash64("text").alias("_row"))
     same = keyed["doc_id"].eqNullSafe(covered["_id"]) & (keyed["_row"] == covered["_key"])
     both = keyed.join(covered, same, "left")
-    lines = _lines(F.col("text"))
+    whole = F.col("row.text")
+    lines = _lines(whole)
     gone = F.map_from_arrays(F.col("_covered"), F.col("_covered"))
     left = F.filter(lines, lambda line, i: ~F.map_contains_key(gone, i))
-    text = F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
+    text = F.when(F.col("_covered").isNull(), whole).otherwise(F.array_join(left, "\n"))
+    n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(lines))
     return both.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == "text" else kept for c, kept in zip(docs.columns, unpacked(docs.columns))],
         n_lines.alias("n_lines"),
         F.when(F.col("_covered").isNull(), F.lit(0)).otherwise(F.size("_covered")).alias("n_removed"),
     )

@@ -76,3 +76,25 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHES = ["row", "score", "copy_", "_id", "_n", "_row", "_covered", "_source", "_bad", "fp", "node", "n_words", "segment", "_z"]
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES), name
+
+
+def test_stages_take_null_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = spark.createDataFrame([(None,) * 5, (None,) * 5, (7, None, None, None, None), (8, "", "", "", 0)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        ids = [r["doc_id"] for r in stage(spark, docs.unionByName(odd), SF).select("doc_id").collect()]
+        if name != "mixing":
+            assert {None, 7} <= set(ids), name
