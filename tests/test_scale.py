@@ -139,3 +139,16 @@ def test_prefix_of_a_third_of_all_rows(spark):
         got = {r["type"]: r["tracking_number"] for r in out.collect()}
     top = max((i for i in range(n) if i % 3 and str(i).startswith("1")))
     assert got == {"HOT": f"HOT-{n - 3}", "P1": f"P{top}-{top}", "HO_-": f"HOT-{n - 3}"}
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    # With the views of the test tables, whose change set for item_delete is a join.
+    [("chg_package_delete_customers", 10), ("chg_item_delete_customers", 16),
+     ("chg_box_delete_customers", 16), ("subbox_nested", 8)],
+)
+def test_shuffles_do_not_grow(spark, name, most):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = _plan(QUERIES[name](spark, SF))
+    assert len(re.findall("(?<!Reused)Exchange (?:hash|Single)", plan)) <= most
+
