@@ -50,11 +50,11 @@ def repetition_rates(sizes: DataFrame, weights: DataFrame, epochs: float = 1.0)
     given = weights.where("weight > 0").groupBy("source").agg(F.sum("weight").alias("weight"))
     both = sizes.alias("s").join(given.alias("g"), F.expr("s.source <=> g.source"), "left")
     both = both.selectExpr("s.source", "size", "coalesce(weight, 0D) AS weight")
-    total = both.agg(F.sum("size").alias("_sizes"), F.sum("weight").alias("_weights"))
-    share = F.when(F.col("_weights") > 0, F.col("weight") / F.col("_weights")).otherwise(0.0)
-    # ``total`` is one row.
-    rate = share * F.col("_sizes") * F.lit(float(epochs)) / F.col("size")
-    return both.join(F.broadcast(total)).select("source", rate.alias("rate"))
+    sizes_sum = both.agg(F.sum("size")).scalar()
+    weights_sum = both.agg(F.sum("weight")).scalar()
+    share = F.when(weights_sum > 0, F.col("weight") / weights_sum).otherwise(0.0)
+    rate = share * sizes_sum * F.lit(float(epochs)) / F.col("size")
+    return both.select("source", rate.alias("rate"))
 
 
 def _cumulative(mean: Column) -> Column:
