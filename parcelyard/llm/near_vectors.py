@@ -2,9 +2,10 @@
 
 Distinct vectors are dealt over shards by their hash. Each shard builds a graph
 of its vectors; every vector then queries every shard's graph. A beam that is
-full of links is widened for that query until it is not; and a sample of each
-group of queries is compared with all vectors of the shard, the beams of the
-whole group being doubled until the sample's recall is good enough. Every pair
+full of links is widened for that query until it is not; and an audit compares a sample of each
+group of queries, and vectors planted at the threshold's distance from members of
+the shard, with all vectors of the shard: the beams of the whole group are doubled
+until the audit's recall is good enough. Every pair
 is verified in double precision. Links are counted where they are found, and of
 the pairs only a spanning forest per pair of shards leaves a task.
 """
@@ -105,31 +106,40 @@ def _verified(unit: np.ndarray, queries: np.ndarray, q: np.ndarray, t: np.ndarra
     return q[keep], t[keep]
 
 
+def _planted(unit: np.ndarray, count: int, cosine: float) -> np.ndarray:
+    """Unit vectors at a given cosine from members spread over the shard, in drawn directions."""
+    draw = np.random.default_rng(len(unit))
+    base = unit[np.linspace(0, len(unit) - 1, count).astype(np.int64)]
+    away = draw.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    away = np.divide(away, length, out=np.zeros_like(away), where=length > 1e-9)
+    out = cosine * base + np.sqrt(1 - cosine**2) * away
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def find_links(
     graph: graphs.Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, audit: int, recall: float
 ) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Pairs (query, node) at or above ``threshold``; the recall of the last audit and the beam.
 
-    The audit takes the first ``audit`` queries (their order is a hash's) and
-    asks which of their links and nearest nodes were found.
+    The audit takes the first ``audit`` queries (their order is a hash's), and as
+    many vectors planted just within the threshold of nodes, and asks which of
+    their links were found.
     """
+    count = len(queries)
+    audit = min(audit, count)
+    queries = np.concatenate([queries, _planted(unit, audit, threshold + _SLACK)])
     single = queries.astype(np.float32)
-    some = queries[:audit]
-    true = set(zip(*(x.tolist() for x in _exact(unit, some, threshold))))
-    nearest = np.concatenate(
-        [np.argmax(some[a : a + _BLOCK] @ unit.T, axis=1) for a in range(0, len(some), _BLOCK)]
-    )
-    true |= set(enumerate(nearest.tolist()))
+    audited = np.concatenate([np.arange(audit), np.arange(count, len(queries))])
+    at, node = _exact(unit, queries[audited], threshold)
+    true = set(zip(audited[at].tolist(), node.tolist()))
     beam = min(FIRST_BEAM, len(unit))
     while True:
-        found_q, found_t, seen = [], [], set()
+        found_q, found_t = [], []
         left, wide = np.arange(len(queries)), beam
         while len(left):
             ids, sims = graphs.search(graph, single[left], wide)
-            if wide == beam:
-                first = np.flatnonzero(left < audit)
-                r, c = np.nonzero(ids[first] >= 0)
-                seen |= set(zip(left[first][r].tolist(), ids[first][r, c].tolist()))
             # Beams in which even the last node is a link are searched again, wider.
             full = (sims[:, -1] >= threshold - _SLACK) & (wide < len(unit))
             r, c = np.nonzero((sims >= threshold - _SLACK) & ~full[:, None])
@@ -137,12 +147,14 @@ def find_links(
             found_t.append(ids[r, c])
             left, wide = left[full], min(2 * wide, len(unit))
         q, t = _verified(unit, queries, np.concatenate(found_q), np.concatenate(found_t), threshold)
-        seen |= set(zip(q[q < audit].tolist(), t[q < audit].tolist()))
+        checked = (q < audit) | (q >= count)
+        seen = set(zip(q[checked].tolist(), t[checked].tolist()))
         reached = len(true & seen) / len(true)
         if reached >= recall:
-            return q, t, reached, beam
+            real = q < count
+            return q[real], t[real], reached, beam
         if beam >= len(unit) // 4:  # no graph is worth that; compare with all
-            return *_exact(unit, queries, threshold), 1.0, len(unit)
+            return *_exact(unit, queries[:count], threshold), 1.0, len(unit)
         beam = min(2 * beam, len(unit))
 
 
