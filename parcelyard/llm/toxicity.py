@@ -22,10 +22,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelyard.llm.store import cut
 from parcelyard.llm.words import ALNUM, Words, mix, words_of
 
 # Expected number of characters of the training sample.
 MAX_TRAIN_CHARS = 64_000_000
+# Labels of the sample sent to every task, some 16 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_LABELS = 500_000
 # Weights left after training that may be sent to every task.
 MAX_WEIGHTS = 1_000_000
 # A feature of fewer training texts than this cannot pass the L1 term; it is left out.
@@ -145,12 +148,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_chars: int
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(label).alias("label"), F.max(label).alias("most")
     )
-    known = known.where("label = most").where(~held_out(F.col("doc_id")))
-    rows = docs.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
-    rows = rows.select(F.col("text"), F.col("label").cast("double").alias("label"), F.xxhash64("doc_id").alias("key"))
+    known = known.where("label = most").where(~held_out(F.col("doc_id"))).select("doc_id", "label")
     chars = docs.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").agg(F.sum("n")).first()[0] or 0
     share = min(1.0, max_chars / max(chars, 1))
-    return rows.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    known = cut(known.where(drawn))
+    # The sample's labels go to the texts, unless there are very many short ones.
+    if known.count() <= MAX_BROADCAST_LABELS:
+        known = F.broadcast(known)
+    rows = docs.where(drawn).join(known, "doc_id")
+    return rows.select(
+        "text", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id").alias("key")
+    )
 
 
 def fit(
