@@ -92,15 +92,16 @@ def apply_given(urls: DataFrame, rules: Sequence[Given]) -> DataFrame:
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL: host labels with the domain above, words of the host,
-    path segments, the ending, parts of the query, the fragment; digits are all alike."""
-    labels = F.filter(F.split(host, r"\.", -1), lambda x: x != "")
-    above = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
-        lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels) + 1), ".")),
-    )
+    """Distinct tokens of a URL: the host, words of its labels but the last, path
+    segments, the ending, parts of the query, the fragment; digits are all alike.
+
+    Tokens that always come together only multiply combinations, so nothing is
+    named twice: no parent domains, no scheme.
+    """
+    labels = F.split(host, r"\.", -1)
+    inner = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1))), ".")
     words = F.transform(
-        F.filter(F.split(host, r"[^a-z]+", -1), lambda x: x != ""),
+        F.filter(F.split(inner, r"[^a-z]+", -1), lambda x: x != ""),
         lambda x: F.concat(F.lit("word:"), x),
     )
     segments = F.transform(
@@ -114,18 +115,23 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     )
     fragment = F.regexp_extract(url, "#(.*)$", 1)
     single = F.array(
+        F.concat(F.lit("host:"), host),
         F.when(ending != "", F.concat(F.lit("ending:"), ending)),
         F.when(fragment != "", F.concat(F.lit("fragment:"), F.regexp_replace(fragment, r"\d+", "0"))),
-        F.concat(F.lit("scheme:"), F.regexp_extract(url, "^(.*?)://", 1)),
     )
-    return F.array_distinct(F.filter(F.concat(above, words, segments, query, single), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.concat(words, segments, query, single), lambda x: x.isNotNull()))
 
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share of labelled URLs with the combination, and least confidence."""
+    """Least share and number of labelled URLs with the combination, and least confidence.
+
+    Without a least number a few labelled URLs would make every combination of
+    their tokens frequent.
+    """
 
     min_support: float = 0.002
+    min_count: int = 20
     min_confidence: float = 0.8
     # Longest combination of tokens.
     max_tokens: int = 4
@@ -148,10 +154,12 @@ def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
         .alias("items")
     )
     empty = "rule long, antecedent array<string>, anchor string, confidence double, support double"
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < settings.min_count:
         return spark.createDataFrame([], empty)
+    support = max(settings.min_support, settings.min_count / n)
     model = FPGrowth(
-        itemsCol="items", minSupport=settings.min_support, minConfidence=settings.min_confidence
+        itemsCol="items", minSupport=support, minConfidence=settings.min_confidence
     ).fit(baskets)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL)))
     found = found.where(F.size("antecedent") <= settings.max_tokens)

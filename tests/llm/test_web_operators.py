@@ -122,9 +122,10 @@ ARCHIVED = [
 ]
 
 
-@pytest.mark.parametrize("min_bytes", [0, 3])
-def test_archives_by_hand(spark, min_bytes):
-    got = warc.archive_pages(pages_of(spark, ARCHIVED).withColumnRenamed("url", "url"), min_bytes).collect()
+@pytest.mark.parametrize("min_bytes, limit", [(0, 1 << 20), (3, 1 << 20), (0, 0)])
+def test_archives_by_hand(spark, monkeypatch, min_bytes, limit):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_BYTES", limit)
+    got = warc.archive_pages(pages_of(spark, ARCHIVED), min_bytes).collect()
     assert sorted(map(tuple, got), key=str) == archive_by_hand(ARCHIVED, min_bytes)
 
 
