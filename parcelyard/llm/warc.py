@@ -23,6 +23,8 @@ from parcelyard.llm.store import new_folder, stored
 
 # Records of a file hold about so many bytes before compression.
 FILE_BYTES = 32 << 20
+# Revisits of up to so many bytes go to the payloads; beyond, payloads are shuffled to them.
+MAX_BROADCAST_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 # Fixed values of the format.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -213,8 +215,11 @@ def write_deduplicated(spark: SparkSession, source: str, folder: str, min_bytes:
     date and holds the HTTP head only.
     """
     known = stored(read_archive(spark, source), "headers")
-    found = resolve(known, min_bytes)
+    found = stored(resolve(known, min_bytes).where("to_id IS NOT NULL"), "revisits")
     mean = known.agg(F.avg("payload_bytes")).first()[0]
+    held = F.octet_length(F.concat_ws("", *found.columns)) + 100
+    if (found.agg(F.sum(held)).first()[0] or 0) <= MAX_BROADCAST_BYTES:
+        found = F.broadcast(found)
     rows = read_archive(spark, source, payloads=True).join(found, "record_id", "left")
     # Revisits of the source stay what they are.
     rows = rows.withColumn("to_id", F.coalesce("to_id", "refers_to_id"))
