@@ -15,7 +15,7 @@ import html as html_module
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -105,10 +105,14 @@ class Weights:
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
     default_word: float = 1.0
+    default_link: float = 0.25
     default_tag: float = -2.0
     # Tags inside and between sentences say little about where a page's content ends.
     default_inline: float = -0.1
 
+    def of_word(self, name: str) -> float:
+        return self.word.get(name, self.default_link if name == "a" else self.default_word)
+
     def of_tag(self, name: str) -> float:
         return self.tag.get(name, self.default_inline if name in _SOFT else self.default_tag)
 
@@ -170,6 +174,8 @@ def pieces(page: str) -> Iterator[Piece]:
     # Open elements: name, whether no text of the article, whether in the content,
     # and what text directly inside is counted under.
     stack: list[tuple[str, bool, int, str]] = []
+    # How often each element is open: what is not open need not be looked for.
+    opened: Counter = Counter()
     top = ("", False, 0, "")
     at, end = 0, len(page)
     while at < end:
@@ -191,14 +197,12 @@ def pieces(page: str) -> Iterator[Piece]:
         name = name.lower()
         if closing:
             _, other, root, _ = top
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
+            if opened[name]:
+                _close(stack, opened, {name}, frozenset())
             top = stack[-1] if stack else ("", False, 0, "")
         else:
             if name in _CLOSES:
-                _close_implied(stack, name)
+                _close_implied(stack, opened, name)
                 top = stack[-1] if stack else ("", False, 0, "")
             _, other, root, under = top
             words, hidden, named = _marks(attrs) if len(attrs) > 4 else _PLAIN
@@ -213,28 +217,35 @@ def pieces(page: str) -> Iterator[Piece]:
                     under = name
                 top = (name, other, root, under)
                 stack.append(top)
+                opened[name] += 1
         yield Piece("tag", name, "", 0, other, root, name not in _INLINE)
 
 
 _CLOSES = _CLOSES_P | set(_SAME)
 
 
-def _close_implied(stack: list[tuple[str, bool, int, str]], name: str) -> None:
+def _close(
+    stack: list[tuple[str, bool, int, str]], opened: Counter, names: Set[str], stops: Set[str]
+) -> None:
+    """Close the innermost of ``names`` and all within, unless one of ``stops`` is met first."""
+    for depth in range(len(stack) - 1, -1, -1):
+        if stack[depth][0] in names:
+            opened.subtract(x[0] for x in stack[depth:])
+            del stack[depth:]
+            return
+        if stack[depth][0] in stops:
+            return
+
+
+def _close_implied(
+    stack: list[tuple[str, bool, int, str]], opened: Counter, name: str
+) -> None:
     """Close what a start tag ends without an end tag."""
-    if name in _CLOSES_P:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] == "p":
-                del stack[depth:]
-                break
-            if stack[depth][0] in _STOPS:
-                break
-    if name in _SAME:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in _SAME[name]:
-                del stack[depth:]
-                break
-            if stack[depth][0] in _STOPS:
-                break
+    if name in _CLOSES_P and opened["p"]:
+        _close(stack, opened, {"p"}, _STOPS)
+    same = _SAME.get(name)
+    if same and any(opened[n] for n in same):
+        _close(stack, opened, same, _STOPS)
 
 
 def _rooted(page: str) -> tuple[list[Piece], int]:
@@ -260,7 +271,7 @@ def main_text(page: str | None, weights: Weights) -> str:
                 continue
             total += weights.of_tag(name)
         elif root >= rooted:
-            total += weights.word.get(name, weights.default_word) * words
+            total += weights.of_word(name) * words
         else:
             total -= weights.default_word * words
         if total <= 0:
@@ -284,7 +295,10 @@ def count_labelled(page: str) -> Counter:
     if not rooted:
         return out
     for p in found:
-        inside = p.root >= rooted and not p.other
+        # Parts that are left out by their markup have no score to learn.
+        if p.other:
+            continue
+        inside = p.root >= rooted
         # The naming elements themselves would only repeat the label.
         if p.kind == "tag" and p.name not in ("article", "main"):
             out["tag", p.name, inside] += 1
@@ -297,11 +311,10 @@ def _weights(counts: dict[tuple[str, str, bool], int]) -> Weights:
     """Log odds of inside against outside; words are kept positive and tags negative."""
     weights = Weights()
     for what, low, high in (("word", 0.25, 2.0), ("tag", -4.0, -0.2)):
-        total = {side: sum(n for (w, _, s), n in counts.items() if w == what and s == side) for side in (True, False)}
         names = {name for w, name, _ in counts if w == what}
         for name in names:
             inside, outside = counts.get((what, name, True), 0), counts.get((what, name, False), 0)
-            odds = math.log((inside + 1) / (total[True] + 2)) - math.log((outside + 1) / (total[False] + 2))
+            odds = math.log((inside + 1) / (outside + 1))
             centre = 1.0 if what == "word" else -2.0
             value = min(high, max(low, centre + odds))
             (weights.word if what == "word" else weights.tag)[name] = value
@@ -311,8 +324,8 @@ def _weights(counts: dict[tuple[str, str, bool], int]) -> Weights:
 def learn(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Weights:
     """Weights from a sample of about ``max_labelled`` pages, drawn by a hash of the page id.
 
-    Pages without named content are not labelled and count nothing; without any
-    labelled page all words score 1 and all tags -2. Only counts per element name
+    Pages without named content are not labelled and count nothing; elements that
+    no labelled page has keep the defaults of ``Weights``. Only counts per element name
     of HTML come to the driver.
     """
     n = pages.count()
