@@ -200,7 +200,15 @@ class _Segment:
 MATCH = "segment long, nr int, `{key}` {kind}, item_id {item}, starts array<int>, ends array<int>"
 
 
-def _search(index: DataFrame, slices: Iterable[list], item_kind: pa.DataType, item: str, near: int | None, key: str) -> DataFrame:
+def _search(
+    index: DataFrame,
+    slices: Iterable[list],
+    item_kind: pa.DataType,
+    item: str,
+    near: int | None,
+    key: str,
+) -> DataFrame:
+    """Matches of the queries of all ``slices``: phrases, or with ``near`` stretches."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
     schema = MATCH.format(key=key, kind=kind, item=item)
     names = ["segment", "nr", key, "item_id", "starts", "ends"]
@@ -295,7 +303,14 @@ class Searcher:
     are told apart by segment and number.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_key: str = "item_id"):
+    def __init__(
+        self,
+        docs: DataFrame,
+        items: DataFrame,
+        *,
+        key: str = "doc_id",
+        item_key: str = "item_id",
+    ):
         self.spark: SparkSession = docs.sparkSession
         self.key = key
         known = items.where(F.col(item_key).isNotNull())

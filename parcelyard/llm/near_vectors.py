@@ -69,10 +69,13 @@ def _build(table: pa.Table) -> pa.Table:
     unit = _unit(_matrix(table["embedding"], np.float64)).astype(np.float32)
     graph = graphs.build(unit, levels[order])
     ends = np.cumsum([0] + [sum(i < len(x) for x in graph.layers) for i in range(len(order))])
-    flat = np.concatenate([layer[i] for i in range(len(order)) for layer in graph.layers if i < len(layer)])
+    flat = np.concatenate(
+        [layer[i] for i in range(len(order)) for layer in graph.layers if i < len(layer)]
+    )
     width = 2 * graphs.WIDTH
     links = pa.ListArray.from_arrays(pa.array((ends * width).astype(np.int32)), pa.array(flat))
-    return table.append_column("place", pa.array(np.arange(len(order), dtype=np.int32))).append_column("links", links)
+    place = pa.array(np.arange(len(order), dtype=np.int32))
+    return table.append_column("place", place).append_column("links", links)
 
 
 def _graph(table: pa.Table) -> tuple[pa.Table, graphs.Graph, np.ndarray]:
@@ -119,7 +122,12 @@ def _planted(unit: np.ndarray, count: int, cosine: float) -> np.ndarray:
 
 
 def find_links(
-    graph: graphs.Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, audit: int, recall: float
+    graph: graphs.Graph,
+    unit: np.ndarray,
+    queries: np.ndarray,
+    threshold: float,
+    audit: int,
+    recall: float,
 ) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Pairs (query, node) at or above ``threshold``; the recall of the last audit and the beam.
 
@@ -194,11 +202,14 @@ def near_duplicates(
     rows are rows of their own. Other columns take no part; an empty table gives
     an empty result.
     """
-    rows = vectors.select("vec_id", F.when(usable(F.col("embedding")), F.col("embedding")).alias("embedding"))
+    vector = F.col("embedding")
+    rows = vectors.select("vec_id", F.when(usable(vector), vector).alias("embedding"))
     # Where a row stands for itself alone, its node is null.
     rows = rows.withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     classes = rows.where("node IS NOT NULL").groupBy("node", F.size("embedding").alias("dim")).agg(
-        F.count("*").alias("mult"), F.min("vec_id").alias("least"), F.any_value("embedding").alias("embedding")
+        F.count("*").alias("mult"),
+        F.min("vec_id").alias("least"),
+        F.any_value("embedding").alias("embedding"),
     )
     dealt = classes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int"))
     dealt = stored(dealt, "vectors")
@@ -206,13 +217,18 @@ def near_duplicates(
     points = dealt.select("dim", "shard", "node", "mult", "embedding")
     graph_rows = stored(
         points.groupBy("dim", "shard").applyInArrow(
-            _build, f"dim int, shard int, node long, mult long, embedding {kind}, place int, links array<int>"
+            _build,
+            f"dim int, shard int, node long, mult long, embedding {kind}, "
+            "place int, links array<int>",
         ),
         "graphs",
     )
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     asking = points.select("dim", F.col("shard").alias("i"), every.alias("j"), "node", "embedding")
-    asked = graph_rows.select("dim", every.alias("i"), F.col("shard").alias("j"), "node", "mult", "embedding", "place", "links")
+    asked = graph_rows.select(
+        "dim", every.alias("i"), F.col("shard").alias("j"),
+        "node", "mult", "embedding", "place", "links",
+    )
 
     def query(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["node", "n", "other"]
@@ -232,11 +248,14 @@ def near_duplicates(
         n = np.bincount(q, weights=mult[t], minlength=len(asks)).astype(np.int64)
         some = np.flatnonzero(n)
         a, b = _forest(asks[q], has[t])
+        # Counts have no other end, and links of the forest no count.
+        is_count = np.arange(len(some) + len(a)) < len(some)
+        other = np.concatenate([np.zeros(len(some), np.int64), b])
         return pa.table(
             {
                 "node": pa.array(np.concatenate([asks[some], a])),
                 "n": pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)])),
-                "other": pa.array(np.concatenate([np.zeros(len(some), np.int64), b]), mask=np.arange(len(some) + len(a)) < len(some)),
+                "other": pa.array(other, mask=is_count),
             }
         )
 
@@ -247,7 +266,8 @@ def near_duplicates(
     found = stored(found, "links")
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.where("other IS NOT NULL"), "node", "other")
-    rooted = dealt.select("node", "mult", "least").join(roots, "node", "left").join(counts, "node", "left")
+    rooted = dealt.select("node", "mult", "least").join(roots, "node", "left")
+    rooted = rooted.join(counts, "node", "left")
     rooted = rooted.select(
         "node", "least", F.coalesce("root", "node").alias("root"),
         (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
