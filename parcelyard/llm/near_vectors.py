@@ -121,6 +121,36 @@ def _planted(unit: np.ndarray, count: int, cosine: float) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _groups(true: np.ndarray) -> np.ndarray:
+    """A number per audited query, the same for those that share a linked node, directly or in turn."""
+    near = (true.astype(np.float32) @ true.T.astype(np.float32)) > 0
+    group = np.arange(len(true))
+    while True:
+        low = np.where(near, group, len(group)).min(axis=1, initial=len(group))
+        low = np.minimum(low, group)
+        if (low == group).all():
+            return group
+        group = low
+
+
+def _recall(true: np.ndarray, seen: np.ndarray, real: int) -> float:
+    """The lower of the recalls of the first ``real`` audited queries and of the planted ones.
+
+    Each query with a link has a recall of its own. Queries of one linked group
+    count as one, by their mean, so that a hub cannot outweigh pairs and small groups.
+    """
+    n = true.sum(axis=1)
+    own = (true & seen).sum(axis=1) / np.maximum(n, 1)
+    out = 1.0
+    for part in (slice(0, real), slice(real, len(true))):
+        some = n[part] > 0
+        if some.any():
+            _, group = np.unique(_groups(true[part][some]), return_inverse=True)
+            means = np.bincount(group, weights=own[part][some]) / np.bincount(group)
+            out = min(out, float(means.mean()))
+    return out
+
+
 def find_links(
     graph: graphs.Graph,
     unit: np.ndarray,
@@ -128,20 +158,25 @@ def find_links(
     threshold: float,
     audit: int,
     recall: float,
+    own: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Pairs (query, node) at or above ``threshold``; the recall of the last audit and the beam.
 
     The audit takes the first ``audit`` queries (their order is a hash's), and as
     many vectors planted just within the threshold of nodes, and asks which of
-    their links were found.
+    their links were found. ``own`` has each query's own node, -1 for none: it
+    is found at once and says nothing about links, so the audit leaves it out.
     """
     count = len(queries)
     audit = min(audit, count)
     queries = np.concatenate([queries, _planted(unit, audit, threshold + _SLACK)])
     single = queries.astype(np.float32)
     audited = np.concatenate([np.arange(audit), np.arange(count, len(queries))])
-    at, node = _exact(unit, queries[audited], threshold)
-    true = set(zip(audited[at].tolist(), node.tolist()))
+    true = np.zeros((len(audited), len(unit)), dtype=bool)
+    true[_exact(unit, queries[audited], threshold)] = True
+    if own is not None:
+        itself = np.flatnonzero(own[:audit] >= 0)
+        true[itself, own[itself]] = False
     beam = min(FIRST_BEAM, len(unit))
     while True:
         found_q, found_t = [], []
@@ -155,9 +190,11 @@ def find_links(
             found_t.append(ids[r, c])
             left, wide = left[full], min(2 * wide, len(unit))
         q, t = _verified(unit, queries, np.concatenate(found_q), np.concatenate(found_t), threshold)
-        checked = (q < audit) | (q >= count)
-        seen = set(zip(q[checked].tolist(), t[checked].tolist()))
-        reached = len(true & seen) / len(true)
+        seen = np.zeros_like(true)
+        first, planted = q < audit, q >= count
+        seen[q[first], t[first]] = True
+        seen[q[planted] - count + audit, t[planted]] = True
+        reached = _recall(true, seen, audit)
         if reached >= recall:
             real = q < count
             return q[real], t[real], reached, beam
@@ -242,7 +279,10 @@ def near_duplicates(
         asks = asks[order]
         queries = _unit(_matrix(left["embedding"], np.float64)[order])
         has, mult = right["node"].to_numpy(), right["mult"].to_numpy()
-        q, t, _, _ = find_links(graph, unit, queries, threshold, audit, recall)
+        by_node = np.argsort(has)
+        at = by_node[np.minimum(np.searchsorted(has[by_node], asks), len(has) - 1)]
+        own = np.where(has[at] == asks, at, -1)
+        q, t, _, _ = find_links(graph, unit, queries, threshold, audit, recall, own)
         other = asks[q] != has[t]
         q, t = q[other], t[other]
         n = np.bincount(q, weights=mult[t], minlength=len(asks)).astype(np.int64)

@@ -241,6 +241,30 @@ def test_a_failed_audit_ends_in_comparing_with_all():
     assert set(zip(q.tolist(), t.tolist())) == set(zip(r.tolist(), c.tolist())) and beam == 100
 
 
+def hub_and_pairs(hub, pairs, dim=16, seed=5):
+    """A group of distinct linked vectors, and pairs that link with nothing else."""
+    draw = np.random.default_rng(seed)
+    group = draw.normal(size=dim) + draw.normal(size=(hub, dim)) * 0.02
+    one = draw.normal(size=(pairs, dim))
+    return near_vectors._unit(np.concatenate([group, one, one + draw.normal(size=one.shape) * 0.05]))
+
+
+def test_a_hub_does_not_hide_the_lost_links_of_pairs():
+    unit = hub_and_pairs(400, 400)
+    draw = np.random.default_rng(6)
+    order = draw.permutation(len(unit))
+    unit, is_hub = unit[order], order < 400
+    levels = np.sort(near_vectors._levels(np.arange(len(unit))))[::-1]
+    graph = graphs.build(unit.astype(np.float32), levels)
+    # The pairs' members are found from nowhere but the places a search begins at.
+    graph.layers[0][~is_hub] = -1
+    graph.layers[0][np.isin(graph.layers[0], np.flatnonzero(~is_hub))] = -1
+    own = np.arange(len(unit))
+    q, t, recall, _ = near_vectors.find_links(graph, unit, unit, 0.95, 128, 0.98, own)
+    r, c = np.nonzero(unit @ unit.T >= 0.95)
+    assert set(zip(q.tolist(), t.tolist())) == set(zip(r.tolist(), c.tolist())) and recall >= 0.98
+
+
 # Components.
 
 
