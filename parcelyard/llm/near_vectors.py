@@ -7,11 +7,14 @@ group of queries, and vectors planted at the threshold's distance from members o
 the shard, with all vectors of the shard: the beams of the whole group are doubled
 until the audit's recall is good enough. Every pair
 is verified in double precision. Links are counted where they are found, and of
-the pairs only a spanning forest per pair of shards leaves a task.
+the pairs only a spanning forest per pair of shards leaves a task; both grow
+by blocks of queries, so a linked group's pairs are never held together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +26,13 @@ from parcelyard.llm.store import stored
 from parcelyard.llm.words import mix
 
 COSINE = 0.95
-# Vectors of a shard and of a group of queries are in one task's memory together.
+# Least number of shards.
 SHARDS = 6
+# Components of the vectors of one shard, expected: 24,000 vectors of 64. A task holds a
+# shard and the queries of another, some 60 bytes per component each.
+SHARD_VALUES = 1_536_000
+# Results of a block of queries that a task holds at once.
+_HELD = 1 << 20
 FIRST_BEAM = 16
 AUDIT = 128
 RECALL = 0.98
@@ -151,7 +159,36 @@ def _recall(true: np.ndarray, seen: np.ndarray, real: int) -> float:
     return out
 
 
-def find_links(
+def link_blocks(
+    graph: graphs.Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, beam: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) at or above ``threshold``, at most about ``_HELD`` at once.
+
+    Beams in which even the last node is a link are searched again, wider; at a
+    quarter of the nodes the query is compared with all, and so are all queries
+    if ``beam`` is the number of nodes.
+    """
+    single = queries.astype(np.float32)
+    left, wide = np.arange(len(queries)), beam
+    while len(left):
+        all_ = wide >= len(unit) or (wide > beam and wide >= len(unit) // 4)
+        again = [left[:0]]
+        rows = max(1, _HELD // (len(unit) if all_ else wide))
+        for a in range(0, len(left), rows):
+            part = left[a : a + rows]
+            if all_:
+                q, t = _exact(unit, queries[part], threshold)
+                yield part[q], t
+                continue
+            ids, sims = graphs.search(graph, single[part], wide)
+            full = sims[:, -1] >= threshold - _SLACK
+            r, c = np.nonzero((sims >= threshold - _SLACK) & ~full[:, None])
+            yield _verified(unit, queries, part[r], ids[r, c], threshold)
+            again.append(part[full])
+        left, wide = np.concatenate(again), min(2 * wide, len(unit))
+
+
+def audited_beam(
     graph: graphs.Graph,
     unit: np.ndarray,
     queries: np.ndarray,
@@ -159,48 +196,47 @@ def find_links(
     audit: int,
     recall: float,
     own: np.ndarray | None = None,
-) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Pairs (query, node) at or above ``threshold``; the recall of the last audit and the beam.
+) -> tuple[float, int]:
+    """The recall of the last audit and the beam, the number of nodes where no graph is good enough.
 
     The audit takes the first ``audit`` queries (their order is a hash's), and as
     many vectors planted just within the threshold of nodes, and asks which of
-    their links were found. ``own`` has each query's own node, -1 for none: it
+    their links are found. ``own`` has each query's own node, -1 for none: it
     is found at once and says nothing about links, so the audit leaves it out.
     """
-    count = len(queries)
-    audit = min(audit, count)
-    queries = np.concatenate([queries, _planted(unit, audit, threshold + _SLACK)])
-    single = queries.astype(np.float32)
-    audited = np.concatenate([np.arange(audit), np.arange(count, len(queries))])
-    true = np.zeros((len(audited), len(unit)), dtype=bool)
-    true[_exact(unit, queries[audited], threshold)] = True
+    audit = min(audit, len(queries))
+    asked = np.concatenate([queries[:audit], _planted(unit, audit, threshold + _SLACK)])
+    true = np.zeros((len(asked), len(unit)), dtype=bool)
+    for q, t in link_blocks(graph, unit, asked, threshold, len(unit)):
+        true[q, t] = True
     if own is not None:
         itself = np.flatnonzero(own[:audit] >= 0)
         true[itself, own[itself]] = False
-    beam = min(FIRST_BEAM, len(unit))
-    while True:
-        found_q, found_t = [], []
-        left, wide = np.arange(len(queries)), beam
-        while len(left):
-            ids, sims = graphs.search(graph, single[left], wide)
-            # Beams in which even the last node is a link are searched again, wider.
-            full = (sims[:, -1] >= threshold - _SLACK) & (wide < len(unit))
-            r, c = np.nonzero((sims >= threshold - _SLACK) & ~full[:, None])
-            found_q.append(left[r])
-            found_t.append(ids[r, c])
-            left, wide = left[full], min(2 * wide, len(unit))
-        q, t = _verified(unit, queries, np.concatenate(found_q), np.concatenate(found_t), threshold)
+    beam = FIRST_BEAM
+    while beam < len(unit) // 4:  # no graph is worth more; compare with all
         seen = np.zeros_like(true)
-        first, planted = q < audit, q >= count
-        seen[q[first], t[first]] = True
-        seen[q[planted] - count + audit, t[planted]] = True
+        for q, t in link_blocks(graph, unit, asked, threshold, beam):
+            seen[q, t] = True
         reached = _recall(true, seen, audit)
         if reached >= recall:
-            real = q < count
-            return q[real], t[real], reached, beam
-        if beam >= len(unit) // 4:  # no graph is worth that; compare with all
-            return *_exact(unit, queries[:count], threshold), 1.0, len(unit)
-        beam = min(2 * beam, len(unit))
+            return reached, beam
+        beam *= 2
+    return 1.0, len(unit)
+
+
+def find_links(
+    graph: graphs.Graph,
+    unit: np.ndarray,
+    queries: np.ndarray,
+    threshold: float,
+    audit: int,
+    recall: float,
+    own: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """All pairs of ``link_blocks`` with the beam of ``audited_beam``; its recall and the beam."""
+    reached, beam = audited_beam(graph, unit, queries, threshold, audit, recall, own)
+    q, t = zip(*link_blocks(graph, unit, queries, threshold, beam))
+    return np.concatenate(q), np.concatenate(t), reached, beam
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,11 +257,17 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+def shard_count(classes: DataFrame) -> int:
+    """Shards that hold ``SHARD_VALUES`` components each, of the length ``dim`` with the most."""
+    most = classes.groupBy("dim").count().agg(F.max(F.col("dim") * F.col("count"))).first()[0] or 0
+    return max(SHARDS, -(-most // SHARD_VALUES))
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = COSINE,
     *,
-    shards: int = SHARDS,
+    shards: int | None = None,
     audit: int = AUDIT,
     recall: float = RECALL,
 ) -> DataFrame:
@@ -237,7 +279,7 @@ def near_duplicates(
     nothing; nor do vectors of different lengths. A component is named by its
     smallest ``vec_id``; null ids name none unless there is no other. Repeated
     rows are rows of their own. Other columns take no part; an empty table gives
-    an empty result.
+    an empty result. Without ``shards`` their number follows from the table.
     """
     vector = F.col("embedding")
     rows = vectors.select("vec_id", F.when(usable(vector), vector).alias("embedding"))
@@ -248,8 +290,10 @@ def near_duplicates(
         F.min("vec_id").alias("least"),
         F.any_value("embedding").alias("embedding"),
     )
-    dealt = classes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int"))
-    dealt = stored(dealt, "vectors")
+    dealt = stored(classes, "vectors")
+    if shards is None:
+        shards = shard_count(dealt)
+    dealt = dealt.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int"))
     kind = dealt.schema["embedding"].dataType.simpleString()
     points = dealt.select("dim", "shard", "node", "mult", "embedding")
     graph_rows = stored(
@@ -282,12 +326,15 @@ def near_duplicates(
         by_node = np.argsort(has)
         at = by_node[np.minimum(np.searchsorted(has[by_node], asks), len(has) - 1)]
         own = np.where(has[at] == asks, at, -1)
-        q, t, _, _ = find_links(graph, unit, queries, threshold, audit, recall, own)
-        other = asks[q] != has[t]
-        q, t = q[other], t[other]
-        n = np.bincount(q, weights=mult[t], minlength=len(asks)).astype(np.int64)
+        _, beam = audited_beam(graph, unit, queries, threshold, audit, recall, own)
+        n = np.zeros(len(asks), np.int64)
+        a = b = np.empty(0, np.int64)
+        for q, t in link_blocks(graph, unit, queries, threshold, beam):
+            other = asks[q] != has[t]
+            q, t = q[other], t[other]
+            n += np.bincount(q, weights=mult[t], minlength=len(asks)).astype(np.int64)
+            a, b = _forest(np.concatenate([a, asks[q]]), np.concatenate([b, has[t]]))
         some = np.flatnonzero(n)
-        a, b = _forest(asks[q], has[t])
         # Counts have no other end, and links of the forest no count.
         is_count = np.arange(len(some) + len(a)) < len(some)
         other = np.concatenate([np.zeros(len(some), np.int64), b])

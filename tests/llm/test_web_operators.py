@@ -265,6 +265,31 @@ def test_a_hub_does_not_hide_the_lost_links_of_pairs():
     assert set(zip(q.tolist(), t.tolist())) == set(zip(r.tolist(), c.tolist())) and recall >= 0.98
 
 
+def test_links_come_in_blocks(monkeypatch):
+    unit = hub_and_pairs(300, 300)
+    unit = unit[np.random.default_rng(7).permutation(len(unit))]
+    levels = np.sort(near_vectors._levels(np.arange(len(unit))))[::-1]
+    graph = graphs.build(unit.astype(np.float32), levels)
+    monkeypatch.setattr(near_vectors, "_HELD", 2000)
+    blocks = list(near_vectors.link_blocks(graph, unit, unit, 0.95, 16))
+    assert max(len(q) for q, _ in blocks) <= 2000
+    found = [p for q, t in blocks for p in zip(q.tolist(), t.tolist())]
+    r, c = np.nonzero(unit @ unit.T >= 0.95)
+    assert len(found) == len(set(found)) >= 0.99 * len(r) and set(found) <= set(zip(r.tolist(), c.tolist()))
+
+
+def test_shards_follow_from_the_table(spark, monkeypatch):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(hub_and_pairs(100, 100))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(near_vectors, "SHARD_VALUES", 600)
+    assert near_vectors.shard_count(df.selectExpr("size(embedding) AS dim")) == 8
+    monkeypatch.setattr(near_vectors, "SHARDS", 1)
+    assert near_vectors.shard_count(df.limit(30).selectExpr("size(embedding) AS dim")) == 1
+    monkeypatch.setattr(near_vectors, "SHARD_VALUES", 2400)
+    got = sorted(tuple(r) for r in near_vectors.near_duplicates(df).collect())
+    assert got == vectors_by_hand(rows)
+
+
 # Components.
 
 
