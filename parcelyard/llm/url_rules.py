@@ -10,6 +10,7 @@ tokens, and what is found is kept if the URL has all of the rule's tokens.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.store import cut
+
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -92,16 +95,16 @@ def apply_given(urls: DataFrame, rules: Sequence[Given]) -> DataFrame:
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL: the host, words of its labels but the last, path
-    segments, the ending, parts of the query, the fragment; digits are all alike.
-
-    Tokens that always come together only multiply combinations, so nothing is
-    named twice: no parent domains, no scheme.
-    """
-    labels = F.split(host, r"\.", -1)
-    inner = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1))), ".")
+    """Distinct tokens of a URL: the host and the domains above it, words of the host, path
+    segments, the ending, parts of the query, the fragment, the scheme; digits of all but
+    the host are alike."""
+    labels = F.filter(F.split(host, r"\.", -1), lambda x: x != "")
+    above = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
+        lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels) + 1), ".")),
+    )
     words = F.transform(
-        F.filter(F.split(inner, r"[^a-z]+", -1), lambda x: x != ""),
+        F.filter(F.split(host, r"[^a-z]+", -1), lambda x: x != ""),
         lambda x: F.concat(F.lit("word:"), x),
     )
     segments = F.transform(
@@ -118,8 +121,9 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
         F.concat(F.lit("host:"), host),
         F.when(ending != "", F.concat(F.lit("ending:"), ending)),
         F.when(fragment != "", F.concat(F.lit("fragment:"), F.regexp_replace(fragment, r"\d+", "0"))),
+        F.concat(F.lit("scheme:"), F.regexp_extract(url, "^((?s:.*?))://", 1)),
     )
-    return F.array_distinct(F.filter(F.concat(words, segments, query, single), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.concat(above, words, segments, query, single), lambda x: x.isNotNull()))
 
 
 @dataclass(frozen=True)
@@ -140,24 +144,50 @@ class Mining:
 _LABEL = "label:block"
 
 
+def same_tokens(urls: DataFrame, least: int = 1) -> DataFrame:
+    """``token`` and ``same``, the first of the tokens that occur in exactly the same rows of
+    ``urls`` (``tokens``), told by number and hashes of the rows; of tokens in ``least`` rows."""
+    row = [F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)").alias(f"h{seed}") for seed in (1, 2)]
+    each = urls.select(F.explode("tokens").alias("token"), *row).groupBy("token").agg(
+        F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")
+    )
+    each = cut(each.where(F.col("n") >= least))
+    first = each.groupBy("n", "h1", "h2").agg(F.min("token").alias("same"))
+    return cut(each.join(first, ["n", "h1", "h2"]).select("token", "same"))
+
+
 def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
     """Rules from labelled URLs (``tokens``, ``blocked`` boolean): ``rule``, ``antecedent``,
-    ``anchor``, ``confidence`` and ``support``.
+    ``alternatives``, ``anchors``, ``confidence`` and ``support``.
+
+    Tokens that occur in exactly the same labelled URLs would only multiply
+    combinations: one of them is mined, and ``alternatives`` has per token of the
+    antecedent all that stand for it. A URL has the token if it has any of these,
+    which are the rules that mining all of them would give.
 
     Every labelled URL counts. Numbers of rules are bounded by ``min_support``:
     a rule needs that share of all labelled URLs.
     """
     spark = urls.sparkSession
-    baskets = urls.select(
+    empty = (
+        "rule long, antecedent array<string>, alternatives array<array<string>>, "
+        "anchors array<string>, confidence double, support double"
+    )
+    n = urls.count()
+    if n < max(settings.min_count, 1):
+        return spark.createDataFrame([], empty)
+    support = max(settings.min_support, settings.min_count / n)
+    same = same_tokens(urls, max(1, math.floor(support * n)))
+    # Numbered before the tokens are parted: one number per row of ``urls``.
+    each = urls.withColumn("id", F.monotonically_increasing_id())
+    each = each.select("id", "blocked", F.explode_outer("tokens").alias("token"))
+    each = each.join(same.where("token <> same").select("token"), "token", "left_anti")
+    baskets = cut(each.groupBy("id").agg(F.first("blocked").alias("blocked"), F.collect_list("token").alias("tokens")))
+    baskets = baskets.select(
         F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_LABEL))))
         .otherwise(F.col("tokens"))
         .alias("items")
     )
-    empty = "rule long, antecedent array<string>, anchor string, confidence double, support double"
-    n = baskets.count()
-    if n < settings.min_count:
-        return spark.createDataFrame([], empty)
-    support = max(settings.min_support, settings.min_count / n)
     model = FPGrowth(
         itemsCol="items", minSupport=support, minConfidence=settings.min_confidence
     ).fit(baskets)
@@ -185,14 +215,26 @@ def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
     )
     rarest = kept.select("rule", F.explode("antecedent").alias("token")).join(freq, "token")
     rarest = rarest.groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return kept.join(rarest, "rule").select("rule", "antecedent", "anchor", "confidence", "support")
+    names = same.groupBy("same").agg(F.sort_array(F.collect_list("token")).alias("names"))
+    wide = kept.select("rule", F.explode("antecedent").alias("same")).join(names, "same")
+    wide = wide.join(rarest, "rule").groupBy("rule").agg(
+        F.sort_array(F.collect_list(F.struct("same", "names"))).getField("names").alias("alternatives"),
+        F.max(F.when(F.expr("same = anchor"), F.col("names"))).alias("anchors"),
+    )
+    return kept.join(wide, "rule").select(
+        "rule", "antecedent", "alternatives", "anchors", "confidence", "support"
+    )
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """``key``, and the surest rule that matches: ``antecedent`` and ``confidence``."""
+    """``key``, and the surest rule that matches: ``antecedent``, as the URL's own tokens, and
+    ``confidence``."""
+    rules = rules.withColumn("anchor", F.explode("anchors")).drop("antecedent")
     asked = urls.select(key, "tokens", F.explode("tokens").alias("anchor"))
     met = asked.join(rules, "anchor")
-    met = met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    met = met.where(F.forall("alternatives", lambda x: F.arrays_overlap(x, "tokens")))
+    own = F.transform("alternatives", lambda x: F.array_min(F.array_intersect(x, F.col("tokens"))))
+    met = met.withColumn("antecedent", own)
     best = F.struct("confidence", "support", "antecedent")
     return met.groupBy(key).agg(F.max(best).alias("best")).select(
         key, F.col("best.antecedent").alias("antecedent"), F.col("best.confidence").alias("confidence")

@@ -94,6 +94,22 @@ def test_mining_finds_every_sure_combination(spark):
     assert got == pytest.approx(least) and len(least) > 1
 
 
+def test_rules_over_parent_domains_endings_and_schemes(spark):
+    rows = []
+    for i in range(120):
+        rows += [(f"http://a{i}.good{i}.org/p", False), (f"https://b{i}.other{i}.org/p", False)]
+        rows += [(f"https://c{i}.bad{i}.xyz/p", True), (f"https://{i}.1234.com/p", True), (f"https://{i}.5678.com/p", False)]
+        rows += [(f"ftp://f{i}.site{i}.org/p", True)]
+    asked = {
+        "https://new.domain.xyz/q": "block", "https://x.1234.com/q": "block", "ftp://new.fresh.org/q": "block",
+        "https://x.5678.com/q": "allow", "https://new.fresh.org/q": "allow",
+    }
+    pages = [(i, u, "") for i, u in enumerate([u for u, _ in rows] + list(asked))]
+    labels = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(rows)], "page_id long, blocked boolean")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(pages, PAGES), labels, []).collect()}
+    assert [got[len(rows) + i] for i in range(len(asked))] == list(asked.values())
+
+
 # Archives.
 
 
