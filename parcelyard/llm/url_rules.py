@@ -137,8 +137,8 @@ class Mining:
     min_support: float = 0.002
     min_count: int = 20
     min_confidence: float = 0.8
-    # Longest combination of tokens.
-    max_tokens: int = 4
+    # Longest combination of tokens, if any.
+    max_tokens: int | None = None
 
 
 _LABEL = "label:block"
@@ -192,7 +192,8 @@ def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
         itemsCol="items", minSupport=support, minConfidence=settings.min_confidence
     ).fit(baskets)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL)))
-    found = found.where(F.size("antecedent") <= settings.max_tokens)
+    if settings.max_tokens is not None:
+        found = found.where(F.size("antecedent") <= settings.max_tokens)
     found = found.select(
         F.xxhash64(F.array_sort("antecedent")).alias("rule"),
         F.array_sort("antecedent").alias("antecedent"),

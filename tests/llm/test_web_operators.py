@@ -110,6 +110,12 @@ def test_rules_over_parent_domains_endings_and_schemes(spark):
     assert [got[len(rows) + i] for i in range(len(asked))] == list(asked.values())
 
 
+def test_rules_of_five_tokens_are_kept(spark):
+    baskets = [([x for x in "abcde" if x != out], False) for out in "abcde"] * 10 + [(list("abcde"), True)] * 30
+    df = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")
+    assert [r["antecedent"] for r in url_rules.mine(df).collect()] == [list("abcde")]
+
+
 # Archives.
 
 
