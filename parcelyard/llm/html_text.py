@@ -66,6 +66,10 @@ _OTHER_STEMS = (
     "cookie", "sidebar", "advert", "sponsor", "navbar", "breadcrumb", "newsletter", "disqus",
     "footer", "popup",
 )
+# Elements whose id, inside named content, is made from a heading and tells nothing.
+_SLUGGED = frozenset("section h1 h2 h3 h4 h5 h6 a span p dt".split())
+# Elements of a page's head; any other begins the body.
+_HEAD = frozenset("head base link meta title style script noscript template".split())
 _COMMENT_WORDS = frozenset(
     "comment comments commentlist reply replies respond discussion disqus".split()
 )
@@ -118,11 +122,11 @@ class Weights:
 
 
 # Attributes repeat from page to page.
-_known_marks: dict[str, tuple[frozenset[str], bool, int]] = {}
+_known_marks: dict[str, tuple[frozenset[str], frozenset[str], bool, int]] = {}
 _KNOWN_MARKS = 4096
 
 
-def _marks(attrs: str) -> tuple[frozenset[str], bool, int]:
+def _marks(attrs: str) -> tuple[frozenset[str], frozenset[str], bool, int]:
     found = _known_marks.get(attrs)
     if found is None:
         found = _read_marks(attrs)
@@ -131,15 +135,20 @@ def _marks(attrs: str) -> tuple[frozenset[str], bool, int]:
     return found
 
 
-def _read_marks(attrs: str) -> tuple[frozenset[str], bool, int]:
-    """Words of class, id and role; whether the element is hidden; how it is named as content."""
+def _read_marks(attrs: str) -> tuple[frozenset[str], frozenset[str], bool, int]:
+    """Words of class and role, and of the id; whether the element is hidden; how it is named as content."""
     words: set[str] = set()
+    of_id: set[str] = set()
     hidden, root = False, 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             found = {w.lower() for w in _PART.findall(value)}
-            words |= found | {w.lower() for w in re.split(r"[^A-Za-z]+", value) if w}
+            found |= {w.lower() for w in re.split(r"[^A-Za-z]+", value) if w}
+            if name == "id":
+                of_id |= found
+            else:
+                words |= found
             if name == "role":
                 root = max(root, {"article": 2, "main": 1}.get(value.lower(), 0))
         elif name == "itemprop" and value.lower() in _ROOT_WORDS:
@@ -150,10 +159,10 @@ def _read_marks(attrs: str) -> tuple[frozenset[str], bool, int]:
             hidden |= value.lower() == "true"
         elif name == "hidden":
             hidden = True
-    return frozenset(words), hidden, root
+    return frozenset(words), frozenset(of_id), hidden, root
 
 
-_PLAIN = (frozenset(), False, 0)
+_PLAIN = (frozenset(), frozenset(), False, 0)
 _ROOTS = {"article": 2, "main": 1}
 
 
@@ -185,6 +194,9 @@ def pieces(page: str) -> Iterator[Piece]:
             value = page[at:stop]
             if "&" in value:
                 value = html_module.unescape(value)
+            if top[0] == "head" and value.strip():
+                _close(stack, opened, {"head"}, frozenset())
+                top = stack[-1] if stack else ("", False, 0, "")
             yield Piece("text", top[3], value, len(value.split()), top[1], top[2], False)
         if token is None:
             return
@@ -201,11 +213,18 @@ def pieces(page: str) -> Iterator[Piece]:
                 _close(stack, opened, {name}, frozenset())
             top = stack[-1] if stack else ("", False, 0, "")
         else:
+            # A head without an end tag ends where the body begins.
+            if (name == "body" and opened["head"]) or (top[0] == "head" and name not in _HEAD):
+                _close(stack, opened, {"head"}, frozenset())
+                top = stack[-1] if stack else ("", False, 0, "")
             if name in _CLOSES:
                 _close_implied(stack, opened, name)
                 top = stack[-1] if stack else ("", False, 0, "")
             _, other, root, under = top
-            words, hidden, named = _marks(attrs) if len(attrs) > 4 else _PLAIN
+            words, of_id, hidden, named = _marks(attrs) if len(attrs) > 4 else _PLAIN
+            # A section's or heading's id is a slug there, not a mark.
+            if not (root and (name in _SLUGGED or (name == "div" and "section" in words))):
+                words |= of_id
             other = other or _is_other(name, words, hidden, root)
             if not other:
                 root = max(root, named, _ROOTS.get(name, 0))

@@ -392,3 +392,16 @@ def test_pages_of_all_kinds(spark):
     assert (by[1], by[2], by[3], by[6]) == ("", "", "plain words only", "")
     assert by[7] == ("long " * 100_000).strip() and by[10].startswith("a \U0001f600")
     assert html_text.extract(pages_of(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("body", ["<body>", "", "<body class=x>"])
+def test_a_head_without_an_end_tag(body):
+    page = f"<html><head><meta charset=utf-8><title>No</title><link rel=x>{body}<p>first words</p><p>more of them</p>"
+    assert html_text.main_text(page, html_text.Weights()) == "first words more of them"
+
+
+@pytest.mark.parametrize("slug", ["discussion", "related-work", "search", "cookies", "login"])
+def test_ids_made_from_headings_are_no_marks(slug):
+    page = (f"<article><p>one</p><section id='{slug}'><h2 id={slug}-2>two</h2><p>three</p></section>"
+            f"<h2><span id={slug}>four</span></h2><div id={slug}>no</div><section class='{slug}'>no</section></article>")
+    assert html_text.main_text(page, html_text.Weights()) == "one two three four"
