@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.llm.inverted_index import Searcher
+from parcelyard.llm.store import text_key
 
 WINDOW = 10
 
@@ -87,9 +88,14 @@ def near_matches(docs: DataFrame, items: DataFrame, slop: int = WINDOW) -> DataF
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no match.
 
-    Rows are removed by ``doc_id``, so rows with the id of a contaminated one go
-    with it; a null id stands for itself alone here.
+    Whether a row does is told by its text alone, so rows are removed by a hash of
+    it, whatever their ids.
     """
-    hit = contamination(docs, items, window).where("n_hit > 0")
-    bad = hit.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    hit = contamination(docs.select(text_key(docs).alias("doc_id"), "text"), items, window)
+    # Copies of one text may be a third of all rows: the second key, always 0, has both
+    # sides shuffled for this join, so that adaptive execution can split it.
+    bad = hit.where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = bad.withColumn("_zero", F.pmod(F.xxhash64("_bad"), F.lit(1)))
+    key = text_key(docs)
+    same = (key == bad["_bad"]) & (F.pmod(F.xxhash64(key), F.lit(1)) == bad["_zero"])
+    return docs.join(bad, same, "left_anti")

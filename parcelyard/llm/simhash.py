@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.llm.components import components
-from parcelyard.llm.store import stored
+from parcelyard.llm.store import cut, stored, text_key, unpacked
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -123,6 +123,13 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
 
 
+def _rooted(classes: DataFrame, max_bits: int) -> DataFrame:
+    """``fp``, ``least`` and the ``root`` that linked fingerprints share."""
+    roots = components(links(classes.select("fp"), max_bits), "a", "b")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left")
+    return rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Per row of ``docs`` its ``doc_id``, ``fingerprint`` and ``component_id``.
 
@@ -137,10 +144,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
     no id is known. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, size), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), max_bits), "a", "b")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     # A fingerprint may stand for a third of all rows: both sides are shuffled
@@ -155,13 +159,38 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest ``doc_id``.
+    """``docs`` with one row of each component, that with the smallest ``doc_id``.
 
-    Rows with equal ids are one document: they stay together, and go only if
-    none of them names its component. Rows without an id stay.
+    Null ids come last; of rows with equal ids that with the smallest hash of its
+    text stays, and of rows with equal ids and texts any one. Rows with neither an
+    id nor a text are no copies of anything: they stay and take no part.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), size, max_bits)
-    each = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
-    drop = each.agg(F.bool_and(F.expr("doc_id <> component_id")).alias("_goes")).where("_goes")
-    drop = drop.select("_id")
-    return docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
+    key = text_key(docs)
+    named = F.struct(docs["doc_id"].isNull().alias("lone"), docs["doc_id"].alias("id"), key.alias("h"))
+    known = docs["doc_id"].isNotNull() | docs["text"].isNotNull()
+    prints = stored(fingerprints(docs.where(known).select(named.alias("doc_id"), "text"), size), "fingerprints")
+    each = stored(prints.groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "keys")
+    rooted = _rooted(each.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits)
+    stays = rooted.groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id")
+    stays = stays.withColumn("_stays", F.lit(True))
+    # Keys whose rows go, and keys of several rows of which one stays.
+    marked = each.join(stays, "doc_id", "left").where("_stays IS NULL OR n > 1")
+    marked = cut(marked.select(
+        F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h"), F.col("_stays").isNotNull().alias("_stays")
+    ))
+    # One key may have a third of all rows: the last key, always 0, has both sides
+    # shuffled for these joins, so that adaptive execution can split it.
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+
+    def same(side: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(side["_id"]) & (key == side["_h"]) & known & (zero == side["_zero"])
+
+    marked = marked.withColumn("_zero", F.pmod(F.xxhash64("_h"), F.lit(1)))
+    single = docs.join(marked, same(marked), "left_anti")
+    several = marked.where("_stays")
+    if several.isEmpty():
+        return single
+    rows = docs.join(several, same(several), "left_semi")
+    rows = rows.select(F.struct(*[rows[f"`{c}`"] for c in docs.columns]).alias("row"), text_key(rows).alias("h"))
+    one = rows.groupBy(F.col("row.doc_id").alias("id"), "h").agg(F.first("row").alias("row"))
+    return single.unionByName(one.select(*unpacked(docs.columns)))

@@ -47,6 +47,11 @@ def unpacked(columns: Iterable[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in columns]
 
 
+def text_key(docs: DataFrame) -> Column:
+    """The MD5 of each row's text, empty where there is none."""
+    return F.coalesce(F.md5(docs["text"].cast("string").cast("binary")), F.lit(""))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now and kept in the shared folder."""
     shared_folder(df.sparkSession)

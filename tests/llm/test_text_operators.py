@@ -409,3 +409,19 @@ def test_decontamination_of_odd_rows(spark):
     none = spark.createDataFrame([], "item_id int, text string")
     assert {r["n_hit"] for r in decontamination.contamination(docs, none).collect()} == {0}
     assert decontamination.clean(docs, items).count() == len(ODD) - 3
+
+
+def test_contaminated_rows_go_one_by_one(spark):
+    rows = [(None, "clean one"), (None, "a leaked passage"), (None, None), (1, "clean two"), (1, "a leaked passage")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "leaked passage")], "item_id int, text string")
+    got = [r["text"] for r in decontamination.clean(docs, items).collect()]
+    assert sorted(got, key=str) == sorted(["clean one", None, "clean two"], key=str)
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    text = ["alpha beta gamma delta", "one two three four five", "red green blue white black"]
+    rows = [(None, text[0])] * 3 + [(None, text[1])] * 2 + [(4, text[1])] * 2 + [(3, text[2]), (7, text[2]), (7, "lone words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(None, text[0]), (4, text[1]), (3, text[2]), (7, "lone words here")], key=str)
