@@ -13,6 +13,7 @@ drawn by a hash of the id, whole texts only. Scoring covers every row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,6 @@ MAX_TRAIN_CHARS = 64_000_000
 MAX_BROADCAST_LABELS = 500_000
 # Weights left after training that may be sent to every task.
 MAX_WEIGHTS = 1_000_000
-# A feature of fewer training texts than this cannot pass the L1 term; it is left out.
-MIN_TEXTS = 3
 _FOLD_BITS = 24
 
 
@@ -100,6 +99,12 @@ def fit_ftrl(texts: list[np.ndarray], labels: np.ndarray, size: int, settings: S
     return weight(z, n), -bias_z / ((beta + bias_n**0.5) / alpha)
 
 
+def least_texts(settings: Settings) -> int:
+    """Training texts that a feature needs to pass the L1 term: each adds less than one
+    per epoch while its weight is zero."""
+    return math.floor(settings.l1 / settings.epochs) + 1
+
+
 def _train(batches: Iterator[pa.RecordBatch], settings: Settings) -> pa.RecordBatch:
     """The weights learned from columns ``text`` and ``label``, in the given order."""
     texts: list[np.ndarray] = []
@@ -117,7 +122,8 @@ def _train(batches: Iterator[pa.RecordBatch], settings: Settings) -> pa.RecordBa
                 at = part >> shift
                 seen[at] = np.minimum(seen[at], 250) + 1
     # Folded counts are never below the true ones, so this drops rare features only.
-    texts = [t[seen[t >> shift] >= MIN_TEXTS] for t in texts]
+    least = min(least_texts(settings), 251)  # where the counts end
+    texts = [t[seen[t >> shift] >= least] for t in texts]
     del seen
     known = np.unique(np.concatenate(texts)) if texts else np.empty(0, np.uint64)
     numbered = [np.searchsorted(known, t) for t in texts]

@@ -425,3 +425,14 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in simhash.keep_one(docs).collect()), key=str)
     assert got == sorted([(None, text[0]), (4, text[1]), (3, text[2]), (7, "lone words here")], key=str)
+
+
+@pytest.mark.parametrize("l1, epochs, least", [(10.0, 6, 2), (10.0, 10, 2), (0.5, 6, 1), (13.0, 6, 3)])
+def test_only_features_that_cannot_pass_are_left_out(l1, epochs, least):
+    assert toxicity.least_texts(toxicity.Settings(l1=l1, epochs=epochs)) == least
+
+
+def test_a_feature_of_one_text_may_have_a_weight():
+    batch = pa.RecordBatch.from_arrays([pa.array(["foul", "fine", "good"]), pa.array([1.0, 0.0, 0.0])], names=["text", "label"])
+    assert toxicity._train(iter([batch]), toxicity.Settings(l1=0.5)).num_rows > 1
+    assert toxicity._train(iter([batch]), toxicity.Settings(l1=100.0)).num_rows == 1
