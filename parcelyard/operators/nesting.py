@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.functions.values import greatest_or_null, share
 from parcelyard.operators.keyed import keep_keys, match, on
+from parcelyard.operators.ranks import ranked
 from parcelyard.schemas import BOARDS, TENANT, VOLUMETRIC_DIVISOR
 
 
@@ -65,13 +66,11 @@ def subbox_nested(
 
 
 def box_board(box: DataFrame) -> DataFrame:
-    """Boxes on the two work boards, each list by priority, none first."""
+    """Boxes on the two work boards.
+
+    ``pos`` is the place in the list of the tenant and status, from 1 on: by
+    priority, none first, then by box.
+    """
     board = F.create_map(*[F.lit(v) for pair in BOARDS.items() for v in pair])
-    place = {name: n for n, name in enumerate(BOARDS)}
-    order = F.create_map(*[F.lit(v) for pair in place.items() for v in pair])
-    status = F.col("box_status")
-    return (
-        box.filter(status.isin(*BOARDS))
-        .withColumn("board", board[status])
-        .orderBy(TENANT, order[status], F.col("priority").asc_nulls_first(), "box_id")
-    )
+    shown = box.filter(F.col("box_status").isin(*BOARDS)).withColumn("board", board[F.col("box_status")])
+    return ranked(shown, on("box_status"), ["priority", "box_id"])

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, named by ``spark.checkpoint.dir`` or set before."""
+    """The session's checkpoint folder, named by ``spark.checkpoint.dir`` or set before.
+
+    Where it is unset, a folder in the warehouse, which all executors share too.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if current is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(current)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        named = spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints"
+        spark.sparkContext.setCheckpointDir(named)
+        current = spark.sparkContext.getCheckpointDir() or named
     return current
 
 

@@ -283,10 +283,13 @@ _OPERATORS: dict[str, str] = {
         ON b.tenant_id = s.tenant_id AND b.subbox_id = s.subbox_id
         LEFT JOIN items i ON s.tenant_id = i.tenant_id AND s.item_id = i.item_id""",
     "box_board": """
-        SELECT *, CAST(1 AS INTEGER) AS board FROM box
-        WHERE box_status IN ('Ordered', 'Process', 'Packed')
-        UNION ALL
-        SELECT *, 2 FROM box WHERE box_status IN ('Paid', 'Documented')""",
+        SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, box_status
+            ORDER BY priority NULLS FIRST, box_id) AS BIGINT) AS pos
+        FROM (
+            SELECT *, CAST(1 AS INTEGER) AS board FROM box
+            WHERE box_status IN ('Ordered', 'Process', 'Packed')
+            UNION ALL
+            SELECT *, 2 FROM box WHERE box_status IN ('Paid', 'Documented'))""",
     "last_tracking_per_prefix": f"""
         SELECT t.tenant_id, t.type, p.tracking_number
         FROM types t JOIN packages p ON p.tenant_id = t.tenant_id

@@ -181,9 +181,11 @@ def test_box_board(spark):
         ],
     )
     rows = nesting.box_board(box).collect()
-    assert [(r.board, r.box_id) for r in rows] == [
-        (1, "e"), (1, "b"), (1, "c"), (1, "d"), (1, "a"), (2, "f"),
+    assert sorted((r.box_status, r.board, r.pos, r.box_id) for r in rows) == [
+        ("Documented", 2, 1, "f"), ("Ordered", 1, 1, "e"),
+        ("Packed", 1, 1, "b"), ("Packed", 1, 2, "c"), ("Packed", 1, 3, "d"), ("Packed", 1, 4, "a"),
     ]
+    assert nesting.box_board(table(spark, "box", [])).collect() == []
 
 
 def test_pending_appointments(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parcelyard.operators.changes import number_rows
 from parcelyard.operators.keyed import drop_keys, keep_keys, match
 from parcelyard.operators.prefixes import last_tracking_per_prefix
+from parcelyard.operators.ranks import ranked
 from parcelyard.trial.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -114,6 +115,31 @@ def test_numbers_of_a_hot_tenant(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("t", 42, 941, 900), ("v", 1, 100, 100)]
 
 
+def test_ranks_of_a_hot_group(spark):
+    """Two thirds of the rows in one group, half of these all equal: no task has most of them."""
+    n = 60_000
+    hot = F.when(F.col("id") % 3 > 0, "HOT").when(F.col("id") % 3000 == 0, None).otherwise(
+        F.concat(F.lit("G"), F.col("id") % 7)
+    )
+    rows = spark.range(n).select(hot.alias("g"), F.when(F.col("id") % 3 > 1, F.col("id")).alias("x"))
+    with settings(spark, spark__sql__shuffle__partitions="16",
+                  spark__sql__adaptive__coalescePartitions__enabled="false"):
+        out = ranked(rows.repartition(8), ["g"], ["x"], total="of").cache()
+        counts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) >= 12 and max(counts) < n / 6
+    groups: dict = {}
+    for r in out.collect():
+        groups.setdefault(r["g"], []).append((r["pos"], r["x"], r["of"]))
+    assert {k: len(v) for k, v in groups.items()}["HOT"] == 40_000 and None in groups
+    for found in groups.values():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, len(found) + 1))
+        assert {f[2] for f in found} == {len(found)}
+        values = [f[1] for f in found]
+        assert values == sorted(values, key=lambda v: (v is not None, v or 0))
+    assert ranked(rows.limit(0), ["g"], ["x"]).collect() == []
+
+
 def test_scans_read_only_what_is_needed(spark):
     plan = _plan(QUERIES["customer_open_package_counts"](spark, SF))
     reads = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
