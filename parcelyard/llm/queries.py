@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelyard.llm import (
+    conversation_repair,
     decontamination,
     html_text,
     mixing,
@@ -20,6 +21,7 @@ from parcelyard.llm import (
     window_dedup,
 )
 from parcelyard.llm.mixing import SEED
+from parcelyard.llm.runs import sha256_of_runs
 
 MIX_EXPONENT = 0.5
 SHARDS = 16
@@ -95,6 +97,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damage(conversations: DataFrame) -> DataFrame:
+    """The contract's faults: a row's CRC-32 drops it, empties or cuts its text, repeats
+    it, or makes it the user's. Nulls read as one space."""
+    space = F.lit(" ")
+    read = {c: F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat(read["conv_id"], F.lit(":"), read["turn"]).cast("binary")) % 20
+    text, repeats = read["text"], F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))
+    return conversations.where(fault != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(read["role"]).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(repeats).alias("_"),
+    ).drop("_")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(damage(conversations))
+    line = F.concat("role", F.lit(":"), "text")
+    hashes = sha256_of_runs(found.turns, "conv_id", ["pos", "nr"], line, "\n", "repaired_sha256")
+    out = conversations.select(F.col("conv_id").alias("id")).distinct()
+    for part in (found.report, hashes):
+        same = F.col("id").eqNullSafe(F.col("conv_id"))
+        out = out.join(part, same, "left").drop("conv_id")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_mixing,
@@ -107,6 +143,7 @@ def all_queries() -> dict[str, Query]:
         op8_near_vectors,
         op9_main_text,
         op10_decontamination,
+        op12_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
@@ -238,10 +275,104 @@ FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, by the table ``tab`` of the remainders of all bytes."""
+    steps = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, b: "
+        "xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1])), 4294967295)"
+    )
+
+
+_CRC_TABLE = """crc AS MATERIALIZED (
+    SELECT list(list_reduce(list_prepend(n, repeat([0::BIGINT], 8)), lambda c, x:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab
+    FROM range(256) AS r(n)
+)"""
+
+
+def _way(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state's sequence of edits with one more; null where there is none."""
+    lines = f"list_append({state}.lines, {line})" if line else f"{state}.lines"
+    return (
+        f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, "
+        f"'audit': {state}.audit || '{letter}', 'lines': {lines}}} END"
+    )
+
+
+def _turn(state: str, role: str) -> str:
+    """Keeping the row as a turn of ``role``, or giving it that role."""
+    keep = _way(state, "extra", "K", "role || ':' || text")
+    rerole = _way(state, "extra + 1", "R", f"'{role}:' || text")
+    return f"CASE WHEN kind < 2 THEN CASE WHEN left(role, 1) = '{role[0]}' THEN {keep} ELSE {rerole} END END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+# The least (cost, audit) per state after each row, carried from row to row. An insert costs
+# more than some other way out (the tests hold this against all edits), so there is none here.
+REPAIR_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations
+), faults AS (
+    SELECT keyed.*, {_crc32('k')} % 20 AS fault FROM keyed, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faults WHERE fault <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM damaged
+), marked AS (
+    SELECT *, CASE WHEN body = '' THEN 2
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 3
+            WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS kind,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
+    FROM placed
+), priced AS (
+    SELECT *, CASE kind WHEN 1 THEN 5 ELSE 0 END AS extra FROM marked
+), ways AS (
+    SELECT conv_id, 0::BIGINT AS step, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS nothing,
+        NULL::STRUCT(cost INTEGER, audit VARCHAR, lines VARCHAR[]) AS sys,
+        NULL::STRUCT(cost INTEGER, audit VARCHAR, lines VARCHAR[]) AS usr,
+        NULL::STRUCT(cost INTEGER, audit VARCHAR, lines VARCHAR[]) AS ast
+    FROM (SELECT DISTINCT conv_id FROM priced)
+    UNION ALL
+    SELECT w.conv_id, w.step + 1, {_way('nothing', '2', 'D')},
+        {_least(_way('sys', '2', 'D'), f"CASE WHEN kind < 2 AND left(role, 1) = 's' THEN {_way('nothing', 'extra', 'K', "role || ':' || text")} END")},
+        {_least(_way('usr', '2', 'D'), *[_turn(x, 'user') for x in ('nothing', 'sys', 'ast')])},
+        {_least(_way('ast', '2', 'D'), _turn('usr', 'assistant'))}
+    FROM ways w JOIN priced p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.pos = w.step + 1
+), counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (kind = 2) AS blank, count(*) FILTER (kind = 3) AS duplicate,
+        count(*) FILTER (kind = 1) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM priced GROUP BY conv_id
+), best AS (
+    SELECT c.*, {_least('nothing', 'ast')} AS way
+    FROM counts c JOIN ways w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.step = c.n
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit,
+    sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_mixing": MIX_SQL,
         "op6_sharding": SHARD_SQL,
         "op7_line_dedup": LINES_SQL,
         "op10_decontamination": DECONTAMINATION_SQL,
+        "op12_conversation_repair": REPAIR_SQL,
     }

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelyard.sources.checkpoints import ensure_checkpoint_dir
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
 
-    Only a session that runs inside one process may leave the setting out; it
-    gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if named is None:
-            master = spark.sparkContext.master
-            if master != "local" and not master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="parcelyard-")
-        spark.sparkContext.setCheckpointDir(named)
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
+    set_before = ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or set_before
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
