@@ -13,6 +13,7 @@ from parcelyard.llm import (
     html_text,
     mixing,
     near_vectors,
+    prefix_trie,
     sharding,
     simhash,
     toxicity,
@@ -25,6 +26,8 @@ from parcelyard.llm.runs import sha256_of_runs
 
 MIX_EXPONENT = 0.5
 SHARDS = 16
+# Conversations that share a head, and the longest head and one.
+GROUP, HEADS = 5, 9
 URL_RULES = {
     "org/": "allow",
     "example.org/es/": "block",
@@ -131,6 +134,22 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt(_read(spark, sf_dir, "conversations"), GROUP, HEADS)
+    nodes, ends = prefix_trie.prefix_trie(turns, convs)
+    hashes = prefix_trie.ends_sha256(ends)
+    return nodes.join(hashes, "node", "left").select(
+        "conv_id",
+        F.col("depth").cast("long").alias("depth"),
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_mixing,
@@ -144,6 +163,7 @@ def all_queries() -> dict[str, Query]:
         op9_main_text,
         op10_decontamination,
         op12_conversation_repair,
+        op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -368,6 +388,49 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
 """
 
 
+# Every prefix of every conversation as a list of turns; a node's subtree by the paths of
+# the smallest members of all nodes.
+TRIE_SQL = f"""
+WITH {_CRC_TABLE}, turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % {GROUP} AS base, {_crc32('conv_id::VARCHAR')} % {HEADS} AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc
+), lists AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS l FROM turns GROUP BY conv_id
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.l[1:h], []), o.l[h + 1:]) AS l
+    FROM convs c JOIN lists o ON o.conv_id = c.conv_id LEFT JOIN lists b ON b.conv_id = c.base
+), prefixes AS (
+    SELECT conv_id, d AS depth, l[1:d] AS prefix, len(l) AS n FROM rebuilt, range(0, len(l) + 1) AS r(d)
+), nodes AS (
+    SELECT min(conv_id) AS conv_id, depth, prefix, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY depth, prefix
+), paths AS (
+    SELECT p.conv_id AS member, p.depth, n.conv_id FROM prefixes p JOIN nodes n USING (depth, prefix)
+), linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id,
+        CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(prefix[n.depth].text) END AS saved
+    FROM nodes n LEFT JOIN paths p ON p.member = n.conv_id AND p.depth = n.depth - 1
+), childs AS (
+    SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children
+    FROM linked WHERE depth > 0 GROUP BY ALL
+), counted AS (
+    SELECT l.*, coalesce(c.n_children, 0) AS n_children
+    FROM linked l LEFT JOIN childs c ON c.conv_id = l.conv_id AND c.depth = l.depth
+), sums AS (
+    SELECT p.conv_id, p.depth, count(*) FILTER (c.n_children = 0) AS n_leaves, sum(c.saved)::BIGINT AS saved_tokens
+    FROM counted c JOIN paths p ON p.member = c.conv_id AND p.depth <= c.depth GROUP BY ALL
+)
+SELECT c.conv_id, c.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted c JOIN sums s ON s.conv_id = c.conv_id AND s.depth = c.depth
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_mixing": MIX_SQL,
@@ -375,4 +438,5 @@ def all_oracles() -> dict[str, str]:
         "op7_line_dedup": LINES_SQL,
         "op10_decontamination": DECONTAMINATION_SQL,
         "op12_conversation_repair": REPAIR_SQL,
+        "op13_prefix_trie": TRIE_SQL,
     }
