@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelyard.llm.store import stored
-from parcelyard.llm.words import ALNUM, words_of
+from parcelyard.llm.words import ALNUM, among, words_of
 
 # Words of test texts handed to the executors at once; larger test sets are
 # searched in several rounds.
@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, *, key: str =
             for part in words_of(batch.column(1), ALNUM):
                 codes, places = part.codes, np.arange(len(part.codes), dtype=np.int32)
                 if wanted is not None:
-                    places = places[_among(codes, wanted.value)]
+                    places = places[among(codes, wanted.value)]
                     codes = codes[places]
                 order = np.argsort(codes, kind="stable")
                 codes, places = codes[order], places[order]
@@ -93,20 +93,6 @@ def _one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _among(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which codes are in the sorted ``wanted``: one look at a table of short prefixes
-    leaves few to search for."""
-    bits = max(10, int(len(wanted)).bit_length() + 4)
-    table = np.zeros(1 << bits, dtype=bool)
-    shift = np.uint64(64 - bits)
-    table[wanted >> shift] = True
-    maybe = np.flatnonzero(table[codes >> shift])
-    if not len(wanted):
-        return maybe
-    at = np.minimum(np.searchsorted(wanted, codes[maybe]), len(wanted) - 1)
-    return maybe[wanted[at] == codes[maybe]]
-
-
 class _Segment:
     """The lists of one segment."""
 

@@ -11,6 +11,7 @@ from parcelyard.llm import (
     conversation_repair,
     decontamination,
     html_text,
+    license_scan,
     mixing,
     near_vectors,
     prefix_trie,
@@ -100,6 +101,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def damage(conversations: DataFrame) -> DataFrame:
     """The contract's faults: a row's CRC-32 drops it, empties or cuts its text, repeats
     it, or makes it the user's. Nulls read as one space."""
@@ -162,6 +177,7 @@ def all_queries() -> dict[str, Query]:
         op8_near_vectors,
         op9_main_text,
         op10_decontamination,
+        op11_license_scan,
         op12_conversation_repair,
         op13_prefix_trie,
     )
@@ -295,6 +311,45 @@ FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc
 """
 
 
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, {_AZ}), {_WORD})"
+
+
+# Every block is compared with every template.
+LICENSE_SQL = f"""
+WITH phrases AS (
+    SELECT {_words_sql('p')} AS p, label
+    FROM (VALUES {', '.join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES)}) AS v(p, label)
+), templates AS (
+    SELECT label, list_distinct(t) AS t, CASE WHEN len(t) <= {license_scan.LEAST_STEP} THEN {license_scan.LEAST_STEP}
+        ELSE pow(2, ceil(log2(len(t))))::INT END AS step
+    FROM (SELECT label, {_words_sql('t')} AS t
+        FROM (VALUES {', '.join(f"('{label}', '{t}')" for label, t in license_scan.TEMPLATES)}) AS v(label, t))
+), docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce({_words_sql('text')}, []) AS w FROM documents
+), base AS (
+    SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels
+    FROM (SELECT r, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) AS i
+        FROM docs, phrases WHERE len(w) >= len(p))
+    GROUP BY r
+), blocks AS (
+    SELECT r, step, list_distinct(w[b * step + 1:(b + 2) * step]) AS words
+    FROM docs, (SELECT DISTINCT step FROM templates), range(0, len(w) // step + 1) AS x(b)
+    WHERE b * step < len(w)
+), contained AS (
+    SELECT r, label, len(list_intersect(words, t)) / len(t) AS share
+    FROM blocks JOIN templates USING (step) WHERE len(list_intersect(words, t)) >= ceil(0.8 * len(t) - 1e-9)
+), more AS (
+    SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM contained GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM docs LEFT JOIN base b USING (r) LEFT JOIN more m USING (r)
+"""
+
+
 def _crc32(text: str) -> str:
     """CRC-32 of an ASCII text, by the table ``tab`` of the remainders of all bytes."""
     steps = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
@@ -437,6 +492,7 @@ def all_oracles() -> dict[str, str]:
         "op6_sharding": SHARD_SQL,
         "op7_line_dedup": LINES_SQL,
         "op10_decontamination": DECONTAMINATION_SQL,
+        "op11_license_scan": LICENSE_SQL,
         "op12_conversation_repair": REPAIR_SQL,
         "op13_prefix_trie": TRIE_SQL,
     }

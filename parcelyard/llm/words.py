@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -26,6 +27,8 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK_BYTES = 1 << 19
+# Longer words, in bytes, have another hash.
+_LONG = 256
 
 
 @dataclass
@@ -106,6 +109,9 @@ def _tokenize(data: np.ndarray, offsets: np.ndarray, row: int, kind: np.ndarray)
     total[0] = 0
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n)[:n], out=total[1:])
     codes = mix((total[end] - total[start]) * _power_table(_INVERSE, n)[start])
+    # A polynomial modulo 2**64 can be made to collide by words of a thousand letters.
+    for i in np.flatnonzero(end - start > _LONG):
+        codes[i] = xxhash.xxh64_intdigest(low[start[i] : end[i]].tobytes(), seed=_LONG)
     return Words(row, np.searchsorted(start, offsets), codes)
 
 
@@ -119,3 +125,17 @@ def words_of(column: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         base = offsets[row]
         yield _tokenize(data[base : offsets[stop]], offsets[row : stop + 1] - base, row, kind)
         row = stop
+
+
+def among(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which codes are in the sorted ``wanted``: one look at a table of short prefixes
+    leaves few to search for."""
+    bits = max(10, int(len(wanted)).bit_length() + 4)
+    table = np.zeros(1 << bits, dtype=bool)
+    shift = np.uint64(64 - bits)
+    table[wanted >> shift] = True
+    maybe = np.flatnonzero(table[codes >> shift])
+    if not len(wanted):
+        return maybe
+    at = np.minimum(np.searchsorted(wanted, codes[maybe]), len(wanted) - 1)
+    return maybe[wanted[at] == codes[maybe]]
