@@ -126,47 +126,100 @@ def update_by_key(
     return joined.select(*[column(f) for f in base.schema.fields])
 
 
-def _without_refused(base: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """Requests that may be carried out: no rename onto a key that another row has.
+def _asked_renames(base: DataFrame, renames: DataFrame, key: str) -> DataFrame:
+    """Each rename with ``_alive``, whether its row is stored, and ``_taken``, whether its new key is.
 
-    A key is taken if it is stored, or if an earlier request of the batch has
-    renamed a stored row to it. A stored key that an earlier request may have
-    freed is beyond a batch; such a request fails when it runs.
+    A rename looks up its old and its new name in one join, and its two rows meet again.
     """
-    renames = F.col(key) != F.col("old_id")
-    old, new = F.col("old_id").alias("_name"), F.col(key).alias("_name")
-    asked = requests.select(TENANT, old).unionByName(requests.filter(renames).select(TENANT, new))
-    stored = base.select(TENANT, F.col(key).alias("_name")).join(
-        asked.distinct(), [TENANT, "_name"], "left_semi"
+    names = F.array(
+        F.struct(F.lit(True).alias("own"), F.col("old_id").alias("name")),
+        F.struct(F.lit(False).alias("own"), F.col("_new").alias("name")),
+    )
+    zero = F.pmod(F.xxhash64("_name"), F.lit(1))
+    sides = renames.select("*", F.explode(names).alias("_side")).select(
+        *renames.columns, F.col("_side.own").alias("_own"), F.col("_side.name").alias("_name")
+    )
+    # The last key, always 0, lets adaptive execution split a name that very many ask for.
+    stored = base.select(TENANT, F.col(key).alias("_name"), F.lit(True).alias("_stored"))
+    found = sides.withColumn("_zero", zero).join(
+        stored.withColumn("_zero", zero), [TENANT, "_name", "_zero"], "left"
+    )
+    here = flag(F.col("_stored"))
+    return found.groupBy(TENANT, SEQ, "old_id", "_new").agg(
+        F.bool_or(F.col("_own") & here).alias("_alive"),
+        F.bool_or(~F.col("_own") & here).alias("_taken"),
+        F.any_value("_row").alias("_row"),
     )
 
-    def look_up(rows: DataFrame, listed: DataFrame, name: str, **columns: str) -> DataFrame:
-        known = listed.select(
-            TENANT, F.col("_name").alias(name), *[F.col(c).alias(n) for n, c in columns.items()]
-        )
-        return rows.join(known, [TENANT, name], "left")
-
-    here = stored.withColumn("_here", F.lit(True))
-    known = look_up(look_up(requests, here, "old_id", _alive="_here"), here, key, _taken="_here")
-    moving = known.filter(renames & F.col("_alive"))
-    claim = F.when(F.col("_taken").isNull(), F.col(SEQ))
-    facts = (
-        moving.select(TENANT, new, claim.alias("_claim"), F.lit(None).cast("bigint").alias("_free"))
-        .unionByName(
-            moving.select(TENANT, old, claim.alias("_free"), F.lit(None).cast("bigint").alias("_claim"))
+
+def _events(*events: Column) -> Column:
+    """The events that are there, one row each as ``e``."""
+    return F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("e")
+
+
+def _carried_out(asked: DataFrame) -> DataFrame:
+    """What is left of renames, as events of a name: ``_seq`` and ``_row`` of the rename that
+    is carried out on it, ``_target`` where one gives the name, ``_addressed`` where a rename
+    found no row.
+
+    A key is taken if it is stored, or if an earlier request of the batch has given it to a
+    stored row; so of those that claim a name the first has it and the others are refused. A
+    stored key that an earlier request may have freed is beyond a batch; a rename onto it
+    fails when it runs. All of this is one fold per name.
+    """
+    wanted, refused = F.col("_alive") & ~F.col("_taken"), F.col("_alive") & F.col("_taken")
+
+    def event(kind: str, name: str, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name")))
+
+    events = asked.select(
+        "*",
+        _events(
+            event("claims", "_new", wanted),
+            event("frees", "old_id", wanted),
+            event("refused", "_new", refused),
+            event("lost", "old_id", ~F.col("_alive")),
+        ),
+    )
+    kind = F.col("e.kind")
+    folded = events.groupBy(TENANT, F.col("e.name").alias("_name")).agg(
+        F.min_by(F.struct(SEQ, "old_id", "_row"), F.when(kind == "claims", F.col(SEQ))).alias("_first"),
+        F.min(F.when(kind == "frees", F.col(SEQ))).alias("_freed"),
+        F.max(F.when(kind == "refused", F.col(SEQ))).alias("_refused"),
+        F.bool_or(kind == "lost").alias("_lost"),
+    )
+    message = F.concat(F.lit("rename onto a key that the batch may have renamed: "), "_name")
+    unclear = flag(F.col("_freed") < F.col("_refused"))
+    sure = folded.filter(F.when(unclear, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    first = F.col("_first")
+    none = F.lit(None)
+    row_type = asked.schema["_row"].dataType
+
+    def out(name: Column, seq: Column, row: Column, target: bool, addressed: bool) -> Column:
+        return F.struct(
+            name.alias("name"),
+            seq.cast("bigint").alias("seq"),
+            row.cast(row_type).alias("row"),
+            F.lit(target).alias("target"),
+            F.lit(addressed).alias("addressed"),
         )
-        .groupBy(TENANT, "_name")
-        .agg(F.min("_claim").alias("_claim"), F.min("_free").alias("_free"))
+
+    return sure.select(
+        TENANT,
+        _events(
+            F.when(first.isNotNull(), out(first["old_id"], first[SEQ], first["_row"], False, True)),
+            F.when(first.isNotNull(), out(F.col("_name"), none, none, True, False)),
+            F.when(F.col("_lost"), out(F.col("_name"), none, none, False, True)),
+        ),
+    ).select(
+        TENANT,
+        F.col("e.name").alias("old_id"),
+        F.col("e.seq").alias(SEQ),
+        F.col("e.row").alias("_row"),
+        F.col("e.target").alias("_target"),
+        F.col("e.addressed").alias("_addressed"),
+        F.col("e.seq").isNotNull().alias("_moves"),
     )
-    known = look_up(known, facts, key, _claimed="_claim", _freed="_free")
-    taken = flag(F.col("_taken")) | (F.col("_claimed") < F.col(SEQ))
-    unclear = flag(F.col("_taken")) & (F.col("_freed") < F.col(SEQ))
-    refused = flag(renames & F.col("_alive")) & flag(taken)
-    checked = F.when(
-        refused & flag(unclear),
-        F.raise_error(F.concat(F.lit("rename onto a key that the batch may have renamed: "), key)),
-    ).otherwise(refused)
-    return known.filter(~checked.cast("boolean")).select(*requests.columns)
 
 
 def rename_by_key(
@@ -179,45 +232,38 @@ def rename_by_key(
     neither by its old nor by its new key. Such a batch fails when it runs.
     """
     always = list(always)
-    renames = F.col(key) != F.col("old_id")
-    requests = _without_refused(base, changes.filter(F.col("old_id").isNotNull()), key)
-    targets = distinct_keys(requests.filter(renames), key).select(
-        TENANT, F.col(key).alias("old_id"), F.lit(True).alias("_chained")
+    moves = F.coalesce(F.col(key) != F.col("old_id"), F.lit(False))
+    rows = changes.filter(F.col("old_id").isNotNull()).select(
+        TENANT, SEQ, "old_id", F.col(key).alias("_new"), F.struct(key, *always).alias("_row"), moves.alias("_moves")
     )
-    folded = (
-        requests.groupBy(TENANT, "old_id")
-        .agg(
-            F.max_by(F.struct(key, *always), SEQ).alias("_last"),
-            F.count_if(renames).alias("_renames"),
-        )
-        .join(targets, [TENANT, "old_id"], "left")
+    plain = rows.filter(~F.col("_moves")).select(
+        TENANT, "old_id", F.col(SEQ).cast("bigint").alias(SEQ), "_row",
+        F.lit(False).alias("_target"), F.lit(True).alias("_addressed"), "_moves",
     )
-    late = (F.col("_renames") > 1) | (
-        (F.col("_renames") == 1) & (F.col(f"_last.{key}") == F.col("old_id"))
+    asked = _asked_renames(base, rows.filter("_moves").drop("_moves"), key)
+    folded = plain.unionByName(_carried_out(asked)).groupBy(TENANT, "old_id").agg(
+        F.max_by("_row", SEQ).alias("_last"),
+        F.count_if("_moves").alias("_renames"),
+        F.max(SEQ).alias("_last_seq"),
+        F.max(F.when(F.col("_moves"), F.col(SEQ))).alias("_moved_seq"),
+        F.bool_or(F.col("_target")).alias("_target"),
+        F.bool_or(F.col("_addressed")).alias("_addressed"),
     )
-    rejected = F.coalesce(late | flag(F.col("_chained")), F.lit(False))
-    folded = folded.select(
-        TENANT,
-        F.col("old_id").alias(key),
-        F.when(
-            rejected,
-            F.raise_error(F.concat(F.lit("row addressed after its key was renamed: "), "old_id")),
-        )
-        .otherwise(F.col(f"_last.{key}"))
-        .alias("_key"),
-        "_last",
+    late = (F.col("_renames") > 1) | flag(F.col("_last_seq") > F.col("_moved_seq"))
+    rejected = late | (F.col("_target") & F.col("_addressed"))
+    message = F.concat(F.lit("row addressed after its key was renamed: "), "old_id")
+    sure = folded.filter(
+        F.when(rejected, F.raise_error(message).cast("boolean")).otherwise(F.col("_last").isNotNull())
     )
-    joined = base.join(folded, on(key), "left")
+    known = sure.select(TENANT, F.col("old_id").alias(key), "_last")
+    joined = base.join(known, on(key), "left")
     hit = F.col("_last").isNotNull()
 
     def column(field) -> Column:
-        if field.name == key:
-            new = F.col("_key")
-        elif field.name in always:
-            new = F.col(f"_last.{field.name}")
-        else:
+        if field.name != key and field.name not in always:
             return F.col(field.name)
         old = F.col(field.name)
-        return F.when(hit, new.cast(field.dataType)).otherwise(old).alias(field.name)
+        new = F.col(f"_last.{field.name}").cast(field.dataType)
+        return F.when(hit, new).otherwise(old).alias(field.name)
 
     return joined.select(*[column(f) for f in base.schema.fields])

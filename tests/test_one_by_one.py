@@ -6,7 +6,7 @@ also that tenants never mix.
 
 import random
 
-from parcelyard.plans import boxes, packages
+from parcelyard.plans import boxes, customers, packages
 from rows import pairs, table
 
 CASES = 150
@@ -259,3 +259,44 @@ def test_subbox_items(spark):
     assert pairs(boxes.subbox_item_add(tables, sent)["subbox_item"], *columns) == want(added)
     sent = _requests(spark, "seq bigint, subbox_id bigint, items map<bigint,double>", edit_logs)
     assert pairs(boxes.subbox_item_edit(tables, sent)["subbox_item"], *columns) == want(edited)
+
+
+def test_customer_edit_with_renames(spark):
+    """Renames onto stored, claimed and free names; what a batch must refuse to guess is left out."""
+    worlds, logs = [], []
+    for n in range(4 * CASES):
+        r = random.Random(5000 + n)
+        state = {f"c{k}": None for k in range(4)}
+        start, log = dict(state), []
+        moved, given, freed = set(), set(), set()
+        for seq in range(r.randrange(1, 9)):
+            old = r.choice(["c0", "c1", "c2", "c3", "x", "y"])
+            new = r.choice([old, old, "c0", "c1", "x", "y", "z"])
+            # Not guessed: a row addressed after its rename, and a stored name that was freed.
+            if old in moved | given or (new != old and old in start and new in start and new in freed):
+                continue
+            log.append((seq, old, new, f"n{seq}"))
+            if new != old and old in start and new not in start:
+                freed.add(old)
+            if old not in state or (new != old and new in state):
+                continue
+            if new != old:
+                moved.add(old)
+                given.add(new)
+                del state[old]
+            state[new] = f"n{seq}"
+        # An edit of a name that a later request gives away is not guessed either.
+        if any(old in given for _, old, new, _ in log):
+            log, state = [], dict(start)
+        worlds.append((r, state))
+        logs.append(log)
+    base = table(spark, "customers", [
+        {"tenant_id": str(t), "customer_id": f"c{k}"} for t in range(len(worlds)) for k in range(4)])
+    sent = spark.createDataFrame(
+        [(str(t), *row, None, None, None) for t, log in enumerate(logs) for row in log],
+        "tenant_id string, seq bigint, old_id string, customer_id string, note string, "
+        "contact string, type string, level string")
+    out = customers.customer_edit({"customers": base}, sent)["customers"]
+    assert pairs(out, "tenant_id", "customer_id", "note") == _expected(
+        worlds, lambda w: list(w[1].items()))
+    assert sum(len(log) > 3 for log in logs) > 100

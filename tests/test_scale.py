@@ -171,7 +171,7 @@ def test_prefix_of_a_third_of_all_rows(spark):
     "name, most",
     # With the views of the test tables, whose change set for item_delete is a join.
     [("chg_package_delete_customers", 10), ("chg_item_delete_customers", 16),
-     ("chg_box_delete_customers", 16), ("subbox_nested", 8)],
+     ("chg_box_delete_customers", 16), ("subbox_nested", 8), ("chg_customer_edit", 8), ("chg_package_edit", 8)],
 )
 def test_shuffles_do_not_grow(spark, name, most):
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
