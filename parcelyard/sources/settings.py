@@ -164,9 +164,17 @@ def dropdown_body(submissions: DataFrame) -> DataFrame:
 
 
 def warehouse_body(submissions: DataFrame) -> DataFrame:
-    """Body of a submitted warehouse form without the sender's id."""
-    known = F.from_json("body", WAREHOUSE)
-    return submissions.withColumn("body", F.to_json(known))
+    """Body of a submitted warehouse form without the sender's id.
+
+    Every other field is kept, whatever it is called and however deep it lies, with its
+    kind of value: a number stays a number. Fields of inner objects come sorted by name.
+    A body that is no JSON is refused, like a request that cannot be read.
+    """
+    fields = F.from_json("body", "map<string,variant>")
+    kept = F.to_json(F.map_filter(fields, lambda name, _: name != "emp_id"))
+    # An array has no fields, and nothing to take out.
+    body = F.coalesce(kept, F.to_json(F.try_parse_json("body")))
+    return submissions.withColumn("body", body).filter(F.col("body").isNotNull())
 
 
 def replace_settings(

@@ -187,6 +187,18 @@ _OPERATORS: dict[str, str] = {
             SELECT r.username, r.seq, e.company_name
             FROM req_employee_edit r JOIN employee e ON r.emp_id = e.emp_id)
         QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY seq DESC) = 1""",
+    "config_write_fields": f"""
+        SELECT {_PART} AS tenant_id, p_brand AS shelf, NULL AS floor, NULL AS note,
+            CAST(p_size AS VARCHAR) AS width, CAST(p_size + 1 AS VARCHAR) AS length,
+            NULL AS limit_by, NULL AS is_open, CAST(NULL AS VARCHAR) AS sender
+        FROM part
+        UNION ALL
+        SELECT company_name, c_name, CAST(c_nationkey AS VARCHAR), c_name,
+            CAST(c_custkey * 2 AS VARCHAR), c_mktsegment, CAST(c_custkey AS VARCHAR), CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END, NULL
+        FROM (
+            SELECT c.*, e.company_name
+            FROM customer c JOIN employee e ON e.emp_id = CAST(c.c_nationkey AS VARCHAR))
+        QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY c_custkey DESC) = 1""",
     "documents_scan": """
         SELECT file_name, value, CAST(length(value) AS INTEGER) AS n_chars,
                CAST(strlen(value) AS INTEGER) AS n_bytes FROM text_files""",

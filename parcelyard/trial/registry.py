@@ -193,10 +193,28 @@ def _warehouse_forms(t: Tables) -> DataFrame:
         "c_custkey AS seq",
         "CAST(c_nationkey AS STRING) AS emp_id",
         """to_json(named_struct('emp_id', CAST(c_nationkey AS STRING),
-            'shelves', array(named_struct('id', c_custkey, 'name', c_name)))) AS body""",
+            'shelves', array(named_struct('id', c_custkey, 'name', c_name, 'floor', c_nationkey)),
+            'note', c_name, 'boxSizes', array(named_struct('width', c_custkey * 2, 'length', c_mktsegment)),
+            'limits', named_struct('emp_id', c_custkey, 'open', c_acctbal > 0))) AS body""",
     )
 
 
+def _warehouse_fields(files: DataFrame) -> DataFrame:
+    """Fields of stored forms as they stand in the body, also those of no known layout."""
+    paths = {
+        "shelf": "$.shelves[0].name",
+        "floor": "$.shelves[0].floor",
+        "note": "$.note",
+        "width": "$.boxSizes[0].width",
+        "length": "$.boxSizes[0].length",
+        "limit_by": "$.limits.emp_id",
+        "is_open": "$.limits.open",
+        "sender": "$.emp_id",
+    }
+    fields = [F.get_json_object("body", path).alias(name) for name, path in paths.items()]
+    return files.select("tenant_id", *fields)
+
+
 def _dropdown_forms(t: Tables) -> DataFrame:
     return raw(t.spark, t.sf_dir, "customer").selectExpr(
         "c_custkey AS seq",
@@ -247,6 +265,11 @@ def _operator_queries() -> dict[str, Callable[[Tables], DataFrame]]:
                 _warehouse_files(t), settings.warehouse_body(_warehouse_forms(t)), t["employee"]
             )
         ),
+        "config_write_fields": lambda t: _warehouse_fields(
+            settings.replace_settings(
+                _warehouse_files(t), settings.warehouse_body(_warehouse_forms(t)), t["employee"]
+            )
+        ),
         "documents_scan": lambda t: documents.documents_scan(t["text_files"]),
         "log_append": lambda t: office.log_append(t, t["req_log"])["logedit"],
         "customers_by_key": lambda t: lookups.customers_by_key(t["customers"], t["appointment"]),
