@@ -18,7 +18,7 @@ def apply_runs(
 ) -> dict[str, DataFrame]:
     """Apply change sets of different kinds in the order of their requests.
 
-    Each run holds neighbouring requests of one kind. ``store`` cuts the lineage of
+    Each run holds requests of one kind that may be applied together. ``store`` cuts the lineage of
     the changed tables after each run, for example by ``DataFrame.checkpoint``.
     Photos to remove are gathered over all runs.
     """

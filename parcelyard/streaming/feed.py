@@ -1,40 +1,30 @@
 """Applying change files as they arrive.
 
 Requests reach the tables one after another. Here each micro-batch of a change log
-is cut into runs of one kind, whose jobs are applied in turn to the last version of
-the tables. Only tables that change are written; a version lists, for every table,
-the version that holds its rows.
+is cut into levels of jobs (see ``plans.schedule``), which are applied in turn to the
+last version of the tables. Only tables that change are written; a version lists, for
+every table, the version that holds its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelyard.plans.runs import apply_runs
+from parcelyard.plans.schedule import Kind, cut_levels
 from parcelyard.schemas import ASSETS, SCHEMAS, TENANT
 from parcelyard.sources.checkpoints import settle
 from parcelyard.sources.tables import read_table, write_table
 
-Job = Callable[[Mapping[str, DataFrame], DataFrame], dict[str, DataFrame]]
-
 # A row of the change log: ``body`` holds the request's fields as JSON.
 LOG = "tenant_id string, seq bigint, kind string, body string"
 _VERSIONS = "name string, version bigint"
 
 
-@dataclass(frozen=True)
-class Kind:
-    """A kind of change: its job, and the fields of its requests as DDL."""
-
-    job: Job
-    fields: str
-
-
 def snapshot(root: str, version: int) -> str:
     """The folder of the tables that version ``version`` has written."""
     return f"{root}/v={version:012d}"
@@ -70,27 +60,6 @@ def start(tables: Mapping[str, DataFrame], root: str) -> None:
     _list(spark, root, 0, dict.fromkeys(tables, 0))
 
 
-def cut_runs(changes: DataFrame, kinds: Mapping[str, Kind]) -> Iterator[tuple[Job, DataFrame]]:
-    """Jobs with their requests, in an order that keeps each tenant's order of ``seq``.
-
-    Neighbouring requests of one kind form a run. Tenants do not affect each other,
-    so the n-th runs of all tenants are applied together, one job per kind. Each run
-    plans its job anew: a log whose kinds alternate costs a job per request, a log
-    sorted by kind one per kind.
-    """
-    order = Window.partitionBy(TENANT).orderBy("seq")
-    before = F.lag("kind").over(order)
-    turns = changes.withColumn("_turn", (F.col("kind") != F.coalesce(before, "kind")).cast("int"))
-    numbered = settle(turns.withColumn("_run", F.sum("_turn").over(order)))
-    found = sorted(map(tuple, numbered.select("_run", "kind").distinct().collect()))
-    if unknown := {kind for _, kind in found} - set(kinds):
-        raise ValueError(f"unknown kinds of change: {sorted(map(str, unknown))}")
-    for run, kind in found:
-        rows = numbered.filter((F.col("_run") == run) & (F.col("kind") == kind))
-        fields = F.from_json("body", kinds[kind].fields).alias("_fields")
-        yield kinds[kind].job, rows.select(TENANT, "seq", fields).select(TENANT, "seq", "_fields.*")
-
-
 def apply_batch(
     spark: SparkSession, kinds: Mapping[str, Kind], changes: DataFrame, root: str, version: int
 ) -> None:
@@ -100,7 +69,7 @@ def apply_batch(
     """
     held = read_versions(spark, root, version)
     tables = read_snapshot(spark, root, version)
-    state = apply_runs(tables, cut_runs(changes, kinds), settle)
+    state = apply_runs(tables, cut_levels(changes, kinds), settle)
     for name, rows in state.items():
         if name == ASSETS:
             rows.write.mode("overwrite").parquet(f"{snapshot(root, version + 1)}/{ASSETS}")

@@ -199,6 +199,35 @@ _OPERATORS: dict[str, str] = {
             SELECT c.*, e.company_name
             FROM customer c JOIN employee e ON e.emp_id = CAST(c.c_nationkey AS VARCHAR))
         QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY c_custkey DESC) = 1""",
+    "mixed_log_customers": """
+        SELECT c.tenant_id, c.customer_id, customer_name,
+            CASE WHEN edits > 0 THEN e.props ELSE contact END AS contact,
+            CASE WHEN edits > 0 THEN 'click' ELSE type END AS type,
+            CASE WHEN edits > 0 THEN NULL ELSE level END AS level,
+            CASE WHEN edits > 0 THEN CASE WHEN e.value < 20 THEN e.props END ELSE note END AS note,
+            status, CASE WHEN views > 0 THEN l.place ELSE warehouse END AS warehouse, packages, customer_date,
+            address, city, state, country, zipcode, phone, doc_type, doc_url
+        FROM customers c LEFT JOIN (
+            SELECT CASE WHEN event_id % 2 = 0 THEN 'east' ELSE 'west' END AS tenant_id,
+                CAST(user_id AS VARCHAR) AS customer_id,
+                arg_max(props, event_id) FILTER (event_type = 'view') AS place,
+                count(*) FILTER (event_type = 'view') AS views,
+                count(*) FILTER (event_type = 'click') AS edits,
+                max(event_id) FILTER (event_type = 'click') AS edited
+            FROM events GROUP BY ALL
+        ) l ON l.tenant_id = c.tenant_id AND l.customer_id = c.customer_id
+        LEFT JOIN events e ON e.event_id = l.edited
+        UNION ALL
+        SELECT CASE WHEN event_id % 2 = 0 THEN 'east' ELSE 'west' END, 'E' || CAST(event_id AS VARCHAR),
+            NULL, props, NULL, NULL, NULL, NULL, NULL, 0, date_trunc('second', ts), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM events WHERE event_type = 'signup'""",
+    "mixed_log_box": """
+        SELECT b.* REPLACE (CASE WHEN n > 0 THEN CAST(p AS INTEGER) ELSE priority END AS priority)
+        FROM box b LEFT JOIN (
+            SELECT CASE WHEN event_id % 2 = 0 THEN 'east' ELSE 'west' END AS tenant_id,
+                CAST(user_id AS VARCHAR) AS box_id, count(*) AS n, arg_max(day(ts), event_id) AS p
+            FROM events WHERE event_type = 'purchase' GROUP BY ALL
+        ) l ON l.tenant_id = b.tenant_id AND l.box_id = b.box_id""",
     "documents_scan": """
         SELECT file_name, value, CAST(length(value) AS INTEGER) AS n_chars,
                CAST(strlen(value) AS INTEGER) AS n_bytes FROM text_files""",

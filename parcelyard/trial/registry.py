@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from parcelyard.operators import aggregates, joins, lookups, nesting, prefixes
 from parcelyard.plans import assets, boxes, customers, office, packages
+from parcelyard.plans.kinds import KINDS
+from parcelyard.plans.runs import apply_runs
+from parcelyard.plans.schedule import cut_levels
 from parcelyard.sources import documents, settings
+from parcelyard.sources.checkpoints import settle
 from parcelyard.trial.tables import TABLES, Tables, raw, tenant_of
 
 AS_OF = dt.date(2024, 1, 15)
@@ -227,6 +231,35 @@ def _dropdown_forms(t: Tables) -> DataFrame:
     )
 
 
+def _mixed_log(t: Tables) -> DataFrame:
+    """Every event as a request of one of five kinds, in the order of the events."""
+    user, body = "CAST(user_id AS STRING)", {
+        "customer_warehouse": "'customer_id', {user}, 'warehouse', props",
+        "customer_edit": "'old_id', {user}, 'customer_id', {user}, 'contact', props, 'type', event_type, "
+        "'note', CASE WHEN value < 20 THEN props END",
+        "box_priority": "'box_id', {user}, 'priority', CAST(day(ts) AS INT)",
+        "slip_delete": "'slip_id', event_id",
+        "customer_insert": "'customer_id', 'E' || CAST(event_id AS STRING), 'contact', props, "
+        "'customer_date', CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)",
+    }
+    kinds = dict(zip(("view", "click", "purchase", "error", "signup"), body))
+    kind = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in kinds.items())
+    sent = " ".join(
+        f"WHEN '{e}' THEN to_json(named_struct({body[k].format(user=user)}))" for e, k in kinds.items()
+    )
+    return raw(t.spark, t.sf_dir, "events").selectExpr(
+        f"{tenant_of('event_id')} AS tenant_id",
+        "event_id AS seq",
+        f"CASE event_type {kind} END AS kind",
+        f"CASE event_type {sent} END AS body",
+    ).filter("kind IS NOT NULL")
+
+
+def _after_mixed_log(t: Tables) -> dict[str, DataFrame]:
+    touched = {name: t[name] for name in ("customers", "box", "slip")}
+    return apply_runs(touched, cut_levels(_mixed_log(t), KINDS), settle)
+
+
 def _nested_rows(t: Tables) -> DataFrame:
     nested = nesting.subbox_nested(t["subbox"], t["subbox_item"], t["items"])
     return nested.selectExpr(
@@ -265,6 +298,8 @@ def _operator_queries() -> dict[str, Callable[[Tables], DataFrame]]:
                 _warehouse_files(t), settings.warehouse_body(_warehouse_forms(t)), t["employee"]
             )
         ),
+        "mixed_log_customers": lambda t: _after_mixed_log(t)["customers"],
+        "mixed_log_box": lambda t: _after_mixed_log(t)["box"],
         "config_write_fields": lambda t: _warehouse_fields(
             settings.replace_settings(
                 _warehouse_files(t), settings.warehouse_body(_warehouse_forms(t)), t["employee"]

@@ -17,10 +17,10 @@ from parcelyard.sources.tables import (
     read_tables,
     write_tables,
 )
+from parcelyard.plans.schedule import cut_levels
 from parcelyard.streaming.feed import (
     LOG,
     Kind,
-    cut_runs,
     follow_changes,
     follow_log,
     read_snapshot,
@@ -111,6 +111,20 @@ def test_settings_are_replaced_per_tenant(spark, tmp_path):
     assert json.loads(body) == {"shelves": [{"id": 1, "name": "s"}]}
 
 
+def test_a_warehouse_form_is_kept_whole(spark):
+    sent = {
+        "shelves": [{"id": 1, "name": "a", "floor": 3}], "boxSizes": [{"width": 30, "length": "30", "height": 1.5}],
+        "note": "kept \u00e9 \"so\"", "n": None, "yes": True, "deep": {"emp_id": 4, "l": [[], {}, [1, "1", 1e300]]},
+        "big": 12345678901234567890123, "minus": -7, "": "no name",
+    }
+    bodies = [json.dumps({**sent, "emp_id": "7"}), "[1, {\"emp_id\": 2}]", "{}", "not json", None]
+    form = spark.createDataFrame([(n, "1", b) for n, b in enumerate(bodies)], "seq bigint, emp_id string, body string")
+    got = {r.seq: json.loads(r.body) for r in settings.warehouse_body(form).collect()}
+    assert got == {0: sent, 1: [1, {"emp_id": 2}], 2: {}}
+    kinds = lambda x: [type(v) for v in x["boxSizes"][0].values()]
+    assert sorted(map(str, kinds(got[0]))) == sorted(map(str, kinds(sent)))
+
+
 def test_documents(spark, tmp_path):
     text = "สวัสดี\nโลก"
     (tmp_path / "JP 1+1_%_2024.txt").write_text(text, encoding="utf-8")
@@ -198,7 +212,7 @@ def test_change_feed(spark, tmp_path):
     assert state(0) == ([("a", 1), ("b", 2)], 1)
     unknown = spark.createDataFrame([("t", 1, "?", "{}")], LOG)
     with pytest.raises(ValueError, match="unknown kinds"):
-        list(cut_runs(unknown, kinds))
+        list(cut_levels(unknown, kinds))
 
 
 def test_predicates_of_text_keys(spark):
