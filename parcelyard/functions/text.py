@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ _HERE = (".", "%2e")
 _ABOVE = ("..", ".%2e", "%2e.", "%2e%2e")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _without_dots(path: Column) -> Column:
     """The path behind its first slash, with the parts ``.`` and ``..`` carried out."""
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
@@ -51,7 +58,18 @@ def _without_dots(path: Column) -> Column:
     # A path that ends in a folder ends in a slash.
     ends = F.lower(F.element_at(parts, -1)).isin(*_HERE, *_ABOVE)
     walked = F.when(ends, F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    return F.array_join(walked, "/")
+    # Few paths have a part that begins with a dot; the others are not taken apart.
+    dotted = F.contains(path, F.lit("/.")) | F.contains(F.lower(path), F.lit("%2e"))
+    return F.when(dotted, F.array_join(walked, "/")).otherwise(F.regexp_replace(path, r"^/", ""))
+
+
+def _encoded(key: Column) -> Column:
+    """Characters outside ASCII percent-encoded."""
+    letters = F.transform(
+        F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0)),
+        lambda c: F.when(F.octet_length(c) > 1, F.url_encode(c)).otherwise(c),
+    )
+    return F.when(F.octet_length(key) > F.char_length(key), F.array_join(letters, "")).otherwise(key)
 
 
 def object_key(url: Column) -> Column:
@@ -66,18 +84,18 @@ def object_key(url: Column) -> Column:
         clean = F.replace(clean, F.lit(raw), F.lit(encoded))
     clean = F.regexp_replace(clean, "%(?![0-9A-Fa-f]{2})", _STAND_INS[-1])
     clean = F.translate(clean, _KEPT_IN_PATHS[:-1], _STAND_INS[:-1])
-    host = F.lower(F.try_parse_url(clean, F.lit("HOST")))
-    path = F.try_parse_url(clean, F.lit("PATH"))
-    key = F.translate(_without_dots(path), _STAND_INS, _KEPT_IN_PATHS)
-    encoded = F.array_join(
-        F.transform(
-            F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0)),
-            lambda c: F.when(F.octet_length(c) > 1, F.url_encode(c)).otherwise(c),
-        ),
-        "",
-    )
-    key = F.when(F.octet_length(key) > F.char_length(key), encoded).otherwise(key)
-    return F.when(host.endswith(STORAGE_HOST) & (key != ""), key)
+
+    def parsed(text: Column) -> Column:
+        return F.struct(
+            F.lower(F.try_parse_url(text, F.lit("HOST"))).alias("host"),
+            F.try_parse_url(text, F.lit("PATH")).alias("path"),
+        )
+
+    def key(address: Column) -> Column:
+        found = F.translate(_without_dots(address["path"]), _STAND_INS, _KEPT_IN_PATHS)
+        return F.when(address["host"].endswith(STORAGE_HOST), _once(found, _encoded))
+
+    return F.nullif(_once(_once(clean, parsed), key), F.lit(""))
 
 
 def safe_file_name(name: Column) -> Column:
