@@ -349,7 +349,8 @@ def learn(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Weights:
     """
     n = pages.count()
     share = min(1.0, max_labelled / max(n, 1))
-    rows = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    place = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 1)
+    rows = pages if share >= 1.0 else pages.where(place < F.lit(int(share * 2.0**63)))
     rows = rows.where(F.col("html").isNotNull()).select(F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

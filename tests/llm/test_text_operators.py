@@ -432,7 +432,71 @@ def test_only_features_that_cannot_pass_are_left_out(l1, epochs, least):
     assert toxicity.least_texts(toxicity.Settings(l1=l1, epochs=epochs)) == least
 
 
-def test_a_feature_of_one_text_may_have_a_weight():
-    batch = pa.RecordBatch.from_arrays([pa.array(["foul", "fine", "good"]), pa.array([1.0, 0.0, 0.0])], names=["text", "label"])
-    assert toxicity._train(iter([batch]), toxicity.Settings(l1=0.5)).num_rows > 1
-    assert toxicity._train(iter([batch]), toxicity.Settings(l1=100.0)).num_rows == 1
+def plain_ftrl(rows, settings):
+    """Scores by FTRL-proximal over dictionaries, a text after the other."""
+
+    def features(text):
+        w = tokens(text)
+        return {*w, *[("next", a, b) for a, b in zip(w, w[1:])], *[("skip", a, b) for a, b in zip(w, w[2:])]}
+
+    def place(doc_id):
+        return int.from_bytes(xxhash.xxh64(doc_id.to_bytes(8, "little", signed=True), seed=42).digest(), "big", signed=True)
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f == "bias":
+            return -z[f] / ((settings.beta + n[f] ** 0.5) / settings.alpha)
+        if abs(z[f]) <= settings.l1:
+            return 0.0
+        sign = 1 if z[f] > 0 else -1
+        return -(z[f] - sign * settings.l1) / ((settings.beta + n[f] ** 0.5) / settings.alpha + settings.l2)
+
+    def score(text):
+        x = sum(weight(f) for f in features(text) if f in z) + weight("bias")
+        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+    train = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 5), key=lambda r: place(r[0]))
+    for _ in range(settings.epochs):
+        for _, text, label in train:
+            found = {f: weight(f) for f in features(text) | {"bias"}}
+            g = 1 / (1 + np.exp(-np.clip(sum(found.values()), -40, 40))) - label
+            for f, w in found.items():
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / settings.alpha * w
+                n[f] += g * g
+    return {r[0]: score(r[1]) for r in rows}
+
+
+@pytest.mark.parametrize("settings", [toxicity.Settings(l1=1.0), toxicity.Settings(), toxicity.Settings(l1=0.1, epochs=2)])
+def test_scores_are_those_of_plain_ftrl(spark, settings):
+    docs, labels = toxic_rows(300)
+    docs += [(1000, "", "en", "s", 0), (1001, None, "en", "s", 0), (1002, "vile " * 30, "en", "s", 0)]
+    labels += [(1000, 1, 0), (1001, 1, 0), (1002, 1, 1)]
+    truth = {d: t for d, _, t in labels}
+    rows = [(d, t, truth[d]) for d, t, *_ in docs if t is not None]
+    got = toxicity.toxicity(docs_of(spark, docs), spark.createDataFrame(labels, LABELS), settings).collect()
+    expected = plain_ftrl(rows, settings)
+    assert all(abs(r["score"] - expected[r["doc_id"]]) < 1e-9 for r in got if r["doc_id"] != 1001)
+
+
+def test_corpus_stays_where_nothing_can_be_learned(spark):
+    docs, labels = toxic_rows(60)
+    for known in ([], [(d, q, 1) for d, q, _ in labels], [(d, q, None) for d, q, _ in labels], [(10**6, 1, 1)]):
+        found = spark.createDataFrame(known, LABELS)
+        assert toxicity.keep_clean(docs_of(spark, docs), found).count() == len(docs)
+        got = toxicity.toxicity(docs_of(spark, docs), found).collect()
+        assert {(round(r["score"], 9), r["predicted"]) for r in got} == {(toxicity.PRIOR, 0)}
+
+
+def test_sample_of_a_hot_id_is_bounded(spark):
+    """A third of the rows under one labelled id, another third equal rows."""
+    rows = [(1 if i % 3 == 0 else 2 if i % 3 == 1 else i, f"row {i} text" if i % 3 != 1 else "equal row", "e", "s", 0) for i in range(9000)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(9000)], LABELS)
+    for limit in (2000, 20_000):
+        got = toxicity.training_rows(docs, labels, "toxic", limit).collect()
+        chars = sum(len(r["text"]) for r in got)
+        assert 0 < chars <= 2 * limit
+        assert len({(r["key"], r["tie"]) for r in got}) == len(got)
+    with pytest.raises(ValueError, match="none of the labelled texts"):
+        toxicity.training_rows(docs, labels, "toxic", 13)
