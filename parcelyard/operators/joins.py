@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parcelyard.operators.keyed import distinct_keys, keep_keys, on
 from parcelyard.operators.lookups import without_secrets
 from parcelyard.schemas import ITEM_BOXED, ITEM_OPEN, TENANT
+from parcelyard.sources.checkpoints import settle
+
+# Names of tenants that may be sent to every task: some ten bytes each.
+MAX_SENT_TENANTS = 100_000
 
 
 def customer_by_tracking(
@@ -80,3 +84,22 @@ def tenant_of_employee(requests: DataFrame, employee: DataFrame) -> DataFrame:
         "emp_id", F.col("emp_database").alias(TENANT), F.col("company_name")
     )
     return requests.join(directory, "emp_id")
+
+
+def of_tenants(rows: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Rows of the listed tenants.
+
+    Of stored tables only their folders are read: a list of up to ``MAX_SENT_TENANTS``
+    is sent to the tasks and reaches the scan as a dynamic partition filter; a longer one
+    is joined. The comparison tells the optimizer that the list is worth it, and leaves
+    out a tenant without a name.
+    """
+    listed = settle(tenants.select(TENANT).distinct())
+    few = listed.count() <= MAX_SENT_TENANTS
+    listed = listed.filter(F.length(TENANT) > 0)
+    return rows.join(F.broadcast(listed) if few else listed, TENANT, "left_semi").select(*rows.columns)
+
+
+def rows_of_employees(rows: DataFrame, asked: DataFrame, employee: DataFrame) -> DataFrame:
+    """What the employees in ``asked`` (``emp_id``) may see of a table: their tenants' rows."""
+    return of_tenants(rows, tenant_of_employee(asked.select("emp_id").distinct(), employee))

@@ -265,6 +265,10 @@ _OPERATORS: dict[str, str] = {
     "customers_with_open_items": """
         SELECT DISTINCT tenant_id, customer_id FROM packages WHERE customer_id IS NOT NULL
         AND (tenant_id, tracking_number) IN (SELECT (tenant_id, tracking_number) FROM items WHERE item_status = 0)""",
+    "rows_of_employees": """
+        SELECT * FROM packages WHERE tenant_id IN (
+            SELECT CASE WHEN company_name = 'AFRICA' THEN 'east' ELSE 'none' END FROM employee
+            WHERE emp_id IN (SELECT emp_id FROM req_employee_edit))""",
     "tenant_of_employee": """
         SELECT r.seq, r.emp_id, e.emp_database AS tenant_id, e.company_name
         FROM req_employee_edit r JOIN employee e ON r.emp_id = e.emp_id""",

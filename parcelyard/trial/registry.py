@@ -231,6 +231,13 @@ def _dropdown_forms(t: Tables) -> DataFrame:
     )
 
 
+def _staff_of_tenants(t: Tables) -> DataFrame:
+    """Staff whose database is one of the test tables' tenants, those of Africa all of one."""
+    return t["employee"].selectExpr(
+        "emp_id", "CASE WHEN company_name = 'AFRICA' THEN 'east' ELSE 'none' END AS emp_database", "company_name"
+    )
+
+
 def _mixed_log(t: Tables) -> DataFrame:
     """Every event as a request of one of five kinds, in the order of the events."""
     user, body = "CAST(user_id AS STRING)", {
@@ -335,6 +342,9 @@ def _operator_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "customers_with_open_items": lambda t: joins.customers_with_open_items(
             t["packages"], t["items"]
         ),
+        "rows_of_employees": lambda t: joins.rows_of_employees(
+            t["packages"], t["req_employee_edit"], _staff_of_tenants(t)
+        ),
         "tenant_of_employee": lambda t: joins.tenant_of_employee(
             t["req_employee_edit"].select("seq", "emp_id"), t["employee"]
         ),

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelyard.operators.changes import update_by_key
+from parcelyard.operators.joins import rows_of_employees
 from parcelyard.plans import boxes, packages
+from parcelyard.plans.kinds import KINDS
+from parcelyard.plans.schedule import cut_levels
 from parcelyard.sources import checkpoints, documents, settings
 from parcelyard.sources.tables import (
     append_log,
@@ -17,16 +20,17 @@ from parcelyard.sources.tables import (
     read_tables,
     write_tables,
 )
-from parcelyard.plans.schedule import cut_levels
+from parcelyard.streaming import feed
 from parcelyard.streaming.feed import (
     LOG,
     Kind,
     follow_changes,
     follow_log,
+    read_listing,
     read_snapshot,
-    read_versions,
     snapshot,
     start,
+    versions_in_use,
 )
 from rows import pairs, table, tables
 
@@ -199,14 +203,15 @@ def test_change_feed(spark, tmp_path):
          ("t", 3, "priority", {"box_id": "a", "priority": 9}), ("u", 1, "slip", {"slip_id": 1}))
     run()
     assert state(1) == ([("a", 7), ("b", 2)], 0)
-    assert read_versions(spark, root, 1) == {"box": 1, "slip": 1, "packages": 0, "items": 0, "customers": 0}
+    held = lambda v: versions_in_use(read_listing(spark, root, v))
+    assert held(1) == {"box": [0, 1], "slip": [0, 1], "packages": [0], "items": [0], "customers": [0]}
     assert sorted(p.name for p in (tmp_path / "store" / "v=000000000001").iterdir()) == ["box", "slip"]
     send("2.json", ("t", 5, "priority", {"box_id": "b", "priority": None}),
          ("t", 6, "package", {"tracking_number": "P"}))
     run()
     run()
     assert state(2) == ([("a", 7), ("b", None)], 0)
-    assert read_versions(spark, root, 2)["slip"] == 1
+    assert held(2)["slip"] == [0, 1] and held(2)["box"] == [0, 1, 2]
     assert read_snapshot(spark, root, 2, ["packages"])["packages"].count() == 0
     assert pairs(spark.read.parquet(f"{snapshot(root, 2)}/assets"), "object_key") == [("p",)]
     assert state(0) == ([("a", 1), ("b", 2)], 1)
@@ -215,6 +220,59 @@ def test_change_feed(spark, tmp_path):
         list(cut_levels(unknown, kinds))
 
 
+def test_a_batch_writes_its_tenants_only(spark, tmp_path, monkeypatch):
+    """One tenant of many, then all rows of another; a table in many versions is written whole."""
+    monkeypatch.setattr(feed, "MAX_VERSIONS", 3)
+    root, names = str(tmp_path), [f"t{n}" for n in range(12)]
+    rows = [{"tenant_id": t, "box_id": b, "priority": 0} for t in names for b in "ab"]
+    slips = [{"tenant_id": t, "slip_id": 1} for t in names]
+    start({"box": table(spark, "box", rows), "slip": table(spark, "slip", slips)}, root)
+    kinds = {"box_priority": KINDS["box_priority"], "slip_delete": KINDS["slip_delete"]}
+    expected = {(t, b): 0 for t in names for b in "ab"}
+
+    def folders(version, name):
+        path = tmp_path / snapshot("", version).strip("/") / name
+        return sorted(p.name.partition("=")[2] for p in path.glob("tenant_id=*"))
+
+    def apply(version, *sent):
+        log = [(t, n, "box_priority", json.dumps({"box_id": b, "priority": p})) for n, (t, b, p) in enumerate(sent)]
+        feed.apply_batch(spark, kinds, spark.createDataFrame(log, LOG), root, version)
+        expected.update({(t, b): p for t, b, p in sent})
+        got = read_snapshot(spark, root, version + 1)
+        assert pairs(got["box"], "tenant_id", "box_id", "priority") == sorted((*k, v) for k, v in expected.items())
+
+    apply(0, ("t3", "a", 5))
+    assert folders(1, "box") == ["t3"] and folders(1, "slip") == []
+    apply(1, ("t4", "b", 6), ("t3", "b", 7))
+    assert folders(2, "box") == ["t3", "t4"]
+    apply(2, ("t5", "b", 8))
+    assert versions_in_use(read_listing(spark, root, 3))["box"] == [0, 2, 3]
+    apply(3, ("t6", "a", 9))
+    assert folders(4, "box") == sorted(names)
+    assert versions_in_use(read_listing(spark, root, 4)) == {"box": [4], "slip": [0]}
+    gone = [("t7", 1, "slip_delete", json.dumps({"slip_id": 1})), (None, 2, "slip_delete", json.dumps({"slip_id": 1}))]
+    feed.apply_batch(spark, kinds, spark.createDataFrame(gone, LOG), root, 4)
+    assert folders(5, "slip") == []
+    left = read_snapshot(spark, root, 5, ["slip"])["slip"]
+    assert pairs(left, "tenant_id") == sorted((t,) for t in names if t != "t7")
+
+
+def test_reports_read_the_asking_tenant_only(spark, tmp_path):
+    """Other tenants' files are broken, so reading one would fail."""
+    rows = [{"tenant_id": t, "box_id": f"{t}{n}"} for t in ("a", "b", "c") for n in range(3)]
+    write_tables({"box": table(spark, "box", rows)}, str(tmp_path))
+    for t in "bc":
+        for file in (tmp_path / "box" / f"tenant_id={t}").glob("*.parquet"):
+            file.write_bytes(b"broken")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    staff = table(spark, "employee", [
+        {"emp_id": "1", "emp_database": "a"}, {"emp_id": "2", "emp_database": "b"}, {"emp_id": "3", "emp_database": ""}])
+    asked = spark.createDataFrame([("1",), ("3",), ("9",)], "emp_id string")
+    report = rows_of_employees(read_table(spark, str(tmp_path), "box"), asked, staff)
+    assert "dynamicpruning" in report._jdf.queryExecution().executedPlan().toString()
+    assert pairs(report, "box_id") == [("a0",), ("a1",), ("a2",)]
+
+
 def test_predicates_of_text_keys(spark):
     """No database may be started here, so the conditions are tried on a view."""
     assert hash_predicates("a`b", 2) == [
