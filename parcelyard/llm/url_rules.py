@@ -181,19 +181,24 @@ def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
     # Numbered before the tokens are parted: one number per row of ``urls``.
     each = urls.withColumn("id", F.monotonically_increasing_id())
     each = each.select("id", "blocked", F.explode_outer("tokens").alias("token"))
-    each = each.join(same.where("token <> same").select("token"), "token", "left_anti")
-    baskets = cut(each.groupBy("id").agg(F.first("blocked").alias("blocked"), F.collect_list("token").alias("tokens")))
-    baskets = baskets.select(
-        F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_LABEL))))
-        .otherwise(F.col("tokens"))
-        .alias("items")
+    each = cut(each.join(same.where("token <> same").select("token"), "token", "left_anti"))
+    freq = cut(
+        each.where("token IS NOT NULL").groupBy("token").agg(
+            F.count("*").alias("freq"), F.count_if("blocked").alias("hits")
+        )
     )
-    model = FPGrowth(
-        itemsCol="items", minSupport=support, minConfidence=settings.min_confidence
-    ).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL)))
-    if settings.max_tokens is not None:
-        found = found.where(F.size("antecedent") <= settings.max_tokens)
+    least = math.ceil(support * n)
+    sure = F.col("hits") / F.col("freq")
+    found = freq.where((F.col("hits") >= least) & (sure >= settings.min_confidence)).select(
+        F.array("token").alias("antecedent"), sure.alias("confidence"), (F.col("hits") / n).alias("support")
+    )
+    allowed = urls.where(~F.col("blocked")).count()
+    # A token of a longer rule must tell some allowed URLs apart: one that all of them have,
+    # or none, leaves a rule no surer than without it, or alone.
+    missed = F.col("freq") - F.col("hits")
+    telling = freq.where((missed > 0) & (missed < allowed) & (F.col("hits") >= least)).select("token")
+    if settings.max_tokens != 1 and not telling.isEmpty():
+        found = found.unionByName(_longer(each, telling, support, settings))
     found = found.select(
         F.xxhash64(F.array_sort("antecedent")).alias("rule"),
         F.array_sort("antecedent").alias("antecedent"),
@@ -211,9 +216,6 @@ def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
     )
     kept = found.join(beaten.select("rule").distinct(), "rule", "left_anti")
     # The rarest token has the fewest URLs to look at.
-    freq = model.freqItemsets.where(F.size("items") == 1).select(
-        F.element_at("items", 1).alias("token"), F.col("freq")
-    )
     rarest = kept.select("rule", F.explode("antecedent").alias("token")).join(freq, "token")
     rarest = rarest.groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
     names = same.groupBy("same").agg(F.sort_array(F.collect_list("token")).alias("names"))
@@ -227,6 +229,31 @@ def mine(urls: DataFrame, settings: Mining = Mining()) -> DataFrame:
     )
 
 
+def _longer(each: DataFrame, telling: DataFrame, support: float, settings: Mining) -> DataFrame:
+    """Rules of two tokens or more, by FP-growth over the tokens that can be part of one.
+
+    ``each`` has a row per URL (``id``, ``blocked``) and ``token``; URLs without such a token
+    stay, as they count for the support.
+    """
+    told = each.join(telling.withColumn("_telling", F.col("token")), "token", "left")
+    baskets = told.groupBy("id").agg(
+        F.any_value("blocked").alias("blocked"), F.collect_set("_telling").alias("tokens")
+    )
+    baskets = cut(
+        baskets.select(
+            F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_LABEL))))
+            .otherwise(F.col("tokens"))
+            .alias("items")
+        )
+    )
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=settings.min_confidence).fit(baskets)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL)))
+    found = found.where(F.size("antecedent") > 1)
+    if settings.max_tokens is not None:
+        found = found.where(F.size("antecedent") <= settings.max_tokens)
+    return found.select("antecedent", "confidence", "support")
+
+
 def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """``key``, and the surest rule that matches: ``antecedent``, as the URL's own tokens, and
     ``confidence``."""

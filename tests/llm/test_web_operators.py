@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 from itertools import combinations
 from pathlib import Path
 
@@ -116,6 +117,46 @@ def test_rules_of_five_tokens_are_kept(spark):
     assert [r["antecedent"] for r in url_rules.mine(df).collect()] == [list("abcde")]
 
 
+def unbeaten(baskets, least, sure):
+    """Every sure combination of tokens none of whose parts leads to the label as surely."""
+    names = sorted({t for tokens, _ in baskets for t in tokens})
+    found = {}
+    for size in range(1, len(names) + 1):
+        for c in combinations(names, size):
+            n = [b for t, b in baskets if set(c) <= set(t)]
+            if sum(n) >= least and sum(n) / len(n) >= sure:
+                if not any(set(p) < set(c) and v >= sum(n) / len(n) for p, v in found.items()):
+                    found[c] = sum(n) / len(n)
+    return found
+
+
+@pytest.mark.parametrize("allowed", [0, 10, 3])
+def test_tokens_that_nearly_coincide(spark, allowed):
+    """Each URL lacks one of ten tokens."""
+    names = [f"t{i}" for i in range(10)]
+    baskets = [([t for k, t in enumerate(names) if k != i % 10], not allowed or i % allowed != 1) for i in range(55)]
+    df = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")
+    settings = url_rules.Mining(min_confidence=0.6)
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine(df, settings).collect()}
+    assert got == unbeaten(baskets, 20, 0.6)
+
+
+@pytest.mark.parametrize("n", [17, 25])
+@pytest.mark.parametrize("allowed", [0, 10])
+def test_many_tokens_that_nearly_coincide(spark, n, allowed):
+    names = [f"t{i:02}" for i in range(n)]
+    baskets = [([t for k, t in enumerate(names) if k != i % n], not allowed or i % allowed != 1) for i in range(20 + 3 * n)]
+    df = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")
+    began = time.perf_counter()
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine(df).collect()}
+    assert time.perf_counter() - began < 20
+    missing = [{i % n for i, (_, b) in enumerate(baskets) if not b and i % n == k} for k in range(n)]
+    telling = [names[k] for k in range(n) if missing[k]]
+    singles = {c: v for c, v in unbeaten([([t for t in b if t in telling], x) for b, x in baskets], 20, 0.8).items() if len(c) > 1}
+    assert {c: v for c, v in got.items() if len(c) > 1} == singles
+    assert len([c for c in got if len(c) == 1]) == n
+
+
 # Archives.
 
 
