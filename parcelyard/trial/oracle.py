@@ -253,6 +253,38 @@ _OPERATORS: dict[str, str] = {
         WHERE status = 'Pending' AND start_date > DATE '2024-01-15' - INTERVAL 1 DAY""",
     "company_owner_accounts": "SELECT * FROM employee WHERE company_name = username",
     "employee_by_key": "SELECT * FROM employee WHERE emp_id IN (SELECT emp_id FROM uploads)",
+    "customers_by_key_any_case": """
+        SELECT c.* REPLACE ('Cust' || customer_id AS customer_id) FROM customers c
+        WHERE (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM appointment)""",
+    "addresses_of_customer_any_case": """
+        SELECT a.* REPLACE ('Cust' || customer_id AS customer_id) FROM addresses a
+        WHERE (tenant_id, customer_id) IN (SELECT (tenant_id, customer_id) FROM appointment)""",
+    "box_by_key_any_case": """
+        SELECT b.* REPLACE ('Box' || box_id AS box_id) FROM box b
+        WHERE (tenant_id, box_id) IN (SELECT (tenant_id, box_id) FROM slip)""",
+    "slips_of_box_any_case": """
+        SELECT s.* REPLACE ('Box' || box_id AS box_id) FROM slip s
+        WHERE (tenant_id, box_id) IN (SELECT (tenant_id, box_id) FROM box)""",
+    "open_items_of_package_any_case": """
+        SELECT * FROM items WHERE item_status = 0 AND (tenant_id, tracking_number) IN
+            (SELECT (tenant_id, tracking_number) FROM packages WHERE customer_id IS NULL)""",
+    "customer_by_tracking_any_case": """
+        SELECT c.tenant_id, p.tracking_number,
+            CASE WHEN length(p.customer_id) % 2 = 0 THEN lower('Cust' || p.customer_id)
+                ELSE upper('Cust' || p.customer_id) END AS customer_id, c.contact, c.type, c.level, c.note
+        FROM customers c INNER JOIN packages p
+        ON c.tenant_id = p.tenant_id AND c.customer_id = p.customer_id""",
+    "company_staff_any_case": """
+        SELECT e.* REPLACE (CASE WHEN length(company_name) % 2 = 0 THEN lower(company_name)
+            ELSE upper(company_name) END AS company_name)
+        FROM employee e WHERE lower(username) != lower(company_name) AND company_name IN
+            (SELECT company_name FROM employee WHERE emp_id IN (SELECT emp_id FROM req_employee_edit))""",
+    "customer_open_package_counts_any_case": f"""
+        {_OPEN_PACKAGES}
+        SELECT c.* REPLACE ('Cust' || customer_id AS customer_id),
+            (SELECT count(*) FROM open_packages o WHERE o.tenant_id = c.tenant_id
+            AND o.customer_id = c.customer_id) AS package_count
+        FROM customers c""",
     "customer_by_tracking": """
         SELECT c.tenant_id, p.tracking_number, c.customer_id, c.contact, c.type, c.level, c.note
         FROM customers c INNER JOIN packages p

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelyard.functions.collation import any_case, exact_case
 from parcelyard.operators import aggregates, joins, lookups, nesting, prefixes
 from parcelyard.plans import assets, boxes, customers, office, packages
 from parcelyard.plans.kinds import KINDS
@@ -396,6 +397,53 @@ def _operator_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     return q
 
 
+def _turned(rows: DataFrame, *columns: str) -> DataFrame:
+    """Keys in another case than the stored ones."""
+    return rows.withColumns({c: F.when(F.length(c) % 2 == 0, F.lower(c)).otherwise(F.upper(c)) for c in columns})
+
+
+def _any_case_queries() -> dict[str, Callable[[Tables], DataFrame]]:
+    """Lookups and joins by text keys, without regard to case."""
+
+    def run(job: Callable[..., DataFrame], *inputs: Callable[[Tables], DataFrame]):
+        return lambda t: exact_case(job(*[any_case(make(t)) for make in inputs]))
+
+    def new(name: str, prefix: str, column: str) -> Callable[[Tables], DataFrame]:
+        """A table whose numeric keys get letters, so that case matters."""
+        return lambda t: t[name].withColumn(column, F.concat(F.lit(prefix), column))
+
+    customers_ = new("customers", "Cust", "customer_id")
+    packages_ = new("packages", "Cust", "customer_id")
+    box_ = new("box", "Box", "box_id")
+    slips = new("slip", "Box", "box_id")
+    named = lambda t: _turned(new("appointment", "Cust", "customer_id")(t), "customer_id")
+    return {
+        "customers_by_key_any_case": run(lookups.customers_by_key, customers_, named),
+        "addresses_of_customer_any_case": run(
+            lookups.addresses_of_customer, new("addresses", "Cust", "customer_id"), named
+        ),
+        "box_by_key_any_case": run(lookups.box_by_key, box_, lambda t: _turned(slips(t), "box_id")),
+        "slips_of_box_any_case": run(lookups.slips_of_box, slips, lambda t: _turned(box_(t), "box_id")),
+        "open_items_of_package_any_case": run(
+            lookups.open_items_of_package,
+            lambda t: t["items"],
+            lambda t: _turned(lookups.unclaimed_packages(t["packages"]), "tracking_number"),
+        ),
+        "customer_by_tracking_any_case": run(
+            joins.customer_by_tracking, customers_, lambda t: _turned(packages_(t), "customer_id")
+        ),
+        "company_staff_any_case": run(
+            joins.company_staff, lambda t: _turned(t["employee"], "company_name"), lambda t: t["req_employee_edit"]
+        ),
+        "customer_open_package_counts_any_case": run(
+            aggregates.customer_open_package_counts,
+            customers_,
+            lambda t: _turned(packages_(t), "customer_id", "tracking_number"),
+            lambda t: t["items"],
+        ),
+    }
+
+
 # Name of the job, how to run it, and the tables it changes, main table first.
 _JOBS: list[tuple[str, Callable[[Tables], dict[str, DataFrame]], list[str]]] = [
     ("customer_insert", lambda t: customers.customer_insert(t, t["req_customer_insert"], F.expr(INSERTED_AT)),
@@ -468,7 +516,7 @@ def _job_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 
 def all_queries() -> dict[str, Query]:
-    plans = {**_operator_queries(), **_job_queries()}
+    plans = {**_operator_queries(), **_any_case_queries(), **_job_queries()}
     return {
         name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir)))
         for name, plan in plans.items()

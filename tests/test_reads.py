@@ -12,6 +12,7 @@ from parcelyard.functions.text import (
     with_picture_extension,
 )
 from parcelyard.functions.values import greatest_or_null, leading_unsigned
+from parcelyard.functions.collation import any_case, exact_case
 from parcelyard.operators import aggregates, joins, lookups, nesting, prefixes
 from rows import pairs, requests, table, tables
 
@@ -326,3 +327,14 @@ def test_staff(spark):
     assert pairs(staff, "emp_id") == [("2",)] and "password" not in staff.columns
     assert pairs(lookups.company_owner_accounts(employee), "emp_id") == [("1",)]
     assert "password" not in lookups.employee_by_key(employee, callers).columns
+
+
+def test_keys_of_any_case(spark):
+    stored = table(spark, "customers", [{"customer_id": "Ab"}, {"customer_id": "AB"}, {"customer_id": "c"}])
+    asked = table(spark, "customers", [{"customer_id": "aB"}, {"customer_id": "C"}, {"customer_id": None}])
+    found = exact_case(lookups.customers_by_key(any_case(stored), any_case(asked)))
+    assert pairs(found, "customer_id") == [("AB",), ("Ab",), ("c",)]
+    assert found.dtypes == stored.dtypes
+    assert lookups.customers_by_key(stored, asked).collect() == []
+    assert exact_case(any_case(stored)).distinct().count() == 3
+    assert any_case(stored).select("customer_id").distinct().count() == 2
