@@ -49,7 +49,7 @@ _STOPS = frozenset("ul ol dl table menu article section div main body html".spli
 # Elements that never hold the article's text.
 _OTHER = frozenset(
     "nav footer aside form script style noscript template textarea select button option svg canvas "
-    "iframe object dialog menu head title audio video map math xmp noembed noframes".split()
+    "iframe object dialog menu head title audio video map xmp noembed noframes".split()
 )
 # Words of a class, id or role that tell the same.
 _OTHER_WORDS = frozenset(
@@ -68,6 +68,17 @@ _OTHER_STEMS = (
 )
 # Elements whose id, inside named content, is made from a heading and tells nothing.
 _SLUGGED = frozenset("section h1 h2 h3 h4 h5 h6 a span p dt".split())
+# Elements of running text: inside named content only an advert's word marks one.
+_TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th figure figcaption".split())
+_ADVERT_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored".split()
+)
+# Words that are also what a section is about: inside named content they mark neither a
+# section by its class nor any element by its id.
+_TOPICS = frozenset(
+    "discussion related search searchbox alert notice notices login signup cookie cookies consent banner copyright "
+    "disclaimer social share sharing rail respond reply replies navigation menu promotion form recommended".split()
+)
 # Elements of a page's head; any other begins the body.
 _HEAD = frozenset("head base link meta title style script noscript template".split())
 _COMMENT_WORDS = frozenset(
@@ -85,7 +96,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(
-    r"\b(class|id|role|itemprop|hidden|aria-hidden|style|aria-label)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I
+    r"(?<![\w:.-])(class|id|role|itemprop|hidden|aria-hidden|style|aria-label)(?![\w:.-])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I
 )
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -97,7 +108,9 @@ class Piece(NamedTuple):
     name: str  # of the tag; of text, the nearest element that parts blocks, or "a" in a link
     text: str
     words: int
-    other: bool  # inside a part that is no text of the article
+    other: bool  # inside an element that is no text of the article
+    soft: tuple[int, ...]  # the enclosing elements that only their words mark as such
+    around: int  # how many of these enclose the element named as the content
     root: int  # inside an element named as the content: 2 an article, 1 a page's main part
     block: bool  # a tag that parts blocks
 
@@ -162,30 +175,46 @@ def _read_marks(attrs: str) -> tuple[frozenset[str], frozenset[str], bool, int]:
     return frozenset(words), frozenset(of_id), hidden, root
 
 
+_Open = tuple[str, bool, int, str, tuple[int, ...], int]
+_OUTSIDE: _Open = ("", False, 0, "", (), 0)
 _PLAIN = (frozenset(), frozenset(), False, 0)
 _ROOTS = {"article": 2, "main": 1}
 
 
-def _is_other(name: str, words: frozenset[str], hidden: bool, in_root: int) -> bool:
+def _is_other(name: str, hidden: bool, in_root: int) -> bool:
+    """Whether the element itself is no text of the article."""
+    return name not in _NEVER and (hidden or name in _OTHER or (not in_root and name == "header"))
+
+
+def _is_marked(name: str, words: frozenset[str], of_id: frozenset[str], in_root: int) -> bool:
+    """Whether the words of class, role and id say so."""
     if name in _NEVER:
         return False
-    if hidden or name in _OTHER:
-        return True
+    if in_root:
+        # A section's or heading's id is a slug there, not a mark.
+        slug = name in _SLUGGED or (name == "div" and "section" in words)
+        words = (words - _TOPICS if name == "section" else words) | (frozenset() if slug else of_id - _TOPICS)
+        if name in _TEXTUAL:
+            words &= _ADVERT_WORDS
+    else:
+        words |= of_id
     if name in ("article", "main"):
         return bool(words & _COMMENT_WORDS)
-    if not in_root and (name == "header" or words & _HEADER_WORDS):
+    if not in_root and words & _HEADER_WORDS:
         return True
     return bool(words & _OTHER_WORDS) or any(w.startswith(_OTHER_STEMS) for w in words)
 
 
 def pieces(page: str) -> Iterator[Piece]:
     """Text and tags in page order."""
-    # Open elements: name, whether no text of the article, whether in the content,
-    # and what text directly inside is counted under.
-    stack: list[tuple[str, bool, int, str]] = []
+    # Open elements: name, whether no text of the article, whether in the content, what
+    # text directly inside is counted under, the numbers of the marked ones around, and
+    # how many of these are around the content.
+    stack: list[_Open] = []
+    marked = 0
     # How often each element is open: what is not open need not be looked for.
     opened: Counter = Counter()
-    top = ("", False, 0, "")
+    top = _OUTSIDE
     at, end = 0, len(page)
     while at < end:
         token = _TOKEN.search(page, at)
@@ -196,8 +225,8 @@ def pieces(page: str) -> Iterator[Piece]:
                 value = html_module.unescape(value)
             if top[0] == "head" and value.strip():
                 _close(stack, opened, {"head"}, frozenset())
-                top = stack[-1] if stack else ("", False, 0, "")
-            yield Piece("text", top[3], value, len(value.split()), top[1], top[2], False)
+                top = stack[-1] if stack else _OUTSIDE
+            yield Piece("text", top[3], value, len(value.split()), top[1], top[4], top[5], top[2], False)
         if token is None:
             return
         at = token.end()
@@ -208,43 +237,44 @@ def pieces(page: str) -> Iterator[Piece]:
             closing, name, attrs = closing2, name2, attrs2
         name = name.lower()
         if closing:
-            _, other, root, _ = top
+            _, other, root, _, soft, around = top
             if opened[name]:
                 _close(stack, opened, {name}, frozenset())
-            top = stack[-1] if stack else ("", False, 0, "")
+            top = stack[-1] if stack else _OUTSIDE
         else:
             # A head without an end tag ends where the body begins.
             if (name == "body" and opened["head"]) or (top[0] == "head" and name not in _HEAD):
                 _close(stack, opened, {"head"}, frozenset())
-                top = stack[-1] if stack else ("", False, 0, "")
+                top = stack[-1] if stack else _OUTSIDE
             if name in _CLOSES:
                 _close_implied(stack, opened, name)
-                top = stack[-1] if stack else ("", False, 0, "")
-            _, other, root, under = top
+                top = stack[-1] if stack else _OUTSIDE
+            _, other, root, under, soft, around = top
             words, of_id, hidden, named = _marks(attrs) if len(attrs) > 4 else _PLAIN
-            # A section's or heading's id is a slug there, not a mark.
-            if not (root and (name in _SLUGGED or (name == "div" and "section" in words))):
-                words |= of_id
-            other = other or _is_other(name, words, hidden, root)
+            other = other or _is_other(name, hidden, root)
             if not other:
-                root = max(root, named, _ROOTS.get(name, 0))
+                if _is_marked(name, words, of_id, root):
+                    marked += 1
+                    soft = (*soft, marked)
+                if max(named, _ROOTS.get(name, 0)) > root:
+                    root, around = max(named, _ROOTS.get(name, 0)), len(soft)
             if name in _RAW:
                 close = _RAW_END[name].search(page, at)
                 at = close.end() if close else end
             elif name not in _VOID and not attrs.endswith("/"):
                 if under != "a" and (name == "a" or name not in _INLINE):
                     under = name
-                top = (name, other, root, under)
+                top = (name, other, root, under, soft, around)
                 stack.append(top)
                 opened[name] += 1
-        yield Piece("tag", name, "", 0, other, root, name not in _INLINE)
+        yield Piece("tag", name, "", 0, other, soft, around, root, name not in _INLINE)
 
 
 _CLOSES = _CLOSES_P | set(_SAME)
 
 
 def _close(
-    stack: list[tuple[str, bool, int, str]], opened: Counter, names: Set[str], stops: Set[str]
+    stack: list[_Open], opened: Counter, names: Set[str], stops: Set[str]
 ) -> None:
     """Close the innermost of ``names`` and all within, unless one of ``stops`` is met first."""
     for depth in range(len(stack) - 1, -1, -1):
@@ -257,7 +287,7 @@ def _close(
 
 
 def _close_implied(
-    stack: list[tuple[str, bool, int, str]], opened: Counter, name: str
+    stack: list[_Open], opened: Counter, name: str
 ) -> None:
     """Close what a start tag ends without an end tag."""
     if name in _CLOSES_P and opened["p"]:
@@ -268,9 +298,24 @@ def _close_implied(
 
 
 def _rooted(page: str) -> tuple[list[Piece], int]:
-    """The pieces, and the narrowest kind of named content that holds words, 0 for none."""
+    """The pieces, and the narrowest kind of named content that holds words, 0 for none.
+
+    Marked elements are no text of the article. But where all named content stands in
+    them, such as in a wrapper of class ``has-sidebar``, those around it are not marked.
+    """
     found = list(pieces(page))
-    return found, max((p.root for p in found if p.words and not p.other), default=0)
+    rooted = max((p.root for p in found if p.words and not p.other and not p.soft), default=0)
+    around: set[int] = set()
+    if not rooted:
+        named = [p for p in found if p.words and not p.other and p.root and len(p.soft) == p.around]
+        rooted = max((p.root for p in named), default=0)
+        held: Counter = Counter()
+        for p in named:
+            if p.root == rooted:
+                held[p.soft] += p.words
+        if held:  # the marks around the longest content
+            around = set(max(held, key=lambda marks: (held[marks], marks)))
+    return [p if around.issuperset(p.soft) else p._replace(other=True) for p in found], rooted
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -282,17 +327,17 @@ def main_text(page: str | None, weights: Weights) -> str:
     found, rooted = _rooted(page or "")
     best, best_from, best_to = 0.0, 0, 0
     total, begin = 0.0, 0
-    for i, (kind, name, _, words, other, root, _) in enumerate(found):
-        if other:
+    for i, p in enumerate(found):
+        if p.other:
             continue
-        if kind == "tag":
-            if rooted and root >= rooted:
+        if p.kind == "tag":
+            if rooted and p.root >= rooted:
                 continue
-            total += weights.of_tag(name)
-        elif root >= rooted:
-            total += weights.of_word(name) * words
+            total += weights.of_tag(p.name)
+        elif p.root >= rooted:
+            total += weights.of_word(p.name) * p.words
         else:
-            total -= weights.default_word * words
+            total -= weights.default_word * p.words
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:

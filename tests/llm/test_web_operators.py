@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import time
 from itertools import combinations
 from pathlib import Path
@@ -444,5 +445,35 @@ def test_a_head_without_an_end_tag(body):
 @pytest.mark.parametrize("slug", ["discussion", "related-work", "search", "cookies", "login"])
 def test_ids_made_from_headings_are_no_marks(slug):
     page = (f"<article><p>one</p><section id='{slug}'><h2 id={slug}-2>two</h2><p>three</p></section>"
-            f"<h2><span id={slug}>four</span></h2><div id={slug}>no</div><section class='{slug}'>no</section></article>")
-    assert html_text.main_text(page, html_text.Weights()) == "one two three four"
+            f"<h2><span id={slug}>four</span></h2><div id={slug}>five</div><section class='{slug}'>six</section>"
+            f"<div class={slug}>no</div></article>")
+    assert html_text.main_text(page, html_text.Weights()) == "one two three four five six"
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><nav>menu</nav><div class="layout has-sidebar"><article><p>{WORDS}</p></article><div class="sidebar">x y</div></div>',
+        f'<div class="post comments-open"><article><p>{WORDS}</p><div class="comments">nice words here</div></article></div>',
+        f'<div class="related"><article>other news</article></div><article><p>{WORDS}</p></article>',
+        '<article><section class="discussion"><h2 class="alert">alpha</h2><p class="related">beta gamma</p></section>'
+        '<div id="search">delta</div><math><mi>epsilon</mi></math> <p data-role="ad">zeta</p><p id="login">eta theta</p></article>',
+        f'<article><p>{WORDS}</p><div class="ad">buy</div><p class="advert">now</p><section class="comments">hm</section>'
+        '<form>send</form><div class="share">f t</div></article>',
+    ],
+)
+def test_words_of_a_class_mark_what_they_belong_to(page):
+    assert html_text.main_text(page, html_text.Weights()) == WORDS
+
+
+def test_pages_that_name_nothing(spark):
+    """The same pages with named content and without: the run has to find it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.learn(pages)
+    html = [r["html"] for r in pages.collect()]
+    plain = [re.sub(r"(?i)(</?)(article|main)\b", r"\1div", h) for h in html]
+    same = [html_text.main_text(a, weights) == html_text.main_text(b, weights) for a, b in zip(html, plain)]
+    assert sum(same) >= 0.95 * len(html)
