@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parcelyard.functions.values import leading_unsigned
 from parcelyard.operators.keyed import match, on
 from parcelyard.schemas import TENANT
+from parcelyard.sources.checkpoints import settle
+
+# Prefixes that may be sent to every task: some hundred bytes each.
+MAX_SENT_PREFIXES = 100_000
 
 
 def _pieces(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
@@ -19,12 +23,29 @@ def _pieces(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> Dat
 
 
 def join_on_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """Pairs of a row and a listed prefix its text starts with.
+    """Pairs of a row and a listed prefix its text starts with, a prefix once each.
 
     Each text is cut at the lengths that occur among the prefixes, and the cuts
     are joined by equality, so no row is compared with prefixes of other texts.
+
+    Estimates do not count the cuts, so a join of both sides might send all cuts to
+    every task; of a semi join only the prefixes can be sent.
+    """
+    return match(_pieces(rows, text, prefixes, prefix), prefixes, prefix, how="left_semi")
+
+
+def join_with_prefix(
+    rows: DataFrame, text: str, prefixes: DataFrame, prefix: str
+) -> DataFrame:
+    """The same with the other columns of ``prefixes``, where a prefix may come more often.
+
+    Up to ``MAX_SENT_PREFIXES`` are sent to the tasks, more are joined by a shuffle;
+    the cuts are never sent.
     """
-    return match(_pieces(rows, text, prefixes, prefix), prefixes, prefix)
+    listed = settle(prefixes)
+    few = listed.count() <= MAX_SENT_PREFIXES
+    pieces = _pieces(rows, text, listed, prefix)
+    return match(pieces, F.broadcast(listed) if few else listed.hint("merge"), prefix)
 
 
 def best_on_prefix(
@@ -65,7 +86,7 @@ def last_tracking_per_prefix(
     top = F.max("_rank").alias("_top")
     plain = best_on_prefix(texts, "_text", top, asked.filter("_plain"), "_anchor")
     # Only types with wildcards of their own need every package behind the anchor.
-    wild = join_on_prefix(texts, "_text", asked.filter(~F.col("_plain")), "_anchor")
+    wild = join_with_prefix(texts, "_text", asked.filter(~F.col("_plain")), "_anchor")
     wild = wild.filter(F.like(F.col("_text"), F.col("_like"))).groupBy(*on("type")).agg(top)
     found = plain.select(*on("type"), "_top").unionByName(wild)
     return found.select(TENANT, "type", F.col("_top.tracking_number").alias("tracking_number"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.operators.changes import number_rows
 from parcelyard.operators.keyed import drop_keys, keep_keys, match
-from parcelyard.operators.prefixes import last_tracking_per_prefix
+from parcelyard.operators.prefixes import file_prefix_matches, join_with_prefix, last_tracking_per_prefix
 from parcelyard.operators.ranks import ranked
 from parcelyard.trial.registry import all_queries
 
@@ -167,6 +167,21 @@ def test_prefix_of_a_third_of_all_rows(spark):
     assert got == {"HOT": f"HOT-{n - 3}", "P1": f"P{top}-{top}", "HO_-": f"HOT-{n - 3}"}
 
 
+def test_cuts_are_never_sent_to_the_tasks(spark):
+    """Estimates do not count the cuts of a text, here fewer bytes than those of the prefixes."""
+    names = spark.range(10).selectExpr("'t' AS tenant_id", "id || '_' || id AS file_name")
+    asked = spark.range(30_000).selectExpr("'t' AS tenant_id", "id || '_' AS photo_name")
+    out = file_prefix_matches(names, asked)
+    assert "BuildLeft" not in _plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [("t", f"{i}_", f"{i}_{i}") for i in range(10)]
+    kinds = asked.withColumn("type", F.lit("k"))
+    wide = join_with_prefix(names, "file_name", kinds, "photo_name")
+    assert "BuildLeft" not in _plan(wide)
+    assert sorted(tuple(r) for r in wide.select("file_name", "type").collect()) == [
+        (f"{i}_{i}", "k") for i in range(10)
+    ]
+
+
 @pytest.mark.parametrize(
     "name, most",
     # With the views of the test tables, whose change set for item_delete is a join.
