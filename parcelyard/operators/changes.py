@@ -17,6 +17,9 @@ from parcelyard.schemas import INSERT_DEFAULTS, TENANT
 
 SEQ = "seq"
 
+# A tenant's requests are dealt over so many keys; its row of first ids comes once for each.
+_NUMBER_SHARES = 256
+
 
 def cast_like(base: DataFrame, rows: DataFrame, table: str | None = None) -> DataFrame:
     """Give rows the columns and types of the table, absent ones as default or NULL."""
@@ -73,13 +76,14 @@ def number_rows(
     start = rows.groupBy(scope).agg(
         F.min(seq).alias("_first"), F.max(F.lit(width)).alias("_step")
     )
-    # One row per tenant; adaptive execution splits a tenant with very many requests.
-    zero = F.pmod(F.xxhash64(scope), F.lit(1))
-    start = start.join(top, scope, "left").withColumn("_zero", zero)
-    numbered = rows.withColumn("_zero", zero).join(start, [scope, "_zero"])
+    # The small side is the hashed one, and never sent whole: estimates do not count its copies.
+    shares = F.sequence(F.lit(0), F.lit(_NUMBER_SHARES - 1)).cast("array<bigint>")
+    start = start.join(top, scope, "left").withColumn("_share", F.explode(shares))
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(seq), F.lit(_NUMBER_SHARES)))
+    numbered = dealt.join(start.hint("shuffle_hash"), [scope, "_share"])
     return numbered.withColumn(
         key, F.coalesce("_top", F.lit(0)) + 1 + (seq - F.col("_first")) * F.col("_step")
-    ).drop("_top", "_first", "_step", "_zero")
+    ).drop("_top", "_first", "_step", "_share")
 
 
 def update_by_key(

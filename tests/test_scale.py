@@ -115,6 +115,21 @@ def test_numbers_of_a_hot_tenant(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("t", 42, 941, 900), ("v", 1, 100, 100)]
 
 
+def test_numbered_rows_of_a_hot_tenant_are_dealt_evenly(spark):
+    n = 20_000
+    base = spark.createDataFrame([("t", 41)], "tenant_id string, slip_id bigint")
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 10 > 0, "t").otherwise("v").alias("tenant_id"), F.col("id").alias("seq")
+    )
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions="16",
+                  spark__sql__adaptive__coalescePartitions__enabled="false"):
+        out = number_rows(base, rows.repartition(4), "slip_id")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 5
+    assert out.filter("tenant_id = 't' AND slip_id <> seq + 41").count() == 0
+    assert out.filter("tenant_id = 'v' AND slip_id <> seq + 1").count() == 0
+
+
 def test_ranks_of_a_hot_group(spark):
     """Two thirds of the rows in one group, half of these all equal: no task has most of them."""
     n = 60_000
