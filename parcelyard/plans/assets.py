@@ -24,14 +24,16 @@ DEFAULT_VERIFY_PREFIX = "uploads"
 
 
 def _photos(rows: DataFrame, kind: str, identity: str) -> DataFrame:
-    # The cheap test first: the full one reads each address twice.
+    # The cheap test first, also below a join. Known keys come out of an array: as a filter
+    # the key would be taken from each address a second time, there even of rows not kept.
     stored = rows.filter(F.contains(F.lower("photo_url"), F.lit(STORAGE_HOST)))
+    known = F.filter(F.array(object_key(F.col("photo_url"))), lambda key: key.isNotNull())
     return stored.select(
         TENANT,
         F.lit(kind).alias("kind"),
         F.col(identity).cast("string").alias("ref"),
-        object_key(F.col("photo_url")).alias("object_key"),
-    ).filter(F.col("object_key").isNotNull())
+        F.explode(known).alias("object_key"),
+    )
 
 
 def _with_items(parcels: DataFrame, items: DataFrame, gone: DataFrame) -> DataFrame:

@@ -130,6 +130,13 @@ def test_numbered_rows_of_a_hot_tenant_are_dealt_evenly(spark):
     assert out.filter("tenant_id = 'v' AND slip_id <> seq + 1").count() == 0
 
 
+def test_object_keys_are_taken_once(spark):
+    """Not a second time, and of all addresses, in a filter below the join."""
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = _plan(QUERIES["asset_purge_packages"](spark, SF))
+    assert plan.count("Evaluator(null,HOST") == 2  # of packages and of items
+
+
 def test_ranks_of_a_hot_group(spark):
     """Two thirds of the rows in one group, half of these all equal: no task has most of them."""
     n = 60_000
