@@ -64,15 +64,28 @@ def _held(resource: Column | str, mode: Column | str) -> Column:
     return F.struct(as_column(resource).alias("resource"), as_column(mode).alias("mode"))
 
 
-def _of_touch(rows: DataFrame, touch: Touch) -> list[Column]:
+def _whole(kinds: Mapping[str, Kind]) -> set[str]:
+    """Resources that stand for more than one row and that a kind may share or change.
+
+    On the others all requests only announce themselves, which never clashes.
+    """
+    found = {_EVERYTHING} if any(kind.touches is None for kind in kinds.values()) else set()
+    for kind in kinds.values():
+        for touch in kind.touches or ():
+            if touch.keys is None:
+                found |= {f"{touch.table}.{touch.part}", f"{touch.table}."}
+    return found
+
+
+def _of_touch(rows: DataFrame, touch: Touch, whole: set[str]) -> list[Column]:
     """Arrays of the resources that each request holds by one touch."""
     name = f"{touch.table}.{touch.part}"
     row = f"{touch.table}."
     if touch.keys is None:
-        whole = [_held(name, touch.mode)]
+        held = [_held(name, touch.mode)]
         if touch.part:
-            whole.append(_held(row, SHARE))
-        return [F.array(*whole)]
+            held.append(_held(row, SHARE))
+        return [F.array(*held)]
     keys = F.col(touch.keys) if isinstance(touch.keys, str) else touch.keys(rows)
     if not isinstance(rows.select(keys.alias("k")).schema["k"].dataType, T.ArrayType):
         keys = F.array(keys)
@@ -85,7 +98,7 @@ def _of_touch(rows: DataFrame, touch: Touch) -> list[Column]:
 
     def held(prefix: str, mode: Column, announced: Column) -> list[Column]:
         each = F.transform(known, lambda k: _held(F.concat(F.lit(f"{prefix}:"), k), mode))
-        return [each, F.array(_held(prefix, announced))]
+        return [each, F.array(_held(prefix, announced))] if prefix in whole else [each]
 
     found = held(name, mode, announced)
     if touch.part:
@@ -100,15 +113,22 @@ def _requests(changes: DataFrame, kind: Kind, name: str) -> DataFrame:
 
 
 def accesses(changes: DataFrame, kinds: Mapping[str, Kind]) -> DataFrame:
-    """``tenant_id``, ``seq``, ``kind`` and each ``resource`` that a request holds, with ``mode``."""
-    found = None
+    """``tenant_id``, ``seq``, ``kind`` and each ``resource`` that a request holds, with ``mode``.
+
+    A request that holds nothing on which it could clash announces itself on everything.
+    """
+    found, whole = None, _whole(kinds)
+    here = F.array(_held(_EVERYTHING, "IS"))
     for name, kind in kinds.items():
         rows = _requests(changes, kind, name)
         if kind.touches is None:
             held = F.array(_held(_EVERYTHING, CHANGE))
         else:
-            parts = [a for touch in kind.touches for a in _of_touch(rows, touch)]
-            held = F.array_distinct(F.concat(F.array(_held(_EVERYTHING, "IS")), *parts))
+            parts = [a for touch in kind.touches for a in _of_touch(rows, touch, whole)]
+            if _EVERYTHING in whole or not parts:
+                parts = [here, *parts]
+            held = F.array_distinct(F.concat(*parts))
+            held = F.when(F.size(held) > 0, held).otherwise(here)
         # A null tenant is one of its own.
         part = rows.select(
             F.coalesce(TENANT, F.lit("")).alias(TENANT), "seq", F.lit(name).alias("kind"), F.explode(held).alias("h")

@@ -147,6 +147,22 @@ def test_hot_resources_are_split(spark):
     assert "Window" not in plan and "SinglePartition" not in plan
 
 
+def test_requests_announce_themselves_only_where_a_kind_holds_a_whole_table(spark):
+    rows = [("t", 1, "box_priority", {"box_id": "a"}), ("t", 2, "box_priority", {}),
+            ("t", 3, "slip_delete", {"slip_id": 7})]
+
+    def held(kinds):
+        used = {k: KINDS[k] for k in kinds}
+        return pairs(schedule.accesses(_log(spark, rows), used), "seq", "resource", "mode")
+
+    assert held(["box_priority", "slip_delete"]) == [
+        (1, "box.:a", "S"), (1, "box.priority:a", "W"), (2, "*", "IS"), (3, "slip.:7", "W")]
+    # Who changes the whole table meets those who hold one of its rows.
+    assert (3, "slip.", "IX") in held(["box_priority", "slip_delete", "slip_insert"])
+    rows.append(("t", 4, "slip_insert", {}))
+    assert [[r[1] for r in level] for level in _levels(spark, rows)] == [[1, 2, 3], [4]]
+
+
 def test_every_kind_reads_its_requests(spark):
     """The fields and touches of all kinds plan and run on an empty body."""
     base = tables(spark)
